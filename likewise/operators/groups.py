@@ -23,22 +23,25 @@ def top_per_group(
     order: Sequence[Column],
     k: int,
     rank: str = "rnk",
-    shards: int = SHARDS,
+    shards: int | None = None,
 ) -> DataFrame:
     """The first ``k`` rows of every group, numbered from 1 in column ``rank``.
 
-    Best of the shards' bests: rows are first cut to ``k`` inside (group, shard),
-    where the shard is the upstream partition they come from, then the at most
-    ``shards * k`` survivors of a group meet. A group holding a third of all rows
-    is sorted by up to ``shards`` tasks. The shard key is one struct on purpose: plain
-    columns would let Spark reuse an upstream partitioning on a subset of them and
-    leave a hot group in the one task that already holds it.
+    With one shard, rows go to their group's task in one shuffle. Spark applies the
+    window group limit before it (for ``k`` up to 1000), so even a group holding a third
+    of all rows arrives as at most ``k`` rows per upstream partition.
 
-    ``shards=1`` is the single-pass form. It suits bounded groups, and input whose
-    partitioning is not on a subset of ``keys``: Spark then applies the window group
-    limit before the shuffle (for ``k`` up to 1000), so that a group arrives as at
-    most ``k`` rows per upstream partition.
+    With several, rows are first cut to ``k`` inside (group, shard), where the shard is
+    the upstream partition they come from, then the at most ``shards * k`` survivors
+    of a group meet. That serves a larger ``k``, and input that is already partitioned
+    on a subset of ``keys`` (after a join): the shard key is one struct on purpose, as
+    plain columns would let Spark reuse that partitioning and leave a hot group in the
+    one task that already holds it.
+
+    By default ``k`` decides between the two.
     """
+    if shards is None:
+        shards = 1 if k <= PRE_SHUFFLE_LIMIT else SHARDS
     keys, order = list(keys), list(order)
     if shards > 1:
         shard = F.spark_partition_id() % shards

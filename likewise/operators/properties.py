@@ -31,30 +31,26 @@ def _latest(events: DataFrame) -> DataFrame:
     per item. An item with any number of property events shrinks to one row per
     property name before it is gathered.
     """
-    log = property_events(events)
+    log = property_events(events).withColumn("at", F.struct("event_time", "seq"))
     writes = log.where(F.col("event") != DELETE).select(
-        "item",
-        F.struct("event_time", "seq").alias("at"),
-        (F.col("event") == SET).alias("is_set"),
         # an item whose only event is an empty $set still exists, without properties
-        F.explode_outer("properties").alias("field", "value"),
+        "item", "event", "at", F.explode_outer("properties").alias("field", "value")
     )
     deletes = log.where(F.col("event") == DELETE).select(
         "item",
-        F.struct("event_time", "seq").alias("at"),
-        F.lit(False).alias("is_set"),
+        "event",
+        "at",
         F.lit(None).cast("string").alias("field"),
         F.lit(None).cast("array<string>").alias("value"),
     )
-    # field NULL carries the item's own life line: its last set and its last delete
     last = (
         writes.unionByName(deletes)
         .groupBy("item", "field")
         .agg(
-            F.max_by(F.struct("is_set", "value"), "at").alias("last"),
+            F.max_by(F.struct((F.col("event") == SET).alias("is_set"), "value"), "at").alias("last"),
             F.max("at").alias("at"),
-            F.max(F.when(F.col("is_set"), F.col("at"))).alias("set_at"),
-            F.max(F.when(~F.col("is_set") & F.col("field").isNull(), F.col("at"))).alias("gone_at"),
+            F.max(F.when(F.col("event") == SET, F.col("at"))).alias("set_at"),
+            F.max(F.when(F.col("event") == DELETE, F.col("at"))).alias("gone_at"),
         )
     )
     return (

@@ -85,7 +85,7 @@ def rank_random(
 
 def rank_user_defined(props: DataFrame, name: str) -> DataFrame:
     """The ranking given as an item property of that name."""
-    value = F.col("props")[name][0].try_cast("double")
+    value = F.get(F.col("props")[name], F.lit(0)).try_cast("double")
     return props.select("item", value.alias("rank")).where(F.col("rank").isNotNull())
 
 
@@ -117,11 +117,12 @@ def rank_table(
     props: DataFrame,
     end: datetime | str | None = None,
     seed: int = 0,
+    catalog_only: bool = False,
 ) -> DataFrame:
     """One row per ranked item, one column per ranking.
 
     The full outer join of all rankings, as one shuffle on the item instead of a chain
-    of joins.
+    of joins. ``catalog_only`` leaves out event targets without properties.
     """
     stacked = None
     for ranking in rankings:
@@ -129,4 +130,7 @@ def rank_table(
         stacked = one if stacked is None else stacked.unionByName(one)
     columns = [r.column for r in rankings]
     picks = [F.max(F.when(F.col("name") == c, F.col("rank"))).alias(c) for c in columns]
-    return stacked.groupBy("item").agg(*picks)
+    table = stacked.groupBy("item").agg(*picks)
+    if catalog_only:
+        table = table.join(props.select("item"), "item", "left_semi")
+    return table
