@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
@@ -17,13 +17,18 @@ PROPS = "map<string,array<string>>"
 
 
 def join_props_ranks(props: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Full outer join on the item; a ranking overrides a property of its name."""
+    """Full outer join on the item; a ranking overrides the property of its name."""
     names = [c for c in ranks.columns if c != "item"]
-    left = F.coalesce("props", F.map_from_arrays(F.array(), F.array()).cast(PROPS))
-    ranked = F.array(*[F.when(F.col(n).isNotNull(), F.lit(n)) for n in names])
-    kept = F.map_filter(left, lambda name, _: ~F.coalesce(F.array_contains(ranked, name), F.lit(False)))
+    own = F.coalesce("props", F.map_from_arrays(F.array(), F.array()).cast(PROPS))
+
+    def current(name: Column, values: Column) -> Column:
+        for n in names:
+            ranked = (name == n) & F.col(n).isNotNull()
+            values = F.when(ranked, F.array(F.col(n).cast("string"))).otherwise(values)
+        return values
+
     joined = props.join(ranks, "item", "full_outer")
-    return joined.select("item", kept.alias("props"), *names)
+    return joined.select("item", F.transform_values(own, current).alias("props"), *names)
 
 
 def merge_model(relations: Sequence[DataFrame]) -> DataFrame:
@@ -32,22 +37,22 @@ def merge_model(relations: Sequence[DataFrame]) -> DataFrame:
     One shuffle for any number of relations: an item has at most one row in each.
     """
     tagged = [
-        df.select("item", F.struct(F.lit(i).alias("place"), "props").alias("part"))
-        for i, df in enumerate(relations)
+        df.select("item", F.lit(i).alias("place"), "props") for i, df in enumerate(relations)
+    ]
+    names = [f"_part{i}" for i in range(len(tagged))]
+    parts = [
+        F.any_value(F.when(F.col("place") == i, F.col("props")), ignoreNulls=True).alias(name)
+        for i, name in enumerate(names)
     ]
-    parts = F.sort_array(F.collect_list("part"))
-    empty = F.map_from_arrays(F.array(), F.array()).cast(PROPS)
 
-    def overlay(older, newer):
-        rest = F.map_filter(older, lambda name, _: ~F.map_contains_key(newer["props"], name))
-        return F.map_concat(rest, newer["props"])
+    def overlay(older: Column, newer: Column) -> Column:
+        rest = F.map_filter(older, lambda name, _: ~F.map_contains_key(newer, name))
+        return F.map_concat(rest, newer)
 
-    return (
-        reduce(DataFrame.unionByName, tagged)
-        .groupBy("item")
-        .agg(parts.alias("parts"))
-        .select("item", F.aggregate("parts", empty, overlay).alias("props"))
-    )
+    empty = F.map_from_arrays(F.array(), F.array()).cast(PROPS)
+    filled = [F.coalesce(name, empty) for name in names]
+    merged = reduce(DataFrame.unionByName, tagged).groupBy("item").agg(*parts)
+    return merged.select("item", reduce(overlay, filled).alias("props"))
 
 
 def correlator_fields(correlators: DataFrame) -> DataFrame:
