@@ -54,10 +54,17 @@ def answer(
     )
 
 
-#: A brand and a size that depend on the asking user.
-_KEY = F.col("user").cast("bigint")
-_BRAND = F.concat(F.lit("Brand#"), (_KEY % 25 + 1).cast("string"))
-_SIZE = (_KEY % 50 + 1).cast("string")
+def key() -> Column:
+    """The asking user's number, from which brands and dates are chosen."""
+    return F.col("user").cast("bigint")
+
+
+def brand() -> Column:
+    return F.concat(F.lit("Brand#"), (key() % 25 + 1).cast("string"))
+
+
+def size() -> Column:
+    return (key() % 50 + 1).cast("string")
 
 
 def user_recs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +156,7 @@ def bias_item(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bias_item_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user with a cart of the two parts next to their own number."""
     asked = users(spark, sf_dir).withColumn(
-        "item_set", F.array((_KEY + 1).cast("string"), (_KEY + 2).cast("string"))
+        "item_set", F.array((key() + 1).cast("string"), (key() + 2).cast("string"))
     )
     return answer(spark, sf_dir, asked.withColumn("item_set_bias", F.lit(1.5)))
 
@@ -157,27 +164,27 @@ def bias_item_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 def negative_bias_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every item must match history of both event types; scores come from a boost."""
     names = F.array(F.lit("purchase"), F.lit("view"))
-    boost = F.array(rule("brand", [_BRAND], 2.0))
+    boost = F.array(rule("brand", [brand()], 2.0))
     asked = users(spark, sf_dir).withColumn("event_names", names).withColumn("fields", boost)
     return answer(spark, sf_dir, asked, replace(PARAMS, user_bias=-1.0))
 
 
 def field_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = F.array(rule("tags", [_BRAND, F.lit("ECONOMY")], 1.5), rule("size", [_SIZE], 4.0))
+    rules = F.array(rule("tags", [brand(), F.lit("ECONOMY")], 1.5), rule("size", [size()], 4.0))
     return answer(spark, sf_dir, users(spark, sf_dir).withColumn("fields", rules))
 
 
 def field_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A brand of two, and a type: values are alternatives, rules add up."""
     rules = F.array(
-        rule("brand", [_BRAND, F.lit("Brand#3")], -1.0),
+        rule("brand", [brand(), F.lit("Brand#3")], -1.0),
         rule("tags", [F.lit("ECONOMY"), F.lit("PROMO")], -1.0),
     )
     return answer(spark, sf_dir, users(spark, sf_dir).withColumn("fields", rules))
 
 
 def field_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = F.array(rule("brand", [_BRAND], 0.0), rule("tags", [F.lit("STANDARD")], 0.0))
+    rules = F.array(rule("brand", [brand()], 0.0), rule("tags", [F.lit("STANDARD")], 0.0))
     return answer(spark, sf_dir, users(spark, sf_dir).withColumn("fields", rules))
 
 
@@ -187,21 +194,21 @@ def rule_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
         PARAMS,
         fields=(FieldRule("size", ("7",), 3.0), FieldRule("big", ("true",), 0.0)),
     )
-    own = F.array(rule("size", [F.lit("7")], 3.0), rule("brand", [_BRAND], 2.0))
+    own = F.array(rule("size", [F.lit("7")], 3.0), rule("brand", [brand()], 2.0))
     return answer(spark, sf_dir, users(spark, sf_dir).withColumn("fields", own), engine)
 
 
 def date_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users with an odd number give a date range, even ones a current date."""
-    day = F.date_add(F.lit("2023-12-20").cast("date"), (_KEY % 40).cast("int")).cast("timestamp")
-    odd = _KEY % 2 == 1
+    day = F.date_add(F.lit("2023-12-20").cast("date"), (key() % 40).cast("int")).cast("timestamp")
+    odd = key() % 2 == 1
     asked = users(spark, sf_dir).withColumn("current_date", F.when(~odd, day)).withColumn(
         "date_range",
         F.when(
             odd,
             F.struct(
                 F.lit("date").alias("name"),
-                F.when(_KEY % 3 > 0, F.lit("2024-01-25T00:00:00").cast("timestamp")).alias("before"),
+                F.when(key() % 3 > 0, F.lit("2024-01-25T00:00:00").cast("timestamp")).alias("before"),
                 day.alias("after"),
             ),
         ),
@@ -218,7 +225,7 @@ def blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nothing viewed or clicked before, nothing listed, the own item allowed."""
     asked = users(spark, sf_dir).withColumn("item", F.col("user")).withColumn(
         "return_self", F.lit(True)
-    ).withColumn("blacklist_items", F.array(F.lit("11"), (_KEY + 5).cast("string")))
+    ).withColumn("blacklist_items", F.array(F.lit("11"), (key() + 5).cast("string")))
     return answer(spark, sf_dir, asked, replace(PARAMS, blacklist_events=("view", "click")))
 
 
@@ -227,7 +234,7 @@ def exclude_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = full_log(spark, sf_dir)
     kind = log.schema["entity_id"].dataType
     asked = users(spark, sf_dir).withColumn("item", F.col("user")).withColumn(
-        "item_set", F.array((_KEY + 1).cast("string"))
+        "item_set", F.array((key() + 1).cast("string"))
     )
     asked = qu.complete_queries(asked, PARAMS, kind, kind).withColumn("sig", F.lit(""))
     return qu.exclusions(asked, usage_events(log, PARAMS.event_names), PARAMS).select("query_id", "item")
@@ -244,7 +251,7 @@ def top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = users(spark, sf_dir).withColumn("with_ranks", _KEY % 2 == 0)
+    asked = users(spark, sf_dir).withColumn("with_ranks", key() % 2 == 0)
     model = usage_model(spark, sf_dir)
     found = recommend(asked, model, full_log(spark, sf_dir), PARAMS, NOW)
     ranks = [F.col("ranks")[c].alias(c) for c in PARAMS.rank_columns]

@@ -25,8 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+def as_usage(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_type").alias("event"),
         F.lit("user").alias("entity_type"),
         F.col("user_id").cast("string").alias("entity_id"),
@@ -38,6 +38,10 @@ def usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_usage(table(spark, sf_dir, "events"))
+
+
 def property_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """signup is $set, error is $unset, or $delete where its value exceeds 150."""
     events = table(spark, sf_dir, "events").where(F.col("event_type").isin("signup", "error"))
