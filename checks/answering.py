@@ -13,7 +13,8 @@ from likewise import EngineParams, FieldRule, Indicator
 from likewise.operators import querying as qu
 from likewise.operators.scoring import term_match, term_score
 from likewise.plans.recommend import recommend
-from likewise.plans.train import Model, train
+from likewise.operators.model import Model
+from likewise.plans.train import train
 from likewise.sources.tables import usage_events
 
 DATED = replace(PARAMS, available_date_name="available", expire_date_name="expires", date_name="date")
@@ -127,20 +128,22 @@ def _terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Model]:
     model = usage_model(spark, sf_dir)
     log = full_log(spark, sf_dir)
     kind = log.schema["entity_id"].dataType
-    asked = qu.complete_queries(users(spark, sf_dir), PARAMS, kind, kind).withColumn("sig", F.lit(""))
+    asked = qu.complete_queries(users(spark, sf_dir), PARAMS, kind, kind).withColumn("sig", F.lit(0).cast("bigint"))
     return qu.user_terms(asked, usage_events(log, PARAMS.event_names), PARAMS), model
 
 
 def term_match_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms, model = _terms(spark, sf_dir)
-    return term_match(terms, model.postings).groupBy("query_id", "field", "item").agg(
+    found = term_match(terms, model.postings).groupBy("query_id", "field", "pos").agg(
         F.count("*").alias("n_terms")
     )
+    return found.join(model.items, "pos").select("query_id", "field", "item", "n_terms")
 
 
 def term_score_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms, model = _terms(spark, sf_dir)
-    return term_score(terms, model.postings, model.weights).select("query_id", "item", "score")
+    scores = term_score(terms, model.postings)
+    return scores.join(model.items, "pos").select("query_id", "item", "score")
 
 
 def bias_user(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +239,7 @@ def exclude_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = users(spark, sf_dir).withColumn("item", F.col("user")).withColumn(
         "item_set", F.array((key() + 1).cast("string"))
     )
-    asked = qu.complete_queries(asked, PARAMS, kind, kind).withColumn("sig", F.lit(""))
+    asked = qu.complete_queries(asked, PARAMS, kind, kind).withColumn("sig", F.lit(0).cast("bigint"))
     return qu.exclusions(asked, usage_events(log, PARAMS.event_names), PARAMS).select("query_id", "item")
 
 

@@ -25,8 +25,9 @@ from likewise.operators import model as md
 from likewise.operators import properties as pr
 from likewise.operators import rankings as rk
 from likewise.operators import similarity as sim
+from likewise.operators.model import Model
 from likewise.operators.querying import complete_queries, recent_history
-from likewise.plans.train import Model, refresh_ranks, train
+from likewise.plans.train import refresh_ranks, train
 from likewise.sources import store
 from likewise.sources.delimited import parse_delimited_events, parse_ratings
 from likewise.sources.staging import staged_path
@@ -383,7 +384,8 @@ def user_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def build_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = usage_model(spark, sf_dir)
-    counted = model.postings.groupBy("field", "term").agg(
+    found = model.postings.select("field", "term", F.explode("places").alias("pos"))
+    counted = found.join(model.items, "pos").groupBy("field", "term").agg(
         F.count("*").alias("n_items"), F.min("item").alias("first_item")
     )
     return counted.join(model.weights, ["field", "term"]).select(
@@ -409,8 +411,10 @@ def publish_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.publish(model, path)
     bare = md.empty_correlators(spark, model.items.schema["item"].dataType)
     described = model.items.select("item", "props")
-    postings = md.build_postings(None, described)
-    store.publish(Model(bare, model.items, postings, md.term_weights(postings, None, described)), path)
+    entries = md.index_terms(None, described)
+    weights = md.term_weights(entries, None, described)
+    postings = md.build_postings(entries, weights, model.items)
+    store.publish(Model(bare, model.items, postings, weights), path)
     return _documents(store.load(spark, path))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from likewise.operators.groups import number_rows, top_per_group
 from likewise.operators.querying import RULE_COLUMNS, rules_pass
+from likewise.operators.model import Model
 from likewise.params import EngineParams
 from likewise.sources.staging import stage
 
@@ -25,8 +26,8 @@ def _page(position: str):
     return F.floor((F.col(position) - 1) / PAGE).cast("bigint")
 
 
-def _by_filter(sigs: DataFrame, items: DataFrame, postings: DataFrame, weights: DataFrame) -> DataFrame:
-    """(sig, rules..., rule_field, rule_terms): rule sets best answered from the postings.
+def _by_filter(sigs: DataFrame, items: DataFrame, weights: DataFrame) -> DataFrame:
+    """(sig, filter): rule sets best answered from the postings of one of their filters.
 
     Walking down the ranking until ``need`` items pass one filter reads about
     need * items / df of them; reading the filter's own postings reads df. The choice
@@ -58,29 +59,26 @@ def eligible_items(
     weights: DataFrame,
     params: EngineParams,
 ) -> DataFrame:
-    """(sig, place, item): the best-ranked items passing each rule set, at least ``need``.
+    """(sig, place, pos): the best-ranked items passing each rule set, at least ``need``.
 
     Selective inclusion filters start from their own postings. All other rule sets walk
     down the ranking page by page, in rounds that reach further, until they have enough
     or the items are exhausted.
     """
-    sigs = stage(sigs, "signatures")
-    described = items.select("item", "pos", "props", *params.date_columns)
-    direct = stage(_by_filter(sigs, items, postings, weights), "direct")
+    sigs = stage(sigs, "open")
+    described = items.select("pos", "props", *params.date_columns)
+    direct = stage(_by_filter(sigs, items, weights), "direct")
     listed = (
         direct.select("sig", F.col("filter.name").alias("field"), F.explode("filter.values").alias("term"))
         .join(postings, ["field", "term"])
-        .select("sig", "item")
+        .select("sig", F.explode("places").alias("pos"))
         .distinct()
     )
     found = (
-        listed.join(sigs, "sig")
-        .join(described, "item")
-        .where(rules_pass(params))
-        .select("sig", "pos", "item")
+        listed.join(sigs, "sig").join(described, "pos").where(rules_pass(params)).select("sig", "pos")
     )
 
-    last_page = (items.agg(F.max("pos").alias("n")).first()["n"] or 0) // PAGE
+    last_page = ((items.agg(F.max("pos").alias("n")).first()["n"] or 0) - 1) // PAGE
     paged = described.withColumn("page", _page("pos"))
     open_sigs = sigs.join(direct, "sig", "left_anti")
     first, width = 0, FIRST_PAGES
@@ -91,7 +89,7 @@ def eligible_items(
             open_sigs.select("sig", *RULE_COLUMNS, reach.alias("page"))
             .join(paged.where(F.col("page").between(first, upto)), "page")
             .where(rules_pass(params))
-            .select("sig", "pos", "item")
+            .select("sig", "pos")
         )
         walked = stage(walked, "walked")
         found = found.unionByName(walked)
@@ -108,24 +106,34 @@ def eligible_items(
     numbered = number_rows(found, [F.col("sig"), F.col("pos")], "row")
     starts = numbered.groupBy("sig").agg(F.min("row").alias("start"))
     return numbered.join(starts, "sig").select(
-        "sig", (F.col("row") - F.col("start") + 1).alias("place"), "item"
+        "sig", (F.col("row") - F.col("start") + 1).alias("place"), "pos"
     )
 
 
+def _pages_wanted(short: DataFrame) -> DataFrame:
+    """One row per query and page of the ranking it needs."""
+    last = F.floor((F.col("need") - 1) / PAGE).cast("bigint")
+    reach = F.explode(F.sequence(F.lit(0).cast("bigint"), last))
+    return short.select("query_id", "sig", "deficit", "need", reach.alias("page"))
+
+
 def backfill(
     short: DataFrame,
     taken: DataFrame,
-    items: DataFrame,
-    postings: DataFrame,
-    weights: DataFrame,
+    rules: DataFrame | None,
+    model: Model,
     params: EngineParams,
     largest: int,
 ) -> DataFrame:
-    """(query_id, item, fill): the items that fill up each query, ``fill`` from 1.
+    """(query_id, pos, fill): the items that fill up each query, ``fill`` from 1.
+
+    ``short`` holds (query_id, sig, deficit), ``taken`` the items (query_id, sig, pos) a
+    query may not be filled with, ``rules`` the rule sets by ``sig``, ``largest`` the
+    biggest deficit. Among the first deficit + |taken| allowed items, at least
+    ``deficit`` are not taken.
 
-    ``short`` holds (query_id, sig, rules..., deficit), ``taken`` the items (query_id,
-    sig, item) a query may not be filled with, ``largest`` the biggest deficit. Among
-    the first deficit + |taken| allowed items, at least ``deficit`` are not taken.
+    Queries without rules need no list of items at all: their ranking is the places
+    1, 2, 3 and so on.
     """
     blocked = taken.groupBy("query_id").agg(F.count("*").alias("n_taken"))
     short = short.join(blocked, "query_id", "left").withColumn(
@@ -133,19 +141,23 @@ def backfill(
     )
     short = stage(short.drop("n_taken"), "short")
 
-    ranked = items.select(F.lit("").alias("sig"), F.col("pos").alias("place"), "item")
-    ruled = short.where(F.col("sig") != "")
-    if not ruled.isEmpty():
-        sigs = ruled.groupBy("sig").agg(
-            F.max("need").alias("need"), *[F.any_value(c).alias(c) for c in RULE_COLUMNS]
+    n_items = model.items.agg(F.count("*")).scalar()
+    upto = F.least(F.col("need"), (F.col("page") + 1) * PAGE, n_items)
+    free = short.where(F.col("sig") == 0).withColumn("need", F.least("need", n_items))
+    offered = _pages_wanted(free.where(F.col("need") > 0)).select(
+        "query_id", "sig", "deficit", F.explode(F.sequence(F.col("page") * PAGE + 1, upto)).alias("place")
+    ).withColumn("pos", F.col("place"))
+
+    if rules is not None:
+        ruled = short.where(F.col("sig") != 0)
+        sigs = ruled.groupBy("sig").agg(F.max("need").alias("need")).join(rules, "sig")
+        allowed = eligible_items(sigs, model.items, model.postings, model.weights, params)
+        allowed = allowed.withColumn("page", _page("place"))
+        listed = _pages_wanted(ruled).join(allowed, ["sig", "page"])
+        offered = offered.unionByName(
+            listed.where(F.col("place") <= F.col("need")).select(*offered.columns)
         )
-        ranked = ranked.unionByName(eligible_items(sigs, items, postings, weights, params))
 
-    reach = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("need") - 1) / PAGE).cast("bigint")))
-    wanted = short.select("query_id", "sig", "deficit", "need", reach.alias("page"))
-    offered = wanted.join(ranked.withColumn("page", _page("place")), ["sig", "page"]).where(
-        F.col("place") <= F.col("need")
-    )
-    free = offered.join(taken, ["query_id", "sig", "item"], "left_anti")
+    free = offered.join(taken, ["query_id", "sig", "pos"], "left_anti")
     filled = top_per_group(free, ["query_id"], [F.col("place")], largest, rank="fill")
-    return filled.where(F.col("fill") <= F.col("deficit")).select("query_id", "item", "fill")
+    return filled.where(F.col("fill") <= F.col("deficit")).select("query_id", "pos", "fill")

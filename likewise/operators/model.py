@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,9 @@ from likewise.operators.similarity import correlator_lists
 
 PROPS = "map<string,array<string>>"
 
+#: Items per block of a term's postings.
+BLOCK = 1024
+
 
 def join_props_ranks(props: DataFrame, ranks: DataFrame) -> DataFrame:
     """Full outer join on the item; a ranking overrides the property of its name."""
@@ -94,8 +98,8 @@ def item_table(
     return number_rows(dated, order)
 
 
-def build_postings(correlators: DataFrame | None, props: DataFrame) -> DataFrame:
-    """(field, term, item): which items are found under a term of a field."""
+def index_terms(correlators: DataFrame | None, props: DataFrame) -> DataFrame:
+    """(field, term, item): the words under which an item is found."""
     described = props.select("item", F.explode("props").alias("field", "values")).select(
         "field", F.explode(F.array_distinct("values")).alias("term"), "item"
     )
@@ -107,7 +111,7 @@ def build_postings(correlators: DataFrame | None, props: DataFrame) -> DataFrame
     return correlated.unionByName(described)
 
 
-def term_weights(postings: DataFrame, correlators: DataFrame | None, props: DataFrame) -> DataFrame:
+def term_weights(entries: DataFrame, correlators: DataFrame | None, props: DataFrame) -> DataFrame:
     """(field, term, df, idf); idf counts the items that have the field at all.
 
     Document frequencies combine before the shuffle; the number of items per field needs
@@ -121,12 +125,58 @@ def term_weights(postings: DataFrame, correlators: DataFrame | None, props: Data
             correlators.where(F.col("rnk") == 1).select(F.col("event").alias("field"))
         )
     per_field = docs.groupBy("field").agg(F.count("*").alias("n_docs"))
-    per_term = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+    per_term = entries.groupBy("field", "term").agg(F.count("*").alias("df"))
     return per_term.join(per_field, "field").select(
         "field", "term", "df", inverse_frequency(F.col("n_docs"), F.col("df")).alias("idf")
     )
 
 
+def build_postings(entries: DataFrame, weights: DataFrame, items: DataFrame) -> DataFrame:
+    """(field, term, idf, block, places): the items of a term, as lists of places.
+
+    Lists are cut into blocks of about ``BLOCK`` by a hash of the place, as many as the
+    term's frequency asks for. However common a term is, no list outgrows memory and
+    its blocks are built, stored and joined separately; a rare term is one row instead
+    of one per item.
+    """
+    blocks = F.ceil(F.col("df") / BLOCK)
+    placed = entries.join(weights, ["field", "term"]).join(items.select("item", "pos"), "item")
+    return (
+        placed.withColumn("block", F.pmod(F.xxhash64("pos"), blocks))
+        .groupBy("field", "term", "idf", "block")
+        .agg(F.collect_list("pos").alias("places"))
+    )
+
+
+@dataclass(frozen=True)
+class Model:
+    """What queries are answered from.
+
+    correlators (item, event, correlator, llr, rnk), items (item, props, dates...,
+    rankings..., pos), postings (field, term, idf, block, places), weights (field, term,
+    df, idf). ``pos`` is an item's place in the ranking of all items, and stands for the
+    item wherever queries are answered: eight bytes, ordered like the backfill.
+    """
+
+    correlators: DataFrame
+    items: DataFrame
+    postings: DataFrame
+    weights: DataFrame
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {
+            "correlators": self.correlators,
+            "items": self.items,
+            "postings": self.postings,
+            "weights": self.weights,
+        }
+
+    def documents(self) -> DataFrame:
+        """One row per item with its properties and correlator lists in one map."""
+        described = self.items.select("item", "props")
+        return merge_model([correlator_fields(self.correlators), described])
+
+
 def empty_correlators(spark, item_type: DataType) -> DataFrame:
     """No correlators at all, with the schema of some."""
     kind = item_type.simpleString()

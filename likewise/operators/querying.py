@@ -18,6 +18,7 @@ from pyspark.sql.types import DataType
 
 from likewise.operators.groups import SHARDS, top_per_group
 from likewise.params import EngineParams
+from likewise.sources.staging import stage
 
 RULES = "array<struct<name:string,values:array<string>,bias:double>>"
 DATE_RANGE = "struct<name:string,before:timestamp,after:timestamp>"
@@ -223,10 +224,10 @@ def exclusions(queries: DataFrame, usage: DataFrame, params: EngineParams) -> Da
 
 
 def with_rules(queries: DataFrame, params: EngineParams, now: Column) -> DataFrame:
-    """Adds the columns deciding which items a query may return at all, and ``sig``.
+    """Adds the columns deciding which items a query may return at all.
 
-    Queries with equal rules share one signature; the empty signature means no rule.
-    ``required`` has a bit per event type whose terms must be matched (negative bias).
+    ``rules`` is their text, NULL for a query without any. ``required`` has a bit per
+    event type whose terms must be matched (negative bias).
     """
     rule = "array<struct<name:string,values:array<string>>>"
     bare = {
@@ -276,15 +277,24 @@ def with_rules(queries: DataFrame, params: EngineParams, now: Column) -> DataFra
         & F.col("now").isNull()
         & (F.col("required") == 0)
     )
-    return ruled.withColumn("sig", F.when(free, F.lit("")).otherwise(F.sha2(text, 256)))
+    return ruled.withColumn("rules", F.when(~free, text))
 
 
 RULE_COLUMNS = ["filters", "excludes", "date_name", "after", "before", "now", "required"]
 
 
-def signatures(queries: DataFrame) -> DataFrame:
-    """One row per distinct set of rules."""
-    return queries.where(F.col("sig") != "").dropDuplicates(["sig"]).select("sig", *RULE_COLUMNS)
+def number_signatures(asked: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(queries with ``sig``, rule sets by ``sig``): equal rule sets share a number.
+
+    0 stands for no rules. Where no query has any, there is no second table.
+    """
+    ruled = asked.where(F.col("rules").isNotNull())
+    if ruled.isEmpty():
+        return asked.withColumn("sig", F.lit(0).cast("bigint")), None
+    sets = ruled.groupBy("rules").agg(*[F.any_value(c).alias(c) for c in RULE_COLUMNS])
+    sets = stage(sets.withColumn("sig", F.monotonically_increasing_id() + 1), "signatures")
+    numbered = asked.join(sets.select("rules", "sig"), "rules", "left")
+    return numbered.withColumn("sig", F.coalesce("sig", F.lit(0).cast("bigint"))), sets
 
 
 def field_rules_pass(props: Column, filters: Column, excludes: Column) -> Column:

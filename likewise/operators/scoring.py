@@ -7,27 +7,40 @@ from pyspark.sql import functions as F
 
 from likewise.functions.scores import fixed6
 
+#: Above the bits of all must-match clauses.
+TAKEN = 1 << 62
+
 
 def term_match(terms: DataFrame, postings: DataFrame) -> DataFrame:
-    """Equi-join on (field, term): every item found under every term of every query.
+    """Equi-join on (field, term): the place of every item under every term of a query.
 
-    A term shared by many queries and found under many items is skewed on both sides;
-    adaptive execution splits both, as an aggregation with its own shuffle follows.
+    Adds ``idf`` and ``pos`` to the terms. The join meets blocks of postings, not single
+    ones. A term shared by many queries and found under many items is skewed on both
+    sides; adaptive execution splits both, as a shuffle of the matches follows.
     """
-    return terms.join(postings, ["field", "term"])
+    met = terms.join(postings.drop("block"), ["field", "term"])
+    return met.select("*", F.explode("places").alias("pos")).drop("places")
+
 
+def term_score(terms: DataFrame, postings: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """(query_id, sig, pos, score, bits): sum of boost * idf over the matched terms.
 
-def term_score(terms: DataFrame, postings: DataFrame, weights: DataFrame) -> DataFrame:
-    """(query_id, sig, item, score, bits): sum of boost * idf over the matched terms.
+    The matches of one (query, item) come from different terms and so from different
+    tasks: combining them before the shuffle would fill hash tables without shrinking
+    anything. They are spread by (query, item) first, where a group is bounded by the
+    query's number of terms. ``bits`` tells which must-match clauses were met.
 
-    Terms are weighted before they meet the postings, and their sums combine before
-    the shuffle on (query, item). ``bits`` tells which must-match clauses were met.
+    Items ``taken`` from a query (query_id, sig, pos) go through the same shuffle as one
+    more match each, marked, and drop out when the group is summed: an anti join
+    without the join.
     """
-    weighted = terms.join(weights.select("field", "term", "idf"), ["field", "term"]).select(
-        "query_id", "sig", "field", "term", (F.col("boost") * F.col("idf")).alias("gain"), "bit"
-    )
-    return (
-        term_match(weighted, postings)
-        .groupBy("query_id", "sig", "item")
-        .agg(fixed6(F.sum("gain")).alias("score"), F.bit_or("bit").alias("bits"))
+    key = ["query_id", "sig", "pos"]
+    gain = (F.col("boost") * F.col("idf")).alias("gain")
+    matches = term_match(terms, postings).select(*key, gain, "bit")
+    if taken is not None:
+        mark = F.lit(TAKEN).cast("bigint").alias("bit")
+        matches = matches.unionByName(taken.select(*key, F.lit(0.0).alias("gain"), mark))
+    summed = matches.repartition(*key).groupBy(*key).agg(
+        fixed6(F.sum("gain")).alias("score"), F.bit_or("bit").alias("bits")
     )
+    return summed.where(F.col("bits") < TAKEN)

@@ -10,18 +10,17 @@ from pyspark.sql import functions as F
 from likewise.operators.backfill import backfill
 from likewise.operators.groups import top_per_group
 from likewise.operators.querying import (
-    RULE_COLUMNS,
     all_field_rules,
     complete_queries,
     exclusions,
+    number_signatures,
     query_terms,
     rules_pass,
-    signatures,
     with_rules,
 )
 from likewise.operators.scoring import term_score
 from likewise.params import EngineParams
-from likewise.plans.train import Model
+from likewise.operators.model import Model
 from likewise.sources.staging import stage
 from likewise.sources.tables import usage_events
 
@@ -31,33 +30,34 @@ def scored_hits(
     usage: DataFrame,
     taken: DataFrame,
     model: Model,
+    rules: DataFrame | None,
     params: EngineParams,
     largest: int,
 ) -> DataFrame:
-    """(query_id, sig, item, score, rnk): matched items each query may return, best first.
+    """(query_id, sig, pos, score, rnk): matched items each query may return, best first.
 
-    Exclusions are removed on the partitioning the scores are summed on. Rules are
-    tested on matched items only. What is left per query is cut before its shuffle.
+    Rules are tested on matched items only, and items are not even read if no query has
+    rules. What is left of a query is cut before its shuffle.
     """
     terms = query_terms(asked, usage, model.correlators, params)
-    scores = term_score(terms, model.postings, model.weights)
-    scores = scores.join(taken, ["query_id", "sig", "item"], "left_anti")
-    described = model.items.select("item", "pos", "props", *params.date_columns)
-    allowed = (
-        scores.join(described, "item")
-        .join(signatures(asked), "sig", "left")
-        .where(
-            (F.col("sig") == "")
-            | (rules_pass(params) & (F.col("bits").bitwiseAND(F.col("required")) == F.col("required")))
+    allowed = term_score(terms, model.postings, taken)
+    if rules is not None:
+        described = model.items.select("pos", "props", *params.date_columns)
+        required_met = F.col("bits").bitwiseAND(F.col("required")) == F.col("required")
+        allowed = (
+            allowed.join(rules.drop("rules"), "sig", "left")
+            .join(described, "pos")
+            .where((F.col("sig") == 0) | (rules_pass(params) & required_met))
+            .where((F.col("score") > 0) | (F.col("required") != 0))
         )
-        .where((F.col("score") > 0) | (F.col("required") != 0))
-    )
+    else:
+        allowed = allowed.where(F.col("score") > 0)
     return top_per_group(
-        allowed.select("query_id", "sig", "item", "score", "pos"),
+        allowed.select("query_id", "sig", "pos", "score"),
         ["query_id"],
         [F.col("score").desc(), F.col("pos")],
         largest,
-    ).drop("pos")
+    )
 
 
 def recommend(
@@ -79,57 +79,57 @@ def recommend(
     moment = F.lit((now if isinstance(now, str) else now.isoformat()) if now else None)
     moment = moment.cast("timestamp") if now else F.current_timestamp()
 
+    # within the batch a query is a number, whatever its id is made of
     asked = complete_queries(queries, params, user_type, item_type)
-    asked = stage(with_rules(all_field_rules(asked, params), params, moment), "queries")
+    asked = with_rules(all_field_rules(asked, params), params, moment)
+    asked = asked.withColumnRenamed("query_id", "_name")
+    asked = stage(asked.withColumn("query_id", F.monotonically_increasing_id()), "queries")
+    asked, rules = number_signatures(asked)
     page = F.col("num") + F.col("from")
     largest = asked.agg(F.max(page).alias("n")).first()["n"] or 0
-    taken = stage(exclusions(asked, usage, params), "exclusions")
-    hits = stage(scored_hits(asked, usage, taken, model, params, largest), "hits")
+    places = model.items.select("item", "pos")
+    taken = exclusions(asked, usage, params).join(places, "item")
+    taken = stage(taken.select("query_id", "sig", "pos"), "exclusions")
+    hits = stage(scored_hits(asked, usage, taken, model, rules, params, largest), "hits")
 
-    answers = hits.select("query_id", "item", "score", F.col("rnk").cast("bigint").alias("pos"))
+    answers = hits.select("query_id", "pos", "score", F.col("rnk").cast("bigint").alias("rnk"))
     if params.recs_model != "collabFiltering":
         n_hits = hits.groupBy("query_id").agg(F.count("*").alias("n_hits"))
         short = (
             asked.where(F.col("required") == 0)
-            .select("query_id", "sig", *RULE_COLUMNS, page.alias("page_end"))
+            .select("query_id", "sig", page.alias("page_end"))
             .join(n_hits, "query_id", "left")
-            .withColumn("n_hits", F.coalesce("n_hits", F.lit(0)))
-            .withColumn("deficit", F.col("page_end") - F.col("n_hits"))
+            .withColumn("deficit", F.col("page_end") - F.coalesce("n_hits", F.lit(0)))
             .where(F.col("deficit") > 0)
         )
-        used = taken.unionByName(hits.select("query_id", "sig", "item"))
-        fills = backfill(
-            short.select("query_id", "sig", *RULE_COLUMNS, "deficit"),
-            used,
-            model.items,
-            model.postings,
-            model.weights,
-            params,
-            largest,
-        )
+        used = taken.unionByName(hits.select("query_id", "sig", "pos"))
+        short = short.select("query_id", "sig", "deficit")
+        fills = backfill(short, used, rules, model, params, largest)
         fills = fills.join(n_hits, "query_id", "left").select(
             "query_id",
-            "item",
+            "pos",
             F.lit(0.0).alias("score"),
-            (F.col("fill") + F.coalesce("n_hits", F.lit(0))).alias("pos"),
+            (F.col("fill") + F.coalesce("n_hits", F.lit(0))).alias("rnk"),
         )
         answers = answers.unionByName(fills)
 
-    bounds = asked.select("query_id", "num", "from", "with_ranks")
+    bounds = asked.select("query_id", "_name", "num", "from", "with_ranks")
     paged = answers.join(bounds, "query_id").where(
-        (F.col("pos") > F.col("from")) & (F.col("pos") <= page)
+        (F.col("rnk") > F.col("from")) & (F.col("rnk") <= page)
+    )
+    return with_ranks(paged, model, params).select(
+        F.col("_name").alias("query_id"), F.col("rnk").alias("pos"), "item", "score", "ranks"
     )
-    return with_ranks(paged, model, params).select("query_id", "pos", "item", "score", "ranks")
 
 
 def with_ranks(answers: DataFrame, model: Model, params: EngineParams) -> DataFrame:
-    """Adds ``ranks``, a map from ranking to value, where the query asks for it."""
+    """Adds the item at each place, and its ``ranks`` where the query asks for them."""
     names = [c for c in params.rank_columns if c in model.items.columns]
-    if not names:
-        return answers.withColumn("ranks", F.lit(None).cast("map<string,double>"))
-    pairs = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*names))
-    present = F.map_filter(pairs, lambda _, value: value.isNotNull())
-    ranked = model.items.select("item", present.alias("ranks"))
-    return answers.join(ranked, "item").withColumn(
+    ranks = F.lit(None).cast("map<string,double>")
+    if names:
+        pairs = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*names))
+        ranks = F.map_filter(pairs, lambda _, value: value.isNotNull())
+    named = model.items.select("pos", "item", ranks.alias("ranks"))
+    return answers.join(named, "pos").withColumn(
         "ranks", F.when(F.col("with_ranks"), F.col("ranks"))
     )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -11,9 +10,10 @@ from pyspark.sql import functions as F
 from likewise.operators.events import dedup_events, moving_window
 from likewise.operators.model import (
     PROPS,
+    Model,
     build_postings,
-    correlator_fields,
     empty_correlators,
+    index_terms,
     item_table,
     merge_model,
     term_weights,
@@ -26,33 +26,6 @@ from likewise.sources.staging import stage
 from likewise.sources.tables import usage_events
 
 
-@dataclass(frozen=True)
-class Model:
-    """What queries are answered from.
-
-    correlators (item, event, correlator, llr, rnk), items (item, props, dates...,
-    rankings..., pos), postings (field, term, item), weights (field, term, df, idf).
-    """
-
-    correlators: DataFrame
-    items: DataFrame
-    postings: DataFrame
-    weights: DataFrame
-
-    def tables(self) -> dict[str, DataFrame]:
-        return {
-            "correlators": self.correlators,
-            "items": self.items,
-            "postings": self.postings,
-            "weights": self.weights,
-        }
-
-    def documents(self) -> DataFrame:
-        """One row per item with its properties and correlator lists in one map."""
-        described = self.items.select("item", "props")
-        return merge_model([correlator_fields(self.correlators), described])
-
-
 def clean_events(
     events: DataFrame, params: EngineParams, end: datetime | str | None = None
 ) -> DataFrame:
@@ -68,8 +41,9 @@ def _assemble(
     items = item_table(props, ranks, found, params.date_columns)
     items = stage(items, "items")
     described = items.select("item", "props")
-    postings = stage(build_postings(found, described), "postings")
-    weights = stage(term_weights(postings, found, described), "weights")
+    entries = index_terms(found, described)
+    weights = stage(term_weights(entries, found, described), "weights")
+    postings = stage(build_postings(entries, weights, items), "postings")
     return Model(found, items, postings, weights)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from likewise.plans.train import Model
+from likewise.operators.model import Model
 
 TABLES = ("correlators", "items", "postings", "weights")
 
