@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from likewise.functions.hashing import uniform
 
 
+def _line() -> Column:
+    """The text without its line end."""
+    return F.regexp_replace("value", "[\\r\\n]+$", "")
+
+
 def parse_delimited_events(
     lines: DataFrame,
     time: Column | None = None,
@@ -19,7 +24,7 @@ def parse_delimited_events(
     ``lines`` has the text in ``value`` and a line number in ``seq``; ``time`` gives a
     line's moment. A value list belongs to the name before it; ids may hold blanks.
     """
-    part = F.split(F.rtrim("value"), field_separator, -1)
+    part = F.split(_line(), field_separator, -1)
     pieces = F.split(F.get(part, F.lit(2)), value_separator, -1)
     is_set = F.get(part, F.lit(1)) == "$set"
     cut = lines.select(
@@ -52,7 +57,7 @@ def parse_ratings(lines: DataFrame, seed: int = 0, separator: str = "::") -> Dat
     The rating is ignored. Whether a line counts as "rate" or "buy", and which category
     pair its item gets, is drawn from the line's text and number, so that it repeats.
     """
-    part = F.split(F.rtrim("value"), separator, -1)
+    part = F.split(_line(), separator, -1)
     cut = lines.select("value", "seq", part.alias("_part")).where(F.size("_part") >= 2)
     buys = uniform(seed, F.col("value"), F.col("seq")) < 0.5
     second = uniform(seed + 1, F.col("value"), F.col("seq")) < 0.5
