@@ -85,9 +85,11 @@ def eligible_items(
     while first <= last_page and not open_sigs.isEmpty():
         upto = min(first + width - 1, last_page)
         reach = F.explode(F.sequence(F.lit(first).cast("bigint"), F.lit(upto).cast("bigint")))
+        # few pages meet many rule sets, or many pages few: the slice's size decides
+        slice_ = stage(paged.where(F.col("page").between(first, upto)), "slice")
         walked = (
             open_sigs.select("sig", *RULE_COLUMNS, reach.alias("page"))
-            .join(paged.where(F.col("page").between(first, upto)), "page")
+            .join(slice_, "page")
             .where(rules_pass(params))
             .select("sig", "pos")
         )
@@ -152,7 +154,7 @@ def backfill(
         ruled = short.where(F.col("sig") != 0)
         sigs = ruled.groupBy("sig").agg(F.max("need").alias("need")).join(rules, "sig")
         allowed = eligible_items(sigs, model.items, model.postings, model.weights, params)
-        allowed = allowed.withColumn("page", _page("place"))
+        allowed = stage(allowed.withColumn("page", _page("place")), "allowed")
         listed = _pages_wanted(ruled).join(allowed, ["sig", "page"])
         offered = offered.unionByName(
             listed.where(F.col("place") <= F.col("need")).select(*offered.columns)

@@ -12,6 +12,7 @@ from likewise.functions.hashing import shuffle_key
 from likewise.functions.times import duration, instant, instant_literal
 from likewise.operators.groups import top_per_group
 from likewise.params import Indicator
+from likewise.sources.staging import stage
 
 LOG_KEY = ["event", "entity_type", "entity_id", "target_entity_type", "target_entity_id"]
 
@@ -180,11 +181,13 @@ def prepare(
     indicators' caps, with ``n_users`` per target. The cap per user is applied before
     the join with ``users``: it does not depend on other users, gives the same rows
     as after it, and bounds every user's group before users become a shuffle key.
+    ``users`` are staged: they are joined and counted without reading the log again,
+    and their true size decides whether the join needs a shuffle.
     """
     names = [i.name for i in indicators]
     primary = names[0]
     counts = interaction_counts(interactions.where(F.col("event").isin(names)))
-    users = active_users(counts, primary, min_events)
+    users = stage(active_users(counts, primary, min_events), "users")
     capped = cap_per_user(counts.select("user", "event", "item"), indicators, seed)
     kept = capped.join(users, "user", "left_semi")
     return cap_per_item(kept, indicators, seed), users

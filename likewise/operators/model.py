@@ -13,6 +13,7 @@ from pyspark.sql.types import DataType
 from likewise.functions.scores import inverse_frequency
 from likewise.operators.groups import number_rows
 from likewise.operators.similarity import correlator_lists
+from likewise.sources.staging import stage
 
 PROPS = "map<string,array<string>>"
 
@@ -124,7 +125,8 @@ def term_weights(entries: DataFrame, correlators: DataFrame | None, props: DataF
         docs = docs.unionByName(
             correlators.where(F.col("rnk") == 1).select(F.col("event").alias("field"))
         )
-    per_field = docs.groupBy("field").agg(F.count("*").alias("n_docs"))
+    # one row per field name; staged, so that its true size decides how it is joined
+    per_field = stage(docs.groupBy("field").agg(F.count("*").alias("n_docs")), "fields")
     per_term = entries.groupBy("field", "term").agg(F.count("*").alias("df"))
     return per_term.join(per_field, "field").select(
         "field", "term", "df", inverse_frequency(F.col("n_docs"), F.col("df")).alias("idf")

@@ -214,8 +214,13 @@ def exclusions(queries: DataFrame, usage: DataFrame, params: EngineParams) -> Da
     lists = queries.select("query_id", "sig", F.explode(F.concat(*listed)).alias("item"))
     names = params.blacklisting_events
     if names:
-        had = usage.where(F.col("event").isin(names)).select("user", "item").distinct()
         asking = queries.where(F.col("user").isNotNull()).select("query_id", "sig", "user")
+        theirs = usage.where(F.col("event").isin(names)).join(
+            asking.select("user").distinct(), "user", "left_semi"
+        )
+        # distinct on one struct: its own shuffle, combined beforehand, instead of the
+        # join's partitioning by user, in which a hot user is a single task
+        had = theirs.select(F.struct("user", "item").alias("had")).distinct().select("had.*")
         lists = lists.unionByName(asking.join(had, "user").select("query_id", "sig", "item"))
     return lists.where(F.col("item").isNotNull()).distinct()
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,26 +90,44 @@ def rank_user_defined(props: DataFrame, name: str) -> DataFrame:
     return props.select("item", value.alias("rank")).where(F.col("rank").isNotNull())
 
 
-def rank(
-    ranking: Ranking,
-    events: DataFrame,
-    props: DataFrame,
-    end: datetime | str | None = None,
-    seed: int = 0,
-) -> DataFrame:
-    """(item, rank) of one configured ranking; ``end`` closes its window if it does not."""
+def _window(ranking: Ranking, end: datetime | str | None) -> tuple[datetime, datetime]:
     close = instant(ranking.end or end or datetime.now())
-    start = close - duration(ranking.duration)
-    names = ranking.event_names or ()
-    if ranking.type == "popular":
-        return rank_popular(events, names, start, close)
-    if ranking.type == "trending":
-        return rank_trending(events, names, start, close)
-    if ranking.type == "hot":
-        return rank_hot(events, names, start, close)
+    return close - duration(ranking.duration), close
+
+
+#: Into how many stretches a ranking cuts its window; random only asks who is in it.
+_STRETCHES = {"popular": 1, "trending": 2, "hot": 3, "random": 1}
+
+
+def _counts(ranking: Ranking, events: DataFrame, window: tuple[datetime, datetime]) -> list[Column]:
+    """A conditional count per stretch of the ranking's window."""
+    bounds = _parts(*window, _STRETCHES[ranking.type])
+    named = F.lit(True)
+    if ranking.type != "random" and ranking.event_names:
+        named = F.col("event").isin(list(ranking.event_names))
+    kind = events.schema["event_time"].dataType
+    at = F.col("event_time")
+    return [
+        F.count(
+            F.when(
+                named & (at >= instant_literal(lo, kind)) & (at < instant_literal(hi, kind)), F.lit(1)
+            )
+        ).alias(f"{ranking.column}:{i}")
+        for i, (lo, hi) in enumerate(zip(bounds, bounds[1:]))
+    ]
+
+
+def _value(ranking: Ranking, seed: int) -> Column:
+    """The ranking from its counts, NULL for items it does not rank."""
+    n = [F.col(f"`{ranking.column}:{i}`") for i in range(_STRETCHES.get(ranking.type, 0))]
+    if ranking.type == "userDefined":
+        return F.get(F.col("props")[ranking.column], F.lit(0)).try_cast("double")
     if ranking.type == "random":
-        return rank_random(events, props, start, close, seed)
-    return rank_user_defined(props, ranking.column)
+        known = (F.coalesce(n[0], F.lit(0)) > 0) | F.col("props").isNotNull()
+        return F.when(known, uniform(seed, F.col("item")))
+    present = reduce(lambda x, y: x & y, [c > 0 for c in n])
+    worth = {1: lambda a: a, 2: lambda a, b: b - a, 3: lambda a, b, c: (c - b) - (b - a)}
+    return F.when(present, worth[len(n)](*n).cast("double"))
 
 
 def rank_table(
@@ -119,18 +138,30 @@ def rank_table(
     seed: int = 0,
     catalog_only: bool = False,
 ) -> DataFrame:
-    """One row per ranked item, one column per ranking.
+    """One row per ranked item, one column per ranking; ``end`` closes open windows.
 
-    The full outer join of all rankings, as one shuffle on the item instead of a chain
-    of joins. ``catalog_only`` leaves out event targets without properties.
+    All rankings share one scan of the log and one shuffle: every stretch of every
+    window is a conditional count of the same aggregation. One full outer join adds
+    what comes from properties. ``catalog_only`` leaves out targets without properties.
     """
-    stacked = None
-    for ranking in rankings:
-        one = rank(ranking, events, props, end, seed).withColumn("name", F.lit(ranking.column))
-        stacked = one if stacked is None else stacked.unionByName(one)
-    columns = [r.column for r in rankings]
-    picks = [F.max(F.when(F.col("name") == c, F.col("rank"))).alias(c) for c in columns]
-    table = stacked.groupBy("item").agg(*picks)
+    counted_ones = [r for r in rankings if r.type in _STRETCHES]
+    windows = {r.column: _window(r, end) for r in counted_ones}
+    ranked = props
+    if counted_ones:
+        anytime = "random" in {r.type for r in counted_ones}
+        names = {n for r in counted_ones for n in r.event_names or ()}
+        anything = anytime or not all(r.event_names for r in counted_ones)
+        seen = events_between(
+            events,
+            min(lo for lo, _ in windows.values()),
+            max(hi for _, hi in windows.values()),
+            () if anything else sorted(names),
+        ).where(F.col("target_entity_id").isNotNull())
+        measures = [c for r in counted_ones for c in _counts(r, events, windows[r.column])]
+        counts = seen.groupBy(F.col("target_entity_id").alias("item")).agg(*measures)
+        ranked = props.join(counts, "item", "full_outer")
     if catalog_only:
-        table = table.join(props.select("item"), "item", "left_semi")
-    return table
+        ranked = ranked.where(F.col("props").isNotNull())
+    columns = [r.column for r in rankings]
+    table = ranked.select("item", *[_value(r, seed).alias(r.column) for r in rankings])
+    return table.where(F.coalesce(*columns).isNotNull())
