@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from likewise.functions.hashing import shuffle_key
 from likewise.functions.times import duration, instant, instant_literal
-from likewise.operators.groups import top_per_group
+from likewise.operators.groups import SHARDS, top_per_group
 from likewise.params import Indicator
 from likewise.sources.staging import stage
 
@@ -138,10 +138,29 @@ def cap_per_user(
         ["user", "event"],
         [shuffle_key(seed, F.col("user"), F.col("item")), F.col("item")],
         widest,
+        shards=SHARDS,  # the rows may come from a join on the user
     )
     return kept.where(F.col("rnk") <= cap).drop("rnk")
 
 
+def _cap_large_baskets(
+    interactions: DataFrame, indicators: Sequence[Indicator], seed: int
+) -> DataFrame:
+    """:func:`cap_per_user`, sorting only the rows of users who exceed a cap.
+
+    Most users do not, and their rows stay where they are: the table of those who do is
+    staged, and small enough to be broadcast unless they are very many.
+    """
+    cap, _ = _cap_of(indicators)
+    sizes = interactions.groupBy("user", "event").agg(F.count("*").alias("n"))
+    over = stage(sizes.where(F.col("n") > cap).select("user", "event"), "over")
+    if over.isEmpty():
+        return interactions
+    key = ["user", "event"]
+    large = cap_per_user(interactions.join(over, key, "left_semi"), indicators, seed)
+    return interactions.join(over, key, "left_anti").unionByName(large)
+
+
 def cap_per_item(
     interactions: DataFrame, indicators: Sequence[Indicator], seed: int = 0
 ) -> DataFrame:
@@ -181,13 +200,14 @@ def prepare(
     indicators' caps, with ``n_users`` per target. The cap per user is applied before
     the join with ``users``: it does not depend on other users, gives the same rows
     as after it, and bounds every user's group before users become a shuffle key.
-    ``users`` are staged: they are joined and counted without reading the log again,
-    and their true size decides whether the join needs a shuffle.
+    Interactions and ``users`` are staged, so that the log is read once, and the true
+    size of ``users`` decides whether the join with them needs a shuffle.
     """
     names = [i.name for i in indicators]
     primary = names[0]
-    counts = interaction_counts(interactions.where(F.col("event").isin(names)))
+    log = interactions.where(F.col("event").isin(names))
+    counts = stage(interaction_counts(log), "interactions")
     users = stage(active_users(counts, primary, min_events), "users")
-    capped = cap_per_user(counts.select("user", "event", "item"), indicators, seed)
+    capped = _cap_large_baskets(counts.select("user", "event", "item"), indicators, seed)
     kept = capped.join(users, "user", "left_semi")
     return cap_per_item(kept, indicators, seed), users
