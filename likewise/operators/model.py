@@ -173,10 +173,16 @@ class Model:
             "weights": self.weights,
         }
 
-    def documents(self) -> DataFrame:
-        """One row per item with its properties and correlator lists in one map."""
-        described = self.items.select("item", "props")
-        return merge_model([correlator_fields(self.correlators), described])
+    def documents(self, only: DataFrame | None = None) -> DataFrame:
+        """One row per item with its properties and correlator lists in one map.
+
+        ``only`` names the items wanted in a column ``item``; others are not assembled.
+        """
+        found, described = self.correlators, self.items.select("item", "props")
+        if only is not None:
+            found = found.join(only, "item", "left_semi")
+            described = described.join(only, "item", "left_semi")
+        return merge_model([correlator_fields(found), described])
 
 
 def empty_correlators(spark, item_type: DataType) -> DataFrame:

@@ -65,7 +65,7 @@ def load_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lookup_items(queries: DataFrame, model: Model) -> DataFrame:
-    """(query_id, item, event, correlators) of the items asked for; unknown ones are empty."""
-    found = model.documents().select("item", "props")
+    """(query_id, item, props) of the items asked for; ``props`` is NULL for unknown ones."""
     asked = queries.select("query_id", "item").where(F.col("item").isNotNull())
+    found = model.documents(only=asked.select("item").distinct())
     return asked.join(found, "item", "left").select("query_id", "item", "props")
