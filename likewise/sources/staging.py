@@ -2,12 +2,12 @@
 
 A staged table replaces a checkpoint: it cuts the lineage, survives the loss of any
 executor, and, being Parquet, keeps column pruning and a real size on which Spark
-decides about broadcasting.
+decides about broadcasting. All tables of an application lie in one folder, which is
+removed when the application's JVM ends.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,20 +16,29 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Only a local session without either (tests) gets a temporary folder of its own.
+    A session with neither uses its warehouse, which executors share as well.
     """
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="likewise-")
-        context.setCheckpointDir(folder)
+    folder = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or context.getCheckpointDir()
+        or spark.conf.get("spark.sql.warehouse.dir")
+    )
     return folder.rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """This application's folder of staged tables, removed when its JVM ends."""
+    folder = f"{shared_folder(spark)}/likewise/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
+
+
 def staged_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/likewise/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
