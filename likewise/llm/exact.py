@@ -19,7 +19,13 @@ from likewise.llm import text as tx
 from likewise.sources.staging import stage, staged_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+#: How the state is kept while the stream runs. Without fallocate a small store takes what it
+#: holds, and not several megabytes for each partition.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 #: What one micro-batch reads of the fingerprints (about 100 bytes a document).
 BATCH_BYTES = 4 << 30
@@ -68,8 +74,9 @@ def run_state(
     def commit(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{updates}/batch={batch_id}")
 
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE}
+    for key, value in STATE.items():
+        spark.conf.set(key, value)
     try:
         query = (
             seen.writeStream.outputMode("update")
@@ -80,7 +87,11 @@ def run_state(
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     kept = f"digest string, stays {seen.schema['stays'].dataType.simpleString()}, n_rows bigint"
     return (
         spark.read.schema(f"{kept}, batch int")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from likewise.llm import exact, lines
+import public_tokenizers
+from likewise.llm import bpe, exact, lines, minhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +24,22 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN).drop("text")
+    return bpe.decode(encoded, path).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(bpe.id_text(), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return cleaned.select(
@@ -32,6 +49,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1,
+    "op4_minhash_near_dedup": op4,
+    "op5_byte_bpe": op5,
     "op9_line_dedup": op9,
 }
 
