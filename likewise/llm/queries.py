@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from likewise.llm import bpe, exact, lines, minhash
+from likewise.llm import bpe, exact, lines, minhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.to_json("evidence").alias("evidence"),
+    )
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return cleaned.select(
@@ -51,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1,
     "op4_minhash_near_dedup": op4,
     "op5_byte_bpe": op5,
+    "op7_toxicity_knn": op7,
     "op9_line_dedup": op9,
 }
 
