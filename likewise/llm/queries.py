@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from likewise.llm import bpe, exact, lines, minhash, toxicity
+from likewise.llm import bpe, exact, licenses, lines, minhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -61,13 +65,65 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1,
+    "op3_license_scan": op3,
     "op4_minhash_near_dedup": op4,
     "op5_byte_bpe": op5,
     "op7_toxicity_knn": op7,
     "op9_line_dedup": op9,
 }
 
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_GAPS = r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+
+def _license_sql() -> str:
+    templates = ", ".join(
+        f"('{label}', {sorted(set(t.split()))}, {licenses._needed(len(set(t.split())), licenses.THRESHOLD)})"
+        for label, t in licenses.TEMPLATES.items()
+    )
+    starts = " UNION ALL ".join(
+        f"SELECT doc_id, '{label}' AS label, unnest(list_filter(range(len(w)), lambda i: "
+        + " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p.split()))
+        + ")) AS place FROM docs"
+        for p, label in licenses.PHRASES.items()
+    )
+    split = "list_filter(regexp_split_to_array({}, " + _GAPS + "), lambda x: x <> '')"
+    step = licenses.WINDOW // 2
+    return f"""
+        WITH docs AS (
+            SELECT doc_id, {split.format(f"translate(coalesce(text, ''), {_LOWER})")} AS w FROM documents
+        ), places AS ({starts}
+        ), base AS (
+            SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi,
+                   list_sort(list_distinct(list(label))) AS names FROM places GROUP BY doc_id
+        ), lines AS (
+            SELECT doc_id, unnest(string_split(translate(coalesce(text, ''), {_LOWER}), chr(10))) AS line
+            FROM documents
+        ), split AS (
+            SELECT doc_id, {split.format("line")} AS w FROM lines
+        ), blocks AS (
+            SELECT doc_id, w[o + 1 : o + {licenses.WINDOW}] AS b
+            FROM (SELECT doc_id, w, unnest(range(0,
+                CAST(greatest(0, ceil((len(w) - {licenses.WINDOW}) / {step}.0)) AS BIGINT) + 1)) * {step} AS o
+                FROM split)
+        ), templates(label, own, needed) AS (VALUES {templates}
+        ), found AS (
+            SELECT doc_id, label, max(len(list_intersect(own, b)) / len(own)) AS share
+            FROM blocks, templates WHERE len(list_intersect(own, b)) >= needed GROUP BY doc_id, label
+        ), per_doc AS (
+            SELECT doc_id, list(label) AS names, max(share) AS share FROM found GROUP BY doc_id
+        )
+        SELECT d.doc_id, len(d.w) AS n_words, coalesce(b.n, 0) AS n_base,
+               b.lo AS first_word, b.hi AS last_word,
+               coalesce(array_to_string(b.names, ','), '') AS base_labels,
+               coalesce(array_to_string(list_sort(list_distinct(
+                   list_concat(coalesce(b.names, []), coalesce(p.names, [])))), ','), '') AS labels,
+               CASE WHEN b.n > 0 THEN 1.0 ELSE coalesce(p.share, 0.0) END AS score
+        FROM docs d LEFT JOIN base b USING (doc_id) LEFT JOIN per_doc p USING (doc_id)"""
+
+
 SQL: dict[str, str] = {
+    "op3_license_scan": _license_sql(),
     "op1_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER w AS keep_id,
