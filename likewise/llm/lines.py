@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from likewise.llm import text as tx
+from likewise.sources.staging import stage
 
 #: Keys shorter than this are too common to count as repeated.
 MIN_CODE_POINTS = 10
@@ -44,11 +45,13 @@ def drop_repeated_lines(
         text.alias("text"),
         F.xxhash64(text).alias("row"),
     )
-    lines = (
+    # The hashes are read twice below, the texts only once for them.
+    lines = stage(
         texts.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
         .select("doc_id", "row", "pos", line_key(F.col("line")).alias("key"))
         .where(F.length("key") >= min_code_points)
-        .select("doc_id", "row", "pos", F.unhex(F.md5("key")).alias("hash"))
+        .select("doc_id", "row", "pos", F.unhex(F.md5("key")).alias("hash")),
+        "line-hashes",
     )
     # Distinct (hash, document) pairs come first: a line that a third of all documents hold is
     # then counted from partial sums.
