@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from likewise.llm import bpe, exact, licenses, lines, minhash, toxicity
+from likewise.llm import bpe, exact, licenses, lines, minhash, pii, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,21 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda x: x["kind"])
+    counts = [
+        (F.size("base") - F.size(F.array_remove(kinds, i))).cast("bigint").alias(f"n_{k}")
+        for i, k in enumerate(pii.KINDS[:4])
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.joined("base"), 256).alias("base_sha256"),
+        pii.joined("spans").alias("spans"),
+    )
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return cleaned.select(
@@ -69,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op4_minhash_near_dedup": op4,
     "op5_byte_bpe": op5,
     "op7_toxicity_knn": op7,
+    "op8_pii_boosting": op8,
     "op9_line_dedup": op9,
 }
 
