@@ -24,10 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct words that a task remembers; with more, it starts to remember afresh.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 
-#: Bytes of text that are split into words at a time.
-BLOCK = 1 << 22
+#: Bytes of text whose new words are replayed together.
+BLOCK = 1 << 23
 
 _NONE = np.int32(np.iinfo(np.int32).max)
 
@@ -74,7 +74,7 @@ def _first_of_overlaps(places: np.ndarray, follows: np.ndarray) -> np.ndarray:
     """Of pairs that share a token, the first, the third, ... from the left."""
     chained = np.zeros(len(places), bool)
     chained[1:] = follows[places[:-1]] == places[1:]
-    n = np.arange(len(places))
+    n = np.arange(len(places), dtype=np.int32)
     begin = np.maximum.accumulate(np.where(chained, 0, n))
     return places[(n - begin) % 2 == 0]
 
@@ -90,14 +90,14 @@ def replay(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarra
     size = np.array([len(w) for w in words], np.int64)
     token = vocab.of_byte[np.frombuffer(b"".join(words), np.uint8)]
     n = len(token)
-    word = np.repeat(np.arange(len(words)), size)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), size)
     last = np.cumsum(size) - 1
-    follows = np.arange(1, n + 1)
-    before = np.arange(-1, n - 1)
+    follows = np.arange(1, n + 1, dtype=np.int32)
+    before = np.arange(-1, n - 1, dtype=np.int32)
     follows[last[size > 0]] = -1
     before[(last - size + 1)[size > 0]] = -1
     made = np.full(n, _NONE, np.int32)
-    pair = np.flatnonzero((follows >= 0) & (whole[word] < 0))
+    pair = np.flatnonzero((follows >= 0) & (whole[word] < 0)).astype(np.int32)
     made[pair] = vocab.made_by(token[pair], token[pair + 1])
 
     index: dict[int, list[np.ndarray]] = {}
@@ -192,12 +192,10 @@ class Encoder:
         """Every text's ids; null and empty texts have none."""
         if len(self.codes) > self.remembered:
             self._forget()
-        old, code, parts, counts = len(self.codes), self.codes.__getitem__, [], []
-        for a, b in blocks(texts):
-            for text in texts.slice(a, b - a).to_pylist():
-                words = self.split(text or "")
-                counts.append(len(words))
-                parts.append(np.fromiter(map(code, words), np.int32, len(words)))
+        old, code, parts = len(self.codes), self.codes.__getitem__, []
+        for text in texts:
+            words = self.split(text.as_py() or "")
+            parts.append(np.fromiter(map(code, words), np.int32, len(words)))
         fresh = [w.encode() for w in list(self.codes)[old:]]
         flat, ends = replay(fresh, self.vocab)
         self.flat = np.concatenate((self.flat, flat))
@@ -249,8 +247,10 @@ def encode(
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary(SparkFiles.get(name)), pattern)
         for batch in batches:
-            found = encoder.encode(batch.column(names.index(text)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=names)
+            for a, b in blocks(batch.column(names.index(text))):
+                part = batch.slice(a, b - a)
+                found = encoder.encode(part.column(names.index(text)))
+                yield pa.RecordBatch.from_arrays([*part.columns, found], names=names)
 
     return docs.mapInArrow(of, _schema(docs, f"`{ids}` array<int>"))
 
