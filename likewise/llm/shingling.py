@@ -118,8 +118,8 @@ def shingle_sets(
     out[of_long] = h
     for d in np.flatnonzero(short):
         own = words[offset[d] : offset[d + 1]]
-        whole = (own * _ODD[32 : 32 + len(own)]).sum(dtype=np.uint64) + _ODD[48 + len(own)]
-        out[begins[d]] = mix(np.array([whole], np.uint64))[0]
+        parts = np.append(own * _ODD[32 : 32 + len(own)], _ODD[48 + len(own)])
+        out[begins[d]] = mix(parts.sum(dtype=np.uint64, keepdims=True))[0]
     for d in np.flatnonzero(sizes > 1):
         out[begins[d] : begins[d + 1]].sort()
     fresh = np.ones(len(out), bool)

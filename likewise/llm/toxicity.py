@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from likewise.llm.shingling import blocks, mix
 from likewise.sources.staging import stage
 
 #: Labelled rows of either label that serve as examples; this bounds the fit and the index.
-EXAMPLES = 3000
+EXAMPLES = 1500
 
 #: Words that are terms.
 TERMS = 4096
@@ -37,6 +38,9 @@ MIN_RATIO = 8.0
 #: Nearest examples that vote.
 NEAREST = 15
 
+#: Words in the shingles, and orders of them, by which copies among the examples are found.
+SHINGLE, COPY_KEYS = 5, 3
+
 #: Examples in a block of the index.
 BLOCK = 64
 
@@ -174,16 +178,43 @@ def _examples(docs: DataFrame, labelled: DataFrame, per_label: int) -> DataFrame
         known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(per_label) for y in (0, 1)
     ]
     chosen = stage(some[0].unionByName(some[1]), "toxicity-chosen")
-    texts = docs.select("doc_id", "text").join(
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(
         F.broadcast(chosen), "doc_id"  # at most 2 * per_label rows
     )
-    # Copies say the same thing once, by the label that most of them have.
-    one = texts.groupBy(F.sha2("text", 256).alias("digest")).agg(
-        F.min("doc_id").alias("doc_id"),
-        F.round(F.avg("toxic")).cast("int").alias("toxic"),
-        F.first("text").alias("text"),
-    )
-    return stage(one.where("text IS NOT NULL").drop("digest"), "toxicity-examples")
+    one = stage(texts.where("text IS NOT NULL"), "toxicity-texts")
+    # Copies and near copies say the same thing once, by the label that most of them have: of
+    # the texts that share their smallest shingle under any of a few orders, one remains.
+    for seed in range(COPY_KEYS):
+        keyed = one.mapInArrow(_copy_key(seed), "doc_id long, toxic int, text string, key long")
+        one = keyed.groupBy("key").agg(
+            F.min("doc_id").alias("doc_id"),
+            F.round(F.avg("toxic")).cast("int").alias("toxic"),
+            F.min_by("text", "doc_id").alias("text"),
+        )
+    return stage(one.drop("key"), "toxicity-examples")
+
+
+def _copy_key(seed: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            for _, _, shingles, at in blocks(batch.column("text"), SHINGLE):
+                hashed = mix(shingles ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+                keys += [
+                    int(hashed[a:b].min().view(np.int64)) if b > a else -1
+                    for a, b in zip(at[:-1], at[1:], strict=True)
+                ]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").cast(pa.int64()),
+                    batch.column("toxic"),
+                    batch.column("text"),
+                    pa.array(keys, pa.int64()),
+                ],
+                names=["doc_id", "toxic", "text", "key"],
+            )
+
+    return of
 
 
 def _term_counts(docs: DataFrame, terms: dict[bytes, int] | None, keys: list[str]) -> DataFrame:
