@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from likewise.llm import bpe, exact, licenses, lines, minhash, pii, toxicity
+from likewise.llm import bpe, exact, licenses, lines, minhash, mixing, pii, rollup, toxicity, vectors
+from likewise.sources.staging import stage, staged_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +25,26 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Domains of the labels table and the share of the tokens that each should have.
+WEIGHTS = {"good": 0.80, "poor": 0.15, "toxic": 0.05}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    domain = (
+        F.when(F.col("toxic") == 1, "toxic")
+        .when(F.col("quality") == 1, "good")
+        .when(F.col("quality") == 0, "poor")
+    )
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = domains(table(spark, sf_dir, "labels"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), labels, WEIGHTS)
+    posteriors = [F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(WEIGHTS)]
+    return mixed.select("doc_id", "tokens", *posteriors, "rate")
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("found")
 
@@ -44,6 +65,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
@@ -78,14 +103,51 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches of arrivals, one of revisions and one of deletions.
+
+    Documents of poor quality are revised to their text with white space folded, toxic ones are
+    deleted; the batch of revisions is sent a second time.
+    """
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+
+    def counted(rows: DataFrame, seq: int) -> DataFrame:
+        rows = rows.select("doc_id", "source", "lang", "text", rollup.word_count(F.col("text")).alias("words"))
+        rows = rollup.bpe_count(rows, path, public_tokenizers.PATTERN, "byte_bpe_50k")
+        return rows.unpivot(
+            ["doc_id", "source", "lang"], ["words", "byte_bpe_50k"], "version", "n_tokens"
+        ).withColumn("seq", F.lit(seq))
+
+    inserts = stage(counted(docs, 0), "rollup-inserts")
+    poor = labels.where("quality = 0").select("doc_id").distinct()
+    folded = F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")
+    revised = docs.join(poor, "doc_id", "left_semi").withColumn("text", folded)
+    revisions = stage(counted(revised, 1), "rollup-revisions")
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    deletes = inserts.join(toxic, "doc_id", "left_semi").withColumn(
+        "n_tokens", F.lit(None).cast("bigint")
+    )
+    totals = rollup.Rollup(spark, staged_path(spark, "rollup"))
+    for part in range(4):
+        totals.apply(part, inserts.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == part))
+    totals.apply(4, revisions)
+    totals.apply(5, deletes)
+    totals.apply(4, revisions)
+    return totals.totals()
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1,
+    "op2_soft_mixing": op2,
     "op3_license_scan": op3,
     "op4_minhash_near_dedup": op4,
     "op5_byte_bpe": op5,
+    "op6_inverted_multi_index": op6,
     "op7_toxicity_knn": op7,
     "op8_pii_boosting": op8,
     "op9_line_dedup": op9,
+    "op10_token_rollup": op10,
 }
 
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
