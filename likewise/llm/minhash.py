@@ -221,7 +221,7 @@ def _compare(link: int):
         owner = np.repeat(np.arange(len(b)), size_b)
         label_b, node_b = b["label"].to_numpy(), b["node"].to_numpy()
         for node, label, own in zip(a["node"], a["label"], a["shingles"], strict=True):
-            own = np.asarray(own, np.int64)
+            own = np.sort(np.asarray(own, np.int64))
             n = len(own)
             may = (label_b != label) & (
                 100 * np.minimum(size_b, n) >= link * np.maximum(size_b, n)
@@ -276,6 +276,7 @@ def near_groups(
     link: int = LINK,
     bands: int = BANDS,
     rows: int = ROWS,
+    rounds: int = ROUNDS,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -323,7 +324,7 @@ def near_groups(
     )
 
     edges: DataFrame | None = None
-    for turn in range(ROUNDS):
+    for turn in range(rounds):
         mixed = _labelled(members, edges)
         rank = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "node")
         pivots = mixed.groupBy("bucket").agg(
@@ -340,7 +341,8 @@ def near_groups(
         edges = stage(found if edges is None else found.unionByName(edges), "minhash-edges")
     mixed = stage(_labelled(members, edges), "minhash-mixed")
     mixed = stage(_open(mixed, sets, link), "minhash-open")
-    edges = stage(_rest(mixed, sets, link).unionByName(edges), "minhash-edges")
+    found = _rest(mixed, sets, link)
+    edges = stage(found if edges is None else found.unionByName(edges), "minhash-edges")
 
     roots = components(edges).select("node", "root")
     named = classes.join(roots, "node", "left").select(
