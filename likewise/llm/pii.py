@@ -85,6 +85,21 @@ def confirmed(kind: Column, match: Column) -> Column:
     )
 
 
+def _confirmed_whole() -> Column:
+    """1.0 where a candidate as a whole has the strict form of its kind and passes the check.
+
+    A secret has no strict form: it counts as confirmed when it is 32 hex digits or more.
+    """
+    kind, match = F.col("kind"), F.col("match")
+    forms = {k: p.replace(rf"(?:(?<!{_LOCAL})|\G)", "").replace(r"(?:(?<![0-9])|\G)", "") for k, p in STRICT.items()}
+    forms["secret"] = "[0-9a-fA-F]{32,}"
+    formed = F.lit(False)
+    for i, k in enumerate(KINDS):
+        formed = formed | ((kind == i) & match.rlike(f"^(?:{forms[k]})$"))
+    names = F.array(*[F.lit(k) for k in KINDS])
+    return (formed & confirmed(names[kind], match)).cast("double")
+
+
 def _spans(kind: str, pattern: str) -> Column:
     found = tx.matches(F.col("text"), pattern)
     return F.transform(
@@ -238,13 +253,8 @@ def find(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         texts.select("doc_id", "row", _base().alias("base"), _proposed().alias("proposed")),
         "pii-found",
     )
-    own = F.transform("base", lambda x: F.struct(x["start"], x["kind"], x["end"]))
-    proposed = found.where(F.size("proposed") > 0).select(
-        "doc_id", "row", own.alias("own"), F.explode("proposed").alias("p")
-    ).select("doc_id", "row", "own", "p.*")
-    strict = F.array_contains("own", F.struct("start", "kind", "end"))
-    secret = (F.col("kind") == KINDS.index("secret")) & F.col("match").rlike("^[0-9a-fA-F]{32,}$")
-    candidates = proposed.withColumn("label", (strict | secret).cast("double")).drop("own")
+    proposed = found.select("doc_id", "row", F.explode("proposed").alias("p"))
+    candidates = proposed.select("doc_id", "row", "p.*").withColumn("label", _confirmed_whole())
     learnt = learn(candidates, sample)
 
     base = found.select("doc_id", "row", F.explode("base").alias("b")).select(

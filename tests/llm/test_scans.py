@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from likewise.llm import licenses, pii, toxicity
 from likewise.llm import text as tx
 
-SF = "/root/testdata/sf0.001"
-
-
 def licenses_by_loop(text):
     split = lambda s: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", samples.lower(s)) if w]
     words = split(text)
@@ -120,8 +117,8 @@ def test_base_spans_are_those_of_the_plain_patterns(spark):
 
 
 def test_trees_add_secrets_and_keep_the_base(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    found = pii.find(docs)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = pii.find(docs).cache()
     spans = found.select(F.explode("spans").alias("s")).select("s.*")
     n = {r.kind: r.n for r in spans.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     assert n.get(pii.KINDS.index("secret"), 0) > 0
@@ -176,8 +173,10 @@ def test_toxicity_on_held_out_rows(spark):
 
 
 def test_toxicity_with_awkward_rows(spark):
-    insults = [(100 + i, f"you are an awful idiot number {i}") for i in range(30)]
-    fine = [(200 + i, f"what a lovely day number {i}") for i in range(60)]
+    rng = np.random.default_rng(5)
+    prose = lambda: " ".join(f"w{x}" for x in rng.integers(0, 400, 12))
+    insults = [(100 + i, f"{prose()} you idiot {prose()}") for i in range(30)]
+    fine = [(200 + i, f"{prose()} lovely day {prose()}") for i in range(60)]
     docs = samples.docs(spark, [*samples.TEXTS, *insults, *fine])
     labels = [(i, 1) for i, _ in insults] + [(i, 0) for i, _ in fine]
     labelled = spark.createDataFrame([*labels, (1, None), (None, 1), (999, 1)], "doc_id long, toxic int")
