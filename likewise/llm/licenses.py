@@ -55,9 +55,16 @@ _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
 def phrase_places(text: Column, phrases: Mapping[str, str]) -> Column:
-    """array<struct<start,end,match>> of all phrases; no two of them may overlap."""
+    """array<struct<start,end,match>> of all phrases; no two of them may overlap.
+
+    Most texts have none: one search says so, and starts only at letters that begin a phrase.
+    """
     each = "|".join(f"{_GAP}++".join(p.split()) for p in phrases)
-    return tx.matches(text, f"(?i)(?<!{_WORD})(?:{each})(?!{_WORD})")
+    first = "".join(sorted({p[0] for p in phrases}))
+    pattern = f"(?i)(?=[{first}])(?<!{_WORD})(?:{each})(?!{_WORD})"
+    found = tx.matches(text, pattern)
+    none = F.array().cast("array<struct<start:bigint,end:bigint,match:string>>")
+    return F.when(text.rlike(pattern), found).otherwise(none)
 
 
 def _needed(words: int, threshold: float) -> int:
@@ -177,7 +184,7 @@ def scan(
     base = places.select(
         "doc_id",
         "row",
-        F.regexp_count("text", F.lit(f"{_WORD}+")).cast("bigint").alias("n_words"),
+        tx.count_runs(F.col("text"), _GAP).alias("n_words"),
         F.size("places").cast("bigint").alias("n_base"),
         F.when(some, before(first)).alias("first_word"),
         F.when(some, before(last)).alias("last_word"),

@@ -106,7 +106,7 @@ class Rollup:
 
 def word_count(text: Column) -> Column:
     """The tokens of the version "words": runs of anything but white space."""
-    return F.regexp_count(tx.whole(text), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
+    return tx.count_runs(tx.whole(text), r"[\x20\x09-\x0D]")
 
 
 def bpe_count(docs: DataFrame, path: str, pattern: str, name: str) -> DataFrame:

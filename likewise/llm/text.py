@@ -25,6 +25,14 @@ def digest(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def count_runs(text: Column, gap: str) -> Column:
+    """How many runs lie between the gaps; ``gap`` is a character class of a pattern."""
+    pieces = F.size(F.split(text, f"{gap}+", -1))
+    opens = text.rlike(f"^{gap}").cast("int")
+    ends = F.substring(text, -1, 1).rlike(f"^{gap}").cast("int")
+    return F.when(F.length(text) == 0, 0).otherwise(pieces - opens - ends).cast("bigint")
+
+
 def running_starts(lengths: Column) -> Column:
     """[0, l0, l0+l1, ...]: where each of the consecutive pieces starts.
 
