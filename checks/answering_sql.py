@@ -86,18 +86,19 @@ def rules(*rows: tuple[str, str, float]) -> str:
     return "r AS (" + " UNION ALL ".join(parts) + ")"
 
 
-def matching(cap: int = 100, blacklist: str = "'purchase'") -> str:
-    """CTEs hist, terms, excl, gain."""
+def matching(cap: int | None = None, blacklist: str = "'purchase'") -> str:
+    """CTEs hist, terms, excl, gain; ``cap`` keeps the newest events of each type only."""
+    newest = f"WHERE place <= {cap}" if cap else ""
     return f"""
 hist AS (
   SELECT DISTINCT u, e, i FROM (
     SELECT *, row_number() OVER (PARTITION BY u, e ORDER BY t DESC, i) AS place FROM log
-    WHERE e IN ('purchase', 'view', 'click')) WHERE place <= {cap}),
+    WHERE e IN ('purchase', 'view', 'click')) {newest}),
 terms AS (
   SELECT query_id, e AS field, i AS term, usr_bias AS boost
   FROM q JOIN hist ON u = usr_id WHERE usr_bias > 0 AND list_contains(events_used, e)
   UNION ALL
-  SELECT query_id, event, correlator, itm_bias FROM q JOIN corr ON item = itm WHERE rnk <= 100
+  SELECT query_id, event, correlator, itm_bias FROM q JOIN corr ON item = itm{' WHERE rnk <= ' + str(cap) if cap else ''}
   UNION ALL
   SELECT query_id, 'purchase', unnest(cart), cart_bias FROM q
   UNION ALL
@@ -136,7 +137,7 @@ PICK = "SELECT query_id, pos, item, score FROM listed WHERE pos > n_skip AND pos
 def recs(
     q: str = asked(),
     r: str = rules(),
-    cap: int = 100,
+    cap: int | None = None,
     blacklist: str = "'purchase'",
     extra: str = "",
     pick: str = PICK,

@@ -86,9 +86,16 @@ def llr(k: str, a: str, b: str, n: str) -> str:
     return f"greatest(0.0, 2.0 * ({rows} + {cols} - {_entropy(k11, k12, k21, k22)}))"
 
 
-def cut(names: list[str], cap: int | dict[str, int] = 500, min_events: int = 1, seed: int = 0) -> str:
+def cut(names: list[str], cap: int | dict[str, int] | None = None, min_events: int = 1, seed: int = 0) -> str:
     """CTEs bag, act, ci, margin, n from ``log``: prepared interactions and margins."""
     listed = ",".join(f"'{x}'" for x in names)
+    if cap is None:
+        return f"""
+bag AS (SELECT u, e, i, count(*) AS c FROM log WHERE e IN ({listed}) GROUP BY u, e, i),
+act AS (SELECT u FROM bag WHERE e = '{names[0]}' GROUP BY u HAVING sum(c) >= {min_events}),
+ci AS (SELECT u, e, i FROM bag WHERE u IN (SELECT u FROM act)),
+margin AS (SELECT e, i, count(*) AS m FROM ci GROUP BY e, i),
+n AS (SELECT count(*) AS n FROM act)"""
     caps = cap if isinstance(cap, dict) else {x: cap for x in names}
     limit = "CASE e " + " ".join(f"WHEN '{x}' THEN {caps[x]}" for x in names) + " END"
     key = f"md5('{seed}|' || CAST(u AS VARCHAR) || '|' || CAST(i AS VARCHAR))"

@@ -11,6 +11,7 @@ from checks.training import Query
 from likewise.sources.staging import staged_path
 from likewise.streaming.log import (
     read_event_stream,
+    run_to_latest,
     run_to_table,
     stream_dedup_events,
     stream_popularity,
@@ -23,9 +24,11 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily counts; days not yet behind the watermark are still open and not shown."""
+    """Daily counts, those of days that are still open as they stand."""
     counted = stream_popularity(_stream(spark, sf_dir), ["purchase", "view"], "1 day", "2 hours")
-    done = run_to_table(counted, staged_path(spark, "stream"), staged_path(spark, "progress"))
+    done = run_to_latest(
+        counted, ["start", "item"], staged_path(spark, "stream"), staged_path(spark, "progress")
+    )
     return done.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "item", "rank")
 
 
@@ -42,8 +45,7 @@ QUERIES: dict[str, Query] = {"stream_popularity": popularity, "stream_dedup_even
 SQL: dict[str, str] = {
     "stream_popularity": f"""{ctes(LOG)}
         SELECT strftime(date_trunc('day', t), '%Y-%m-%d') AS day, i AS item, CAST(count(*) AS DOUBLE) AS rank
-        FROM log WHERE e IN ('purchase', 'view') AND date_trunc('day', t) + INTERVAL 1 DAY <=
-          (SELECT max(t) FROM log WHERE e IN ('purchase', 'view')) - INTERVAL 2 HOUR
+        FROM log WHERE e IN ('purchase', 'view')
         GROUP BY date_trunc('day', t), i""",
     "stream_dedup_events": f"""{ctes(LOG)}
         SELECT DISTINCT e AS event, u AS entity_id, i AS target_entity_id FROM log""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from likewise.operators import rankings as rk
 from likewise.operators import similarity as sim
 from likewise.operators.model import Model
 from likewise.operators.querying import complete_queries, recent_history
-from likewise.plans.train import refresh_ranks, train
+from likewise.plans.train import clean_events, refresh_ranks, train, train_and_publish
 from likewise.sources import store
 from likewise.sources.delimited import parse_delimited_events, parse_ratings
 from likewise.sources.staging import staged_path
@@ -139,10 +140,10 @@ def parse_ratings_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recent_user_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = usage_log(spark, sf_dir)
-    params = EngineParams(tuple(indicators(USAGE, max_query_events=5)))
+    params = EngineParams(tuple(indicators(USAGE)))
     asked = log.select(F.col("entity_id").alias("user")).distinct().withColumn("query_id", F.col("user"))
     return recent_history(asked, usage_events(log, USAGE), params).select(
-        "user", "event", "item", stamp("event_time").alias("moment"), F.col("place").cast("bigint").alias("place")
+        "user", "event", "item", stamp("event_time").alias("moment")
     )
 
 
@@ -174,6 +175,37 @@ def dedup_events_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("event", "entity_id", "target_entity_id", stamp("event_time").alias("moment"))
 
 
+#: All three ways of cleaning at once.
+_CLEANING = EngineParams.of(
+    *USAGE, event_window="10 days", dedup_events=True, compact_properties=True
+)
+
+
+def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = usage_log(spark, sf_dir).unionByName(property_log(spark, sf_dir))
+    return clean_events(log, _CLEANING, NOW)
+
+
+def cleaned_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window of ten days, de-duplication and compaction lose no property."""
+    return pr.item_props(pr.aggregate_properties(_cleaned(spark, sf_dir)))
+
+
+def cleaned_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = usage_events(_cleaned(spark, sf_dir), USAGE)
+    return kept.select("user", "event", "item", stamp("event_time").alias("moment"))
+
+
+def first_event_type_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained with a first event type that never occurs, and on a log with blank ids."""
+    log = usage_log(spark, sf_dir)
+    blank = log.where("seq % 7 = 0").withColumn("entity_id", F.lit(""))
+    lost = log.where("seq % 11 = 0").withColumn("target_entity_id", F.lit(None).cast("string"))
+    log = log.unionByName(blank).unionByName(lost)
+    model = train(log, EngineParams.of("refund", *USAGE, recs_model="collabFiltering"), NOW)
+    return _ranked(model.correlators.select("item", "event", "correlator", "llr", "rnk"))
+
+
 def compact_properties_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pr.compact_properties(property_log(spark, sf_dir)).select(
         "event", "entity_id", props_text("properties").alias("props"), stamp("event_time").alias("moment")
@@ -256,9 +288,7 @@ def _cut_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 
 def _cut_usage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Caps low enough to bite."""
-    limits = indicators(USAGE, max_items_per_user=10)
-    return ev.prepare(interactions(usage_log(spark, sf_dir)), limits, min_events=9, seed=5)
+    return ev.prepare(interactions(usage_log(spark, sf_dir)), indicators(USAGE), min_events=9)
 
 
 def cooccurrence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,11 +323,11 @@ def top_correlators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def per_indicator_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = [
-        Indicator("purchase", max_items_per_user=6, max_correlators=4),
-        Indicator("view", max_items_per_user=9, max_correlators=7, min_llr=1.0),
-        Indicator("click", max_items_per_user=500, max_correlators=3),
+        Indicator("purchase", max_correlators=4),
+        Indicator("view", max_correlators=7, min_llr=1.0),
+        Indicator("click", max_correlators=3),
     ]
-    return _ranked(sim.correlators(interactions(usage_log(spark, sf_dir)), limits, seed=11))
+    return _ranked(sim.correlators(interactions(usage_log(spark, sf_dir)), limits))
 
 
 def correlator_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -421,7 +451,7 @@ def publish_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sink_parallelism(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written by at most two tasks per table; the content is the same."""
     path = staged_path(spark, "store")
-    store.publish(usage_model(spark, sf_dir), path, max_write_tasks=2)
+    train_and_publish(full_log(spark, sf_dir), replace(PARAMS, max_write_tasks=2), path, NOW)
     read = store.load(spark, path).correlators
     files = read.select(F.input_file_name().alias("f")).distinct()
     return read.groupBy("event").agg(F.count("*").alias("n")).withColumn(
@@ -452,6 +482,9 @@ QUERIES: dict[str, Query] = {
     "load_model": load_model,
     "moving_event_window": moving_event_window,
     "dedup_events": dedup_events_query,
+    "cleaned_properties": cleaned_properties,
+    "cleaned_usage": cleaned_usage,
+    "first_event_type_empty": first_event_type_empty,
     "compact_properties": compact_properties_query,
     "split_by_event": split_by_event,
     "aggregate_properties": aggregate_properties_query,

@@ -105,9 +105,7 @@ SQL: dict[str, str] = {
         SELECT '$set', 'item', i, '-', CASE WHEN second THEN 'cat1|cat2' ELSE 'cat1|cat5' END, seq
         FROM drawn""",
     "recent_user_history": f"""{ctes(LOG)}
-        SELECT u AS user, e AS event, i AS item, {_AT}, place FROM (
-          SELECT *, row_number() OVER (PARTITION BY u, e ORDER BY t DESC, i) AS place
-          FROM log WHERE e IN ({USAGE})) WHERE place <= 5""",
+        SELECT u AS user, e AS event, i AS item, {_AT} FROM log WHERE e IN ({USAGE})""",
     "lookup_item_model": f"""{USAGE_CORR}, {CATALOG}, {DOCS},
         known AS (SELECT item FROM cat UNION SELECT i FROM log WHERE e = 'purchase'),
         asked AS (SELECT item AS query_id, item FROM known
@@ -123,6 +121,12 @@ SQL: dict[str, str] = {
     "sink_parallelism": f"{USAGE_CORR} SELECT event, count(*) AS n, true AS few_files FROM corr GROUP BY event",
     "moving_event_window": f"""{ctes(LOG)} SELECT {_EVENT} FROM log
         WHERE t >= (SELECT max(t) FROM log) - INTERVAL 10 DAY""",
+    "cleaned_properties": f"{ctes(PROPERTY_LOG)} SELECT item, field, val AS value FROM folded",
+    "cleaned_usage": f"""{ctes(LOG)}
+        SELECT u AS user, e AS event, i AS item, {_AT} FROM (
+          SELECT u, e, i, max(t) AS t FROM log
+          WHERE e IN ({USAGE}) AND t >= TIMESTAMP '{NOW}' - INTERVAL 10 DAY GROUP BY u, e, i)""",
+    "first_event_type_empty": f"{USAGE_CORR} SELECT item, event, correlator, llr, rnk FROM corr",
     "dedup_events": f"""{ctes(LOG)} SELECT e AS event, u AS entity_id, i AS target_entity_id, {_AT} FROM (
           SELECT *, row_number() OVER (PARTITION BY e, u, i ORDER BY t DESC, seq DESC) AS r FROM log)
         WHERE r = 1""",
@@ -176,15 +180,15 @@ SQL: dict[str, str] = {
         SELECT item, correlator, k AS n_both FROM pairc WHERE event = 'N'""",
     "cross_occurrence_counts": f"""{ctes(ORDER_LOG, cut(FLAGS), pairs('N'))}
         SELECT item, event, correlator, k AS n_both FROM pairc WHERE event <> 'N'""",
-    "llr_score": f"""{ctes(LOG, cut(NAMES, cap=10, min_events=9, seed=5), pairs('purchase'))}
+    "llr_score": f"""{ctes(LOG, cut(NAMES, min_events=9), pairs('purchase'))}
         SELECT item, event, correlator, n_both, n_item, n_correlator, llr FROM scored""",
-    "llr_threshold": f"""{ctes(LOG, cut(NAMES, cap=10, min_events=9, seed=5), pairs('purchase'))}
+    "llr_threshold": f"""{ctes(LOG, cut(NAMES, min_events=9), pairs('purchase'))}
         SELECT item, event, correlator, llr FROM scored WHERE llr > 1e-6
         AND llr >= CASE event WHEN 'purchase' THEN 0.5 WHEN 'view' THEN 2.0 ELSE 0 END""",
     "top_correlators": f"""{ctes(ORDER_LOG, cut(FLAGS), pairs('N'), best(10))}
         SELECT item, event, correlator, llr, rnk FROM corr""",
     "per_indicator_params": f"""{ctes(
-        LOG, cut(NAMES, cap={'purchase': 6, 'view': 9, 'click': 500}, seed=11), pairs('purchase'),
+        LOG, cut(NAMES), pairs('purchase'),
         best({'purchase': 4, 'view': 7, 'click': 3}, {'view': 1.0}))}
         SELECT item, event, correlator, llr, rnk FROM corr""",
     "correlator_lists": f"""{ctes(LOG, cut(NAMES, min_events=5), pairs('purchase'), best(50))}

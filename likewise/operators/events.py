@@ -16,6 +16,19 @@ from likewise.sources.staging import stage
 
 LOG_KEY = ["event", "entity_type", "entity_id", "target_entity_type", "target_entity_id"]
 
+#: Stands for no cap beside other indicators' caps.
+NO_CAP = (1 << 31) - 1
+
+
+def is_property_event() -> Column:
+    """Rows of the property log, which says what items are and not what users did."""
+    return (F.col("entity_type") == "item") & F.col("event").isin("$set", "$unset", "$delete")
+
+
+def properties_text() -> Column:
+    """An event's properties in an order of their own, as maps are no grouping keys."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries("properties"))))
+
 
 def events_between(
     events: DataFrame,
@@ -34,22 +47,24 @@ def events_between(
 def moving_window(events: DataFrame, window: str, end: datetime | str | None = None) -> DataFrame:
     """Leave out events older than ``window`` before ``end`` (default: the newest event).
 
-    Returns a filtered view; the log itself is never altered.
+    Property events stay however old they are: an item is what was last said of it. Returns
+    a filtered view; the log itself is never altered.
     """
-    span = F.lit(duration(window))
+    at = F.col("event_time")
     if end is not None:
         kind = events.schema["event_time"].dataType
-        return events.where(F.col("event_time") >= instant_literal(instant(end) - duration(window), kind))
-    newest = events.agg(F.max("event_time")).scalar()
-    return events.where(F.col("event_time") >= newest - span)
+        recent = at >= instant_literal(instant(end) - duration(window), kind)
+    else:
+        recent = at >= events.agg(F.max("event_time")).scalar() - F.lit(duration(window))
+    return events.where(F.coalesce(is_property_event(), F.lit(False)) | recent)
 
 
 def dedup_events(events: DataFrame) -> DataFrame:
-    """One event per (name, entity, target): the newest of identical ones."""
+    """One event per (name, entity, target, properties): the newest of identical ones."""
     rest = [c for c in events.columns if c not in LOG_KEY]
     newest = F.max_by(F.struct(*rest), F.struct("event_time", "seq")).alias("_kept")
     # the key holds every distinguishing column, so repeats shrink before the shuffle
-    return events.groupBy(*LOG_KEY).agg(newest).select(
+    return events.groupBy(*LOG_KEY, properties_text()).agg(newest).select(
         *[F.col("_kept")[c].alias(c) if c in rest else F.col(c) for c in events.columns]
     )
 
@@ -124,8 +139,9 @@ def restrict_secondary_users(interactions: DataFrame, primary: str) -> DataFrame
 
 
 def _cap_of(indicators: Sequence[Indicator]) -> tuple[Column, int]:
-    caps = F.create_map(*[F.lit(x) for i in indicators for x in (i.name, i.max_items_per_user)])
-    return caps[F.col("event")], max(i.max_items_per_user for i in indicators)
+    most = {i.name: i.max_items_per_user or NO_CAP for i in indicators}
+    caps = F.create_map(*[F.lit(x) for pair in most.items() for x in pair])
+    return caps[F.col("event")], max(most.values())
 
 
 def cap_per_user(
@@ -164,26 +180,34 @@ def _cap_large_baskets(
 def cap_per_item(
     interactions: DataFrame, indicators: Sequence[Indicator], seed: int = 0
 ) -> DataFrame:
-    """At most ``max_items_per_user`` users per target and event type; adds ``n_users``.
-
-    ``n_users`` is what is left of the target: the margin needed by the similarity
-    test. Counting it here costs no shuffle, as the groups are already together.
-    """
+    """At most ``max_items_per_user`` users per target and event type; adds ``n_users``."""
     cap, widest = _cap_of(indicators)
     kept = top_per_group(
         interactions,
         ["event", "item"],
         [shuffle_key(seed, F.col("user"), F.col("item")), F.col("user")],
         widest,
-    ).where(F.col("rnk") <= cap)
-    group = Window.partitionBy("event", "item")
-    return kept.withColumn("n_users", F.count("*").over(group)).drop("rnk")
+    )
+    return with_margins(kept.where(F.col("rnk") <= cap).drop("rnk"))
+
+
+def with_margins(interactions: DataFrame) -> DataFrame:
+    """Adds ``n_users``, how many users a target has: the margin of the similarity test.
+
+    Counts combine before their shuffle, and the join meets one row per target, so a target
+    that a third of the log goes to can be split on the other side.
+    """
+    margins = interactions.groupBy("event", "item").agg(F.count("*").alias("n_users"))
+    return interactions.join(margins, ["event", "item"])
 
 
 def downsample(
     interactions: DataFrame, indicators: Sequence[Indicator], seed: int = 0
 ) -> DataFrame:
-    """The interaction cut: caps per user, then per target, by a seeded hash order."""
+    """The interaction cut: caps per user, then per target, by a seeded hash order.
+
+    A sampling operator for callers that want one; nothing else applies it unasked.
+    """
     return cap_per_item(cap_per_user(interactions, indicators, seed), indicators, seed)
 
 
@@ -196,11 +220,10 @@ def prepare(
     """(interactions, users) ready for similarity.
 
     ``users`` are those with enough primary events; their number is the N of the
-    similarity test. The interactions are theirs only, distinct, and cut to the
-    indicators' caps, with ``n_users`` per target. The cap per user is applied before
-    the join with ``users``: it does not depend on other users, gives the same rows
-    as after it, and bounds every user's group before users become a shuffle key.
-    Interactions and ``users`` are staged, so that the log is read once, and the true
+    similarity test. The interactions are theirs only, distinct, with ``n_users`` per
+    target. All of them are kept, unless an indicator has a cap: then the interaction cut is
+    applied, per user before the join with ``users`` (it does not depend on other users and
+    gives the same rows as after it). Interactions and ``users`` are staged, so that the log is read once, and the true
     size of ``users`` decides whether the join with them needs a shuffle.
     """
     names = [i.name for i in indicators]
@@ -208,6 +231,8 @@ def prepare(
     log = interactions.where(F.col("event").isin(names))
     counts = stage(interaction_counts(log), "interactions")
     users = stage(active_users(counts, primary, min_events), "users")
-    capped = _cap_large_baskets(counts.select("user", "event", "item"), indicators, seed)
-    kept = capped.join(users, "user", "left_semi")
-    return cap_per_item(kept, indicators, seed), users
+    pairs = counts.select("user", "event", "item")
+    if all(i.max_items_per_user is None for i in indicators):
+        return with_margins(pairs.join(users, "user", "left_semi")), users
+    capped = _cap_large_baskets(pairs, indicators, seed)
+    return cap_per_item(capped.join(users, "user", "left_semi"), indicators, seed), users

@@ -32,19 +32,11 @@ def _latest(events: DataFrame) -> DataFrame:
     property name before it is gathered.
     """
     log = property_events(events).withColumn("at", F.struct("event_time", "seq"))
-    writes = log.where(F.col("event") != DELETE).select(
-        # an item whose only event is an empty $set still exists, without properties
-        "item", "event", "at", F.explode_outer("properties").alias("field", "value")
-    )
-    deletes = log.where(F.col("event") == DELETE).select(
-        "item",
-        "event",
-        "at",
-        F.lit(None).cast("string").alias("field"),
-        F.lit(None).cast("array<string>").alias("value"),
-    )
+    # One pass over the log: a $delete names no property, and an item whose only event is an
+    # empty $set still exists, without properties; both are rows with a NULL field.
+    named = F.when(F.col("event") != DELETE, F.col("properties"))
     last = (
-        writes.unionByName(deletes)
+        log.select("item", "event", "at", F.explode_outer(named).alias("field", "value"))
         .groupBy("item", "field")
         .agg(
             F.max_by(F.struct((F.col("event") == SET).alias("is_set"), "value"), "at").alias("last"),

@@ -76,26 +76,29 @@ def all_field_rules(queries: DataFrame, params: EngineParams) -> DataFrame:
 
 
 def recent_history(queries: DataFrame, usage: DataFrame, params: EngineParams) -> DataFrame:
-    """(user, event, item, event_time, place): recent events of the queried users.
+    """(user, event, item, event_time): the events of the queried users.
 
-    ``usage`` is (user, event, item, event_time). ``place`` counts a user's events of
-    one type from the newest; at most the indicator's ``max_query_events`` are kept,
-    repeats counted. A user holding a large share of the log is cut down in shards.
+    ``usage`` is (user, event, item, event_time). All of a user's events are used. Only an
+    indicator with ``max_query_events`` keeps the newest of its type, repeats counted; a user
+    holding a large share of the log is cut down in shards then.
     """
-    caps = F.create_map(
-        *[F.lit(x) for i in params.indicators for x in (i.name, i.max_query_events)]
-    )
     asked = queries.select("user").where(F.col("user").isNotNull()).distinct()
     theirs = usage.where(F.col("event").isin(params.event_names)).join(asked, "user", "left_semi")
+    theirs = theirs.select("user", "event", "item", "event_time")
+    caps = {i.name: i.max_query_events for i in params.indicators if i.max_query_events}
+    if not caps:
+        return theirs
+    cap = F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])
     newest = top_per_group(
-        theirs.select("user", "event", "item", "event_time"),
+        theirs.where(F.col("event").isin(list(caps))),
         ["user", "event"],
         [F.col("event_time").desc(), F.col("item")],
-        max(i.max_query_events for i in params.indicators),
+        max(caps.values()),
         rank="place",
         shards=SHARDS,
     )
-    return newest.where(F.col("place") <= caps[F.col("event")])
+    newest = newest.where(F.col("place") <= cap[F.col("event")]).drop("place")
+    return theirs.where(~F.col("event").isin(list(caps))).unionByName(newest)
 
 
 def _bit(params: EngineParams, event: Column, offset: int) -> Column:
@@ -125,13 +128,13 @@ def user_terms(queries: DataFrame, usage: DataFrame, params: EngineParams) -> Da
 
 
 def item_terms(queries: DataFrame, correlators: DataFrame, params: EngineParams) -> DataFrame:
-    """An item's own correlators, strongest first up to the indicator's limit."""
-    caps = F.create_map(
-        *[F.lit(x) for i in params.indicators for x in (i.name, i.max_query_events)]
-    )
-    own = correlators.where(F.col("rnk") <= caps[F.col("event")]).select(
-        "item", "event", "correlator"
-    )
+    """An item's own correlators, strongest first up to the indicator's limit if it has one."""
+    caps = {i.name: i.max_query_events for i in params.indicators if i.max_query_events}
+    own = correlators.where(F.col("event").isin(params.event_names))
+    if caps:
+        cap = F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])
+        own = own.where(F.col("rnk") <= F.coalesce(cap[F.col("event")], F.col("rnk")))
+    own = own.select("item", "event", "correlator")
     asking = queries.where(F.col("item").isNotNull()).select("query_id", "sig", "item", "item_bias")
     return asking.join(own, "item").select(
         "query_id",
@@ -298,8 +301,10 @@ def number_signatures(asked: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         return asked.withColumn("sig", F.lit(0).cast("bigint")), None
     sets = ruled.groupBy("rules").agg(*[F.any_value(c).alias(c) for c in RULE_COLUMNS])
     sets = stage(sets.withColumn("sig", F.monotonically_increasing_id() + 1), "signatures")
-    numbered = asked.join(sets.select("rules", "sig"), "rules", "left")
-    return numbered.withColumn("sig", F.coalesce("sig", F.lit(0).cast("bigint"))), sets
+    numbered = ruled.join(sets.select("rules", "sig"), "rules").select(*asked.columns, "sig")
+    # queries without rules stay out of the join, in which they would all be one NULL key
+    free = asked.where(F.col("rules").isNull()).withColumn("sig", F.lit(0).cast("bigint"))
+    return free.unionByName(numbered), sets
 
 
 def field_rules_pass(props: Column, filters: Column, excludes: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from likewise.functions.hashing import uniform
@@ -90,8 +90,14 @@ def rank_user_defined(props: DataFrame, name: str) -> DataFrame:
     return props.select("item", value.alias("rank")).where(F.col("rank").isNotNull())
 
 
+def _session_now() -> datetime:
+    """The current moment on the session's clock, in whose zone event times are read."""
+    session = SparkSession.active()
+    return session.range(1).select(F.current_timestamp().cast("timestamp_ntz")).first()[0]
+
+
 def _window(ranking: Ranking, end: datetime | str | None) -> tuple[datetime, datetime]:
-    close = instant(ranking.end or end or datetime.now())
+    close = instant(ranking.end or end or _session_now())
     return close - duration(ranking.duration), close
 
 

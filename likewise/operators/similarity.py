@@ -11,30 +11,58 @@ from likewise.functions.scores import fixed6, log_likelihood_ratio
 from likewise.operators.events import prepare
 from likewise.operators.groups import top_per_group
 from likewise.params import Indicator
+from likewise.sources.staging import stage
 
 #: An LLR that rounds to no more than this is independence, not correlation.
 ZERO_LLR = 1e-6
 
 
+#: Acts in a block of a user's basket.
+BASKET = 256
+
+
+def _baskets(interactions: DataFrame, primary: str) -> DataFrame:
+    """(user, block, n_blocks, own, acts): a user's acts in blocks of about ``BASKET``."""
+    busy = (
+        interactions.groupBy("user")
+        .agg(F.ceil(F.count("*") / F.lit(BASKET)).cast("int").alias("n_blocks"))
+        .where("n_blocks > 1")
+    )
+    n_blocks = F.coalesce("n_blocks", F.lit(1)).alias("n_blocks")
+    block = F.pmod(F.xxhash64("event", "item"), F.col("n_blocks")).cast("int").alias("block")
+    return (
+        interactions.join(busy, "user", "left")
+        .select("user", "event", "item", "n_users", n_blocks)
+        .groupBy("user", "n_blocks", block)
+        .agg(
+            F.collect_list(
+                F.when(F.col("event") == primary, F.struct("item", "n_users"))
+            ).alias("own"),
+            F.collect_list(F.struct("event", "item", "n_users")).alias("acts"),
+        )
+    )
+
+
 def pair_counts(interactions: DataFrame, primary: str) -> DataFrame:
     """(item, event, correlator, n_both, n_item, n_correlator) for all events at once.
 
-    ``interactions`` must be cut (``n_users`` from :func:`cap_per_item`): with at most c
-    targets per user and c users per target, no user yields more than c*c pairs per
-    event type and no (item, event) receives more than c*c. That bound is what allows
-    one shuffle of the pairs, on (item, event), to serve their counting here and the
-    selection of the best per (item, event) afterwards.
+    ``interactions`` carry ``n_users`` (from :func:`with_margins`). No basket is ever one
+    row: a user's acts are dealt into blocks, and blocks meet blocks of the same user. The
+    pairs are counted where they arise and again after the shuffle on all of (item, event,
+    correlator), so no item's pairs go to one task.
     """
-    act = F.struct("event", "item", "n_users")
     # a fixed number of tasks: merging small baskets by their size, as adaptive
     # execution would, ignores that each is about to grow quadratically
     tasks = int(interactions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    baskets = interactions.repartition(tasks, "user").groupBy("user").agg(
-        F.collect_list(F.when(F.col("event") == primary, F.struct("item", "n_users"))).alias("own"),
-        F.collect_list(act).alias("acts"),
+    baskets = stage(_baskets(interactions, primary), "baskets")
+    others = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
+    left = baskets.where(F.size("own") > 0).select("user", others, "own")
+    right = baskets.select("user", F.col("block").alias("other"), "acts")
+    met = left.repartition(tasks, "user", "other").join(
+        right.repartition(tasks, "user", "other"), ["user", "other"]
     )
     pairs = (
-        baskets.select(F.explode("own").alias("a"), "acts")
+        met.select(F.explode("own").alias("a"), "acts")
         .select("a", F.explode("acts").alias("b"))
         .where((F.col("b.event") != primary) | (F.col("b.item") != F.col("a.item")))
         .select(
@@ -45,10 +73,8 @@ def pair_counts(interactions: DataFrame, primary: str) -> DataFrame:
             F.col("b.n_users").alias("n_correlator"),
         )
     )
-    return (
-        pairs.repartition("item", "event")
-        .groupBy("item", "event", "correlator", "n_item", "n_correlator")
-        .agg(F.count("*").alias("n_both"))
+    return pairs.groupBy("item", "event", "correlator", "n_item", "n_correlator").agg(
+        F.count("*").alias("n_both")
     )
 
 
@@ -98,7 +124,6 @@ def top_correlators(scored: DataFrame, indicators: Sequence[Indicator]) -> DataF
         ["item", "event"],
         [F.col("llr").desc(), F.col("correlator")],
         max(i.max_correlators for i in indicators),
-        shards=1,  # at most c*c pairs per group, see pair_counts
     )
     if len({i.max_correlators for i in indicators}) > 1:
         best = best.where(F.col("rnk") <= _per_event(indicators, "max_correlators"))

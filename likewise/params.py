@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from collections.abc import Collection
+from dataclasses import dataclass, replace
 from datetime import datetime
 from typing import Any
 
 # Defaults of the engine's parameters.
-MAX_EVENTS_PER_EVENT_TYPE = 500
 NUM_RESULTS = 20
 MAX_CORRELATORS_PER_EVENT_TYPE = 50
-MAX_QUERY_EVENTS = 100
 RANKING_DURATION = "3650 days"
 
+#: Must-match clauses take two bits of a bigint for each event type.
+MAX_EVENT_TYPES = 31
+
 # Ranking types and the item column each one fills by default.
 RANKING_NAMES = {
     "popular": "popRank",
@@ -28,13 +30,17 @@ RECS_MODELS = ("all", "collabFiltering", "backfill")
 
 @dataclass(frozen=True)
 class Indicator:
-    """Limits for one event type. The first indicator is the primary one."""
+    """Limits for one event type. The first indicator is the primary one.
+
+    Nothing is cut unless a caller asks for it: without ``max_items_per_user`` all
+    interactions are counted, without ``max_query_events`` a user's whole history is used.
+    """
 
     name: str
-    max_items_per_user: int = MAX_EVENTS_PER_EVENT_TYPE
+    max_items_per_user: int | None = None
     max_correlators: int = MAX_CORRELATORS_PER_EVENT_TYPE
     min_llr: float | None = None
-    max_query_events: int = MAX_QUERY_EVENTS
+    max_query_events: int | None = None
 
 
 @dataclass(frozen=True)
@@ -74,6 +80,7 @@ class EngineParams:
     min_events_per_user: int | None = None
     event_window: str | None = None
     dedup_events: bool = False
+    compact_properties: bool = False
     blacklist_events: tuple[str, ...] | None = None
     num: int = NUM_RESULTS
     user_bias: float = 1.0
@@ -91,6 +98,8 @@ class EngineParams:
     def __post_init__(self) -> None:
         if not self.indicators:
             raise ValueError("name at least one event type")
+        if len(self.indicators) > MAX_EVENT_TYPES:
+            raise ValueError(f"name at most {MAX_EVENT_TYPES} event types")
         if self.recs_model not in RECS_MODELS:
             raise ValueError(f"recs_model {self.recs_model!r} is none of {list(RECS_MODELS)}")
 
@@ -107,6 +116,14 @@ class EngineParams:
     def primary(self) -> str:
         return self.indicators[0].name
 
+    def with_events(self, present: Collection[str]) -> EngineParams:
+        """The parameters with only the event types that occur, in their order.
+
+        So the first type that has events is the primary one. If none has, all stay.
+        """
+        kept = tuple(i for i in self.indicators if i.name in present)
+        return replace(self, indicators=kept or self.indicators)
+
     @property
     def blacklisting_events(self) -> list[str]:
         if self.blacklist_events is None:
@@ -142,12 +159,12 @@ class EngineParams:
             indicators = tuple(
                 Indicator(
                     name=i["name"],
-                    max_items_per_user=i.get("maxItemsPerUser", MAX_EVENTS_PER_EVENT_TYPE),
+                    max_items_per_user=i.get("maxItemsPerUser"),
                     max_correlators=i.get(
                         "maxCorrelatorsPerItem", MAX_CORRELATORS_PER_EVENT_TYPE
                     ),
                     min_llr=i.get("minLLR"),
-                    max_query_events=i.get("maxItemsPerUser", MAX_EVENTS_PER_EVENT_TYPE),
+                    max_query_events=i.get("maxItemsPerUser"),
                 )
                 for i in algo["indicators"]
             )
@@ -155,13 +172,11 @@ class EngineParams:
             indicators = tuple(
                 Indicator(
                     name=name,
-                    max_items_per_user=algo.get(
-                        "maxEventsPerEventType", MAX_EVENTS_PER_EVENT_TYPE
-                    ),
+                    max_items_per_user=algo.get("maxEventsPerEventType"),
                     max_correlators=algo.get(
                         "maxCorrelatorsPerEventType", MAX_CORRELATORS_PER_EVENT_TYPE
                     ),
-                    max_query_events=algo.get("maxQueryEvents", MAX_QUERY_EVENTS),
+                    max_query_events=algo.get("maxQueryEvents"),
                 )
                 for name in algo.get("eventNames") or ()
             )
@@ -173,6 +188,7 @@ class EngineParams:
             min_events_per_user=source.get("minEventsPerUser"),
             event_window=window.get("duration"),
             dedup_events=bool(window.get("removeDuplicates", False)),
+            compact_properties=bool(window.get("compressProperties", False)),
             blacklist_events=None if blacklist is None else tuple(blacklist),
             num=algo.get("num", NUM_RESULTS),
             user_bias=algo.get("userBias", 1.0),

@@ -21,6 +21,7 @@ from likewise.operators.querying import (
 from likewise.operators.scoring import term_score
 from likewise.params import EngineParams
 from likewise.operators.model import Model
+from likewise.plans.train import present_events
 from likewise.sources.staging import stage
 from likewise.sources.tables import usage_events
 
@@ -36,22 +37,30 @@ def scored_hits(
 ) -> DataFrame:
     """(query_id, sig, pos, score, rnk): matched items each query may return, best first.
 
-    Rules are tested on matched items only, and items are not even read if no query has
+    Rules are tested once for each rule set and matched item, however many queries share them;
+    queries without rules take no part in it, and items are not even read if no query has
     rules. What is left of a query is cut before its shuffle.
     """
     terms = query_terms(asked, usage, model.correlators, params)
-    allowed = term_score(terms, model.postings, taken)
+    scores = term_score(terms, model.postings, taken)
     if rules is not None:
-        described = model.items.select("pos", "props", *params.date_columns)
+        scores = stage(scores, "scores")
+        ruled = scores.where("sig != 0").join(rules.select("sig", "required"), "sig")
         required_met = F.col("bits").bitwiseAND(F.col("required")) == F.col("required")
-        allowed = (
-            allowed.join(rules.drop("rules"), "sig", "left")
+        ruled = ruled.where(required_met & ((F.col("score") > 0) | (F.col("required") != 0)))
+        described = model.items.select("pos", "props", *params.date_columns)
+        passing = (
+            ruled.select("sig", "pos")
+            .distinct()
             .join(described, "pos")
-            .where((F.col("sig") == 0) | (rules_pass(params) & required_met))
-            .where((F.col("score") > 0) | (F.col("required") != 0))
+            .join(rules.drop("rules"), "sig")
+            .where(rules_pass(params))
+            .select("sig", "pos")
         )
+        ruled = ruled.join(passing, ["sig", "pos"], "left_semi").drop("required")
+        allowed = scores.where("sig = 0 AND score > 0").unionByName(ruled.select(*scores.columns))
     else:
-        allowed = allowed.where(F.col("score") > 0)
+        allowed = scores.where(F.col("score") > 0)
     return top_per_group(
         allowed.select("query_id", "sig", "pos", "score"),
         ["query_id"],
@@ -72,6 +81,7 @@ def recommend(
     ``events`` is the current log, from which users' histories are read. ``now`` is the
     date for availability rules of queries that give none.
     """
+    params = present_events(events, params)
     item_type = model.items.schema["item"].dataType
     user_type = events.schema["entity_id"].dataType
     names = list(dict.fromkeys(params.event_names + params.blacklisting_events))

@@ -7,7 +7,12 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from likewise.operators.events import dedup_events, moving_window
+from likewise.operators.events import (
+    dedup_events,
+    event_inventory,
+    is_property_event,
+    moving_window,
+)
 from likewise.operators.model import (
     PROPS,
     Model,
@@ -18,21 +23,46 @@ from likewise.operators.model import (
     merge_model,
     term_weights,
 )
-from likewise.operators.properties import aggregate_properties
+from likewise.operators.properties import aggregate_properties, compact_properties
 from likewise.operators.rankings import rank_table
 from likewise.operators.similarity import correlators
 from likewise.params import EngineParams
 from likewise.sources.staging import stage
+from likewise.sources.store import publish
 from likewise.sources.tables import usage_events
 
 
 def clean_events(
     events: DataFrame, params: EngineParams, end: datetime | str | None = None
 ) -> DataFrame:
-    """The log as training sees it: aged out and de-duplicated where configured."""
+    """The log as training sees it: aged out, de-duplicated and compacted where configured.
+
+    Users' events without both ids are left out. No item loses a property by it. What any of
+    the three has changed is written once, for all the jobs that read it.
+    """
+    columns = events.columns
+    named = [F.length(F.col(c).cast("string")) > 0 for c in ("entity_id", "target_entity_id")]
+    to_item = (F.col("entity_type") == "user") & (F.col("target_entity_type") == "item")
+    events = events.where(~F.coalesce(to_item, F.lit(False)) | F.coalesce(named[0] & named[1], F.lit(False)))
     if params.event_window:
         events = moving_window(events, params.event_window, end)
-    return dedup_events(events) if params.dedup_events else events
+    if params.dedup_events:
+        events = dedup_events(events)
+    if params.compact_properties:
+        own = F.coalesce(is_property_event(), F.lit(False))
+        compact = compact_properties(events).withColumn(
+            "entity_id", F.col("entity_id").cast(events.schema["entity_id"].dataType)
+        )
+        events = events.where(~own).unionByName(compact, allowMissingColumns=True).select(*columns)
+    cleaned = params.event_window or params.dedup_events or params.compact_properties
+    return stage(events, "cleaned") if cleaned else events
+
+
+def present_events(events: DataFrame, params: EngineParams) -> EngineParams:
+    """``params`` with the event types that occur: the first of them is the primary one."""
+    usage = usage_events(events, params.event_names)
+    found = event_inventory(usage, params.event_names).collect()  # a row per configured type
+    return params.with_events({r["event"] for r in found})
 
 
 def _assemble(
@@ -50,11 +80,13 @@ def _assemble(
 def train(events: DataFrame, params: EngineParams, end: datetime | str | None = None) -> Model:
     """Learn correlators and rankings as ``params.recs_model`` says.
 
-    "all" learns both, "collabFiltering" no rankings, "backfill" no correlators. Item
+    The primary event type is the first configured one that has events; users and items
+    without an id are left out. "all" learns both, "collabFiltering" no rankings, "backfill" no correlators. Item
     properties are kept in every mode. The tables of the model are written to the
     shared folder as they are finished; ``publish`` gives them a permanent place.
     """
     events = clean_events(events, params, end)
+    params = present_events(events, params)
     item_type = events.schema["target_entity_id"].dataType
     props = stage(aggregate_properties(events), "props")
     props = props.select(F.col("item").cast(item_type).alias("item"), F.col("props").cast(PROPS))
@@ -77,6 +109,13 @@ def train(events: DataFrame, params: EngineParams, end: datetime | str | None =
     return _assemble(found, props, ranks, params)
 
 
+def train_and_publish(
+    events: DataFrame, params: EngineParams, path: str, end: datetime | str | None = None
+) -> int:
+    """Train, and publish the model with no more writers than ``params.max_write_tasks``."""
+    return publish(train(events, params, end), path, max_write_tasks=params.max_write_tasks)
+
+
 def refresh_ranks(
     model: Model, events: DataFrame, params: EngineParams, end: datetime | str | None = None
 ) -> Model:
@@ -85,8 +124,10 @@ def refresh_ranks(
     Newer properties win over the stored ones, name by name.
     """
     events = clean_events(events, params, end)
+    params = present_events(events, params)
     item_type = model.items.schema["item"].dataType
     fresh = aggregate_properties(events).select(F.col("item").cast(item_type).alias("item"), "props")
+    fresh = stage(fresh, "fresh-props")
     stored = model.items.select("item", F.col("props").cast(PROPS).alias("props"))
     props = stage(merge_model([stored, fresh]), "props")
     ranks = rank_table(params.active_rankings, events, fresh, end, params.seed, params.catalog_only)

@@ -22,7 +22,8 @@ def parse_delimited_events(
     """``user,event,target`` and ``item,$set,name:v1:v2`` lines as one event log.
 
     ``lines`` has the text in ``value`` and a line number in ``seq``; ``time`` gives a
-    line's moment. A value list belongs to the name before it; ids may hold blanks.
+    line's moment. A value list belongs to the name before it; ids may hold blanks. Lines
+    with fewer than three parts are left to :func:`rejected_lines`.
     """
     part = F.split(_line(), field_separator, -1)
     pieces = F.split(F.get(part, F.lit(2)), value_separator, -1)
@@ -43,6 +44,15 @@ def parse_delimited_events(
     )
 
 
+def rejected_lines(lines: DataFrame, separator: str, parts: int) -> DataFrame:
+    """(value, seq, reason) of the lines that a parser asking for so many parts leaves out."""
+    found = F.size(F.split(_line(), separator, -1))
+    reason = F.when(F.col("value").isNull(), "no text").when(
+        found < parts, F.concat_ws(" ", F.lit("found"), found, F.lit("of"), F.lit(parts), F.lit("parts"))
+    )
+    return lines.select("value", "seq", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
 def default_ranks(events: DataFrame, name: str = "defaultRank") -> DataFrame:
     """(item, rank): the one property that is a number rather than a list."""
     first = F.get(F.col("properties")[name], F.lit(0))
@@ -54,7 +64,7 @@ def default_ranks(events: DataFrame, name: str = "defaultRank") -> DataFrame:
 def parse_ratings(lines: DataFrame, seed: int = 0, separator: str = "::") -> DataFrame:
     """``user::item::rating`` lines as a usage event and a category ``$set`` each.
 
-    The rating is ignored. Whether a line counts as "rate" or "buy", and which category
+    The rating is ignored. Lines without two ids are left to :func:`rejected_lines`. Whether a line counts as "rate" or "buy", and which category
     pair its item gets, is drawn from the line's text and number, so that it repeats.
     """
     part = F.split(_line(), separator, -1)

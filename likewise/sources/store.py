@@ -25,11 +25,12 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n[2:]) for n in names if n.startswith("v="))
 
 
-def publish(model: Model, path: str, keep: int = 1, max_write_tasks: int | None = None) -> int:
+def publish(model: Model, path: str, keep: int = 2, max_write_tasks: int | None = None) -> int:
     """Write the whole model beside the current one, then switch readers to it.
 
     The switch is the creation of one marker file, so a reader sees the old version or
-    the complete new one. Older versions beyond ``keep`` go only after the switch.
+    the complete new one. Older versions beyond ``keep`` go only after the switch; the one
+    before the new version stays by default, for readers that still use it.
     ``max_write_tasks`` limits the number of concurrent writers of each table.
     """
     spark = model.items.sparkSession

@@ -23,8 +23,9 @@ def scan_events(events: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def usage_events(events: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(user, event, item, event_time) of user-to-item events."""
-    return scan_events(events, names).select(
+    """(user, event, item, event_time) of user-to-item events whose two ids are not empty."""
+    full = [F.length(F.col(c).cast("string")) > 0 for c in ("entity_id", "target_entity_id")]
+    return scan_events(events, names).where(full[0] & full[1]).select(
         F.col("entity_id").alias("user"),
         "event",
         F.col("target_entity_id").alias("item"),

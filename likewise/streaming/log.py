@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from likewise.operators.events import LOG_KEY
+from likewise.operators.events import LOG_KEY, properties_text
 
 
 def read_event_stream(
@@ -22,7 +22,7 @@ def read_event_stream(
 def stream_popularity(
     events: DataFrame, names: Sequence[str], window: str, lateness: str
 ) -> DataFrame:
-    """(start, item, rank): events per target and window, final once the watermark passes.
+    """(start, item, rank): events per target and window; open windows can still change.
 
     State is one counter per open window and item; counts combine before the shuffle.
     """
@@ -39,7 +39,33 @@ def stream_popularity(
 def stream_dedup_events(events: DataFrame, lateness: str) -> DataFrame:
     """Each identical event once, remembered for ``lateness`` of event time."""
     timed = events.withColumn("event_time", F.col("event_time").cast("timestamp"))
-    return timed.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark(LOG_KEY)
+    keyed = timed.withColumn("_properties", properties_text()).withWatermark("event_time", lateness)
+    return keyed.dropDuplicatesWithinWatermark([*LOG_KEY, "_properties"]).drop("_properties")
+
+
+def run_to_latest(stream: DataFrame, keys: Sequence[str], path: str, checkpoint: str) -> DataFrame:
+    """Process everything available; the latest row of every key, open windows included.
+
+    Each micro-batch writes the rows it has changed to a folder of its own, replacing what a
+    lost attempt left there. A later run with the same folders goes on where this one ended.
+    """
+
+    def commit(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    query = (
+        stream.writeStream.option("checkpointLocation", checkpoint)
+        .outputMode("update")
+        .trigger(availableNow=True)
+        .foreachBatch(commit)
+        .start()
+    )
+    query.awaitTermination()
+    written = StructType([*stream.schema.fields, StructField("batch", IntegerType())])
+    rows = stream.sparkSession.read.schema(written).option("basePath", path).parquet(path)
+    rest = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
+    return last.select(*[F.col("_last")[c].alias(c) if c in rest else F.col(c) for c in stream.columns])
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

@@ -15,7 +15,7 @@ def shuffle_key(seed, *parts):
     return hashlib.md5("|".join(str(p) for p in (seed, *parts)).encode()).hexdigest()
 
 
-def prepare(rows, names, cap=500, min_events=1, seed=0):
+def prepare(rows, names, cap=None, min_events=1, seed=0):
     """rows are (user, event, item); returns the kept set and the users."""
     raw = Counter(r for r in rows if r[1] in names)
     per_user = Counter()

@@ -4,7 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from likewise import EngineParams, Ranking
-from likewise.sources.delimited import default_ranks, parse_delimited_events, parse_ratings
+from likewise.sources.delimited import (
+    default_ranks,
+    parse_delimited_events,
+    parse_ratings,
+    rejected_lines,
+)
 from likewise.sources.tables import scan_events
 
 
@@ -20,7 +25,7 @@ def test_an_engine_configuration_is_read(spark):
     })
     assert params.event_names == ["buy", "view"] and params.primary == "buy"
     buy, view = params.indicators
-    assert (buy.max_items_per_user, buy.max_correlators, buy.min_llr) == (500, 50, None)
+    assert (buy.max_items_per_user, buy.max_correlators, buy.min_llr) == (None, 50, None)
     assert (view.max_items_per_user, view.max_correlators, view.min_llr, view.max_query_events) == (40, 7, 2.5, 40)
     assert params.blacklisting_events == [] and params.num == 4 and params.user_bias == 2.0
     assert params.rank_columns == ["hotRank", "uniqueRank"]
@@ -33,7 +38,7 @@ def test_defaults_of_the_short_form():
     params = EngineParams.from_config({"algorithms": [{"params": {"eventNames": ["a", "b"]}}]})
     assert params == EngineParams.of("a", "b")
     assert params.num == 20 and params.blacklisting_events == ["a"]
-    assert [i.max_query_events for i in params.indicators] == [100, 100]
+    assert [i.max_query_events for i in params.indicators] == [None, None]
     assert params.rank_columns == ["popRank"] and params.active_rankings[0].duration == "3650 days"
 
 
@@ -76,3 +81,10 @@ def test_ratings(spark):
     again = parse_ratings(lines(spark, *text).repartition(5), seed=1)
     flat = ["event", "entity_id", F.to_json("properties"), "seq"]
     assert got.select(*flat).exceptAll(again.select(*flat)).isEmpty()
+
+
+def test_short_lines_are_reported(spark):
+    lines = spark.createDataFrame([("u,buy,x", 0), ("u,buy", 1), ("", 2), (None, 3)], "value string, seq long")
+    assert [r.seq for r in parse_delimited_events(lines).collect()] == [0]
+    got = {r.seq: r.reason for r in rejected_lines(lines, ",", 3).collect()}
+    assert got == {1: "found 2 of 3 parts", 2: "found 1 of 3 parts", 3: "no text"}

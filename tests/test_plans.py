@@ -31,13 +31,16 @@ def test_scans_read_only_what_is_asked(stored):
     assert "EqualTo(entity_type,user)" in plan(scan_events(stored, EVENTS))
 
 
-def test_similarity_has_one_shuffle_for_the_pairs(stored):
+def test_pairs_are_combined_before_they_are_shuffled(stored):
     usage = usage_events(stored, EVENTS).select("user", "event", "item")
     text = plan(sim.correlators(usage, [Indicator(n) for n in EVENTS]))
-    # after the pairs are generated: the shuffle on (item, event), nothing else
+    # after the pairs are generated: counted, shuffled on the whole triple, counted again,
+    # cut to the best of each task, and only then shuffled on (item, event)
     above = text[: text.index("Generate explode")]
-    assert above.count("Exchange hashpartitioning(item") == 1
-    assert above.count("Exchange hashpartitioning") == 1
+    triple = above.rindex("Exchange hashpartitioning(item")
+    assert "partial_count(1)" in above[triple:] and "correlator" in above[triple : triple + 200]
+    assert above.count("Exchange hashpartitioning") == 2
+    assert "WindowGroupLimit" in above[above.index("Exchange hashpartitioning") : triple]
     assert "CartesianProduct" not in text and "NestedLoop" not in text and "Python" not in text
 
 

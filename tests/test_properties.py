@@ -2,9 +2,11 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from likewise import EngineParams
 from likewise.operators import events as ev
 from likewise.operators import model as md
 from likewise.operators import properties as pr
+from likewise.plans.train import clean_events, present_events, train
 from shop import SCHEMA
 
 T = datetime(2024, 1, 1)
@@ -121,6 +123,53 @@ def test_window_and_deduplication(spark):
     assert {r.seq for r in ev.moving_window(log, "6 days", T + timedelta(days=7)).collect()} == {1, 2, 3}
 
 
+def said(spark, *rows):
+    """Property events: (event, item, properties, day)."""
+    return spark.createDataFrame(
+        [(e, "item", i, None, None, p, T + timedelta(days=d), 100 + n) for n, (e, i, p, d) in enumerate(rows)], SCHEMA
+    )
+
+
+def test_cleaning_loses_no_property(spark):
+    log = said(
+        spark,
+        ("$set", "x", {"color": ["red"]}, -400), ("$set", "x", {"size": ["1"]}, -399), ("$set", "x", {"size": ["1"]}, -398),
+        ("$set", "y", {"a": ["1"]}, -9), ("$set", "y", {"a": ["2"]}, -8), ("$set", "y", {"a": ["1"]}, -7),
+        ("$set", "z", {"a": ["1"]}, -9), ("$delete", "z", None, -8), ("$set", "w", {"a": ["1"], "b": ["2"]}, -3),
+        ("$unset", "w", {"b": []}, -2),
+    ).unionByName(usage(spark, ("a", "u", "x", 0), ("a", "u", "x", 3), ("a", "v", "x", -30)))
+    want = {"x": {"color": ["red"], "size": ["1"]}, "y": {"a": ["1"]}, "w": {"a": ["1"]}}
+    for window in (None, "6 days"):
+        for dedup in (False, True):
+            for compact in (False, True):
+                params = EngineParams.of("a", event_window=window, dedup_events=dedup, compact_properties=compact)
+                cleaned = clean_events(log, params)
+                assert cleaned.columns == log.columns
+                props = {r["item"]: r["props"] for r in pr.aggregate_properties(cleaned).collect()}
+                assert props == want
+                acts = cleaned.where("event = 'a'").count()
+                assert acts == 3 - (window is not None) - dedup
+
+
+def test_training_keeps_properties_and_finds_the_first_event_type(spark):
+    log = usage(spark, *[("b", f"u{n % 5}", f"i{n % 3}", 0) for n in range(30)], ("b", "", "x", 0), ("b", "u", None, 0))
+    log = log.unionByName(said(spark, ("$set", "i0", {"a": ["1"]}, -400), ("$set", "i0", {"b": ["2"]}, -300)))
+    params = EngineParams.of("a", "b", event_window="6 days", dedup_events=True)
+    model = train(log, params, T + timedelta(days=1))
+    items = {r["item"]: r["props"] for r in model.items.collect()}
+    assert "x" not in items and None not in items
+    assert items["i0"]["a"] == ["1"] and items["i0"]["b"] == ["2"]
+    assert {r.event for r in model.correlators.collect()} <= {"b"}
+    assert present_events(log, params).primary == "b"
+
+
+def test_properties_are_folded_in_one_pass(spark, tmp_path):
+    said(spark, ("$set", "x", {"a": ["1"]}, 0)).write.parquet(str(tmp_path / "log"))
+    stored = spark.read.parquet(str(tmp_path / "log"))
+    plan = pr.aggregate_properties(stored)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
 def test_rejected_events_are_counted_not_fatal(spark):
     log = usage(spark, ("a", "u", "x", 0), ("q", "u", "x", 0), ("a", "", "x", 0), ("a", "u", None, 0), ("a", None, "x", 0))
     good, bad = ev.validate_events(log, ["a"])

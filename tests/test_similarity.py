@@ -46,7 +46,7 @@ def as_lists(df):
 def test_correlators_equal_plain_loops(spark, hot, limits):
     rows = log(1, hot=hot)
     names = ["b", "a", "c"]
-    indicators = [Indicator(n, limits.get("cap", 500), 5) for n in names]
+    indicators = [Indicator(n, limits.get("cap"), 5) for n in names]
     got = sim.correlators(
         frame(spark, rows), indicators, limits.get("min_events"), limits.get("seed", 0)
     )
@@ -58,9 +58,25 @@ def test_prepared_groups_are_bounded_by_the_caps(spark):
     cut, _ = ev.prepare(frame(spark, rows), [Indicator(n, 5) for n in "abc"])
     assert cut.groupBy("user", "event").count().agg(F.max("count")).first()[0] <= 5
     assert cut.groupBy("event", "item").count().agg(F.max("count")).first()[0] <= 5
-    pairs = sim.pair_counts(cut, "a")
-    most = pairs.groupBy("item", "event").agg(F.sum("n_both")).agg(F.max("sum(n_both)")).first()[0]
-    assert most <= 25
+
+
+def test_nothing_is_cut_unasked(spark):
+    """One item holds a third of the log, one user has 1,500 items, in small and large blocks."""
+    rng = random.Random(9)
+    rows = [(f"u{n}", rng.choice("ab"), "hot") for n in range(900)]
+    rows += [("busy", rng.choice("ab"), f"i{n}") for n in range(1500)]
+    rows += [(f"u{rng.randrange(900)}", rng.choice("ab"), f"i{rng.randrange(40)}") for _ in range(900)]
+    got = sim.correlators(frame(spark, rows), [Indicator("a"), Indicator("b")])
+    assert as_lists(got) == brute.correlators(rows, ["a", "b"])
+    kept, _ = ev.prepare(frame(spark, rows), [Indicator("a"), Indicator("b")])
+    assert {tuple(r) for r in kept.select("user", "event", "item").collect()} == brute.prepare(rows, ["a", "b"])[0]
+
+
+def test_blocks_of_a_basket_meet_each_other(spark, monkeypatch):
+    rows = log(11)
+    want = as_lists(sim.correlators(frame(spark, rows), [Indicator(n) for n in "abc"]))
+    monkeypatch.setattr(sim, "BASKET", 3)
+    assert as_lists(sim.correlators(frame(spark, rows), [Indicator(n) for n in "abc"])) == want
 
 
 def test_n_users_is_the_margin(spark):

@@ -24,8 +24,10 @@ def test_publish_switch_and_expire(spark, tmp_path):
     files = list((tmp_path / "model" / "v=2" / "correlators").glob("*.parquet"))
     assert len(files) == 1
     assert store.publish(model, path) == 3
-    assert store.versions(spark, path) == [3]
+    assert store.versions(spark, path) == [2, 3]  # the one before stays for its readers
     assert not (tmp_path / "model" / "v=1").exists()
+    assert store.publish(model, path, keep=1) == 4
+    assert store.versions(spark, path) == [4]
 
 
 def test_an_unfinished_version_is_not_seen(spark, tmp_path):
@@ -61,4 +63,5 @@ def test_staged_tables_go_to_the_folder_the_session_names(spark):
     assert shared_folder(spark) == folder
     staged = stage(spark.range(3), "numbers")
     assert staged.count() == 3
-    assert staged.inputFiles()[0].startswith(f"file://{folder}/likewise/numbers-")
+    run = f"{folder}/likewise/{spark.sparkContext.applicationId}"
+    assert staged.inputFiles()[0].startswith(f"file://{run}/numbers-")
