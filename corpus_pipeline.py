@@ -44,10 +44,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of the texts, and whether they decode to the same bytes."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN)
-    decoded = bpe.decode(encoded, path)
+    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN, decoded="decoded")
     whole = F.coalesce("text", F.lit("")).cast("binary")
-    return decoded.select(
+    return encoded.select(
         "doc_id",
         "lang",
         "source",

@@ -23,6 +23,8 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from likewise.llm import text as tx
+
 #: Distinct words that a task remembers; with more, it starts to remember afresh.
 REMEMBERED = 1 << 18
 
@@ -232,27 +234,40 @@ def _schema(docs: DataFrame, extra: str) -> str:
 
 
 def encode(
-    docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids"
+    docs: DataFrame,
+    path: str,
+    pattern: str,
+    text: str = "text",
+    ids: str = "ids",
+    decoded: str | None = None,
 ) -> DataFrame:
     """``docs`` with a column of the token ids of the whole text, array<int>.
 
-    A null or empty text has no tokens. Special tokens are ordinary text. All other columns
+    With ``decoded`` there is also a binary column of that name, what the ids stand for: the
+    way back is taken where the ids are, which saves moving them to another process. A null or
+    empty text has no tokens. Special tokens are ordinary text. All other columns
     stay as they are, but for one that has the name of the new column. An empty table gives an
     empty one.
     """
     name = _share(docs, path)
-    docs = docs.select(*[c for c in docs.columns if c.lower() != ids.lower()])
-    names = [*docs.columns, ids]
+    added = [ids] if decoded is None else [ids, decoded]
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in map(str.lower, added)])
+    tx.bound_batches(docs.sparkSession)
+    names = [*docs.columns, *added]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary(SparkFiles.get(name)), pattern)
+        vocab = vocabulary(SparkFiles.get(name))
+        encoder = Encoder(vocab, pattern)
         for batch in batches:
             for a, b in blocks(batch.column(names.index(text))):
                 part = batch.slice(a, b - a)
-                found = encoder.encode(part.column(names.index(text)))
-                yield pa.RecordBatch.from_arrays([*part.columns, found], names=names)
+                found = [encoder.encode(part.column(names.index(text)))]
+                if decoded is not None:
+                    found.append(_decoded(found[0], vocab))
+                yield pa.RecordBatch.from_arrays([*part.columns, *found], names=names)
 
-    return docs.mapInArrow(of, _schema(docs, f"`{ids}` array<int>"))
+    kinds = f"`{ids}` array<int>" + (f", `{decoded}` binary" if decoded is not None else "")
+    return docs.mapInArrow(of, _schema(docs, kinds))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -263,18 +278,22 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded
     """
     name = _share(docs, path)
     docs = docs.select(*[c for c in docs.columns if c.lower() != decoded.lower()])
+    tx.bound_batches(docs.sparkSession)
     names = [*docs.columns, decoded]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = vocabulary(SparkFiles.get(name)).bytes.__getitem__
         for batch in batches:
-            lists = batch.column(names.index(ids))
-            found = pa.array([b"".join(map(get, row)) for row in _rows(lists)], pa.binary())
+            found = _decoded(batch.column(names.index(ids)), vocabulary(SparkFiles.get(name)))
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=names)
 
     return docs.mapInArrow(of, _schema(docs, f"`{decoded}` binary"))
 
 
+def _decoded(lists: pa.Array, vocab: Vocabulary) -> pa.Array:
+    get = vocab.bytes.__getitem__
+    return pa.array([b"".join(map(get, row)) for row in _rows(lists)], pa.binary())
+
+
 def _rows(lists: pa.Array) -> Iterator[list[int]]:
     ends = lists.offsets.to_numpy()
     for n, ok in enumerate(lists.is_valid().to_pylist()):

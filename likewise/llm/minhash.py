@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from likewise.llm.graph import components
 from likewise.llm.shingling import blocks
+from likewise.llm.text import bound_batches
 from likewise.sources.staging import stage
 
 #: Words in a shingle.
@@ -287,6 +288,7 @@ def near_groups(
     A row is kept when its id is the component's, null ids being equal. An empty table gives
     an empty one. Other columns are not looked at.
     """
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     prints = stage(texts.mapInArrow(_prints(width, bands, rows), _PRINTS), "minhash")
     classes = stage(

@@ -56,8 +56,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN).drop("text")
-    return bpe.decode(encoded, path).select(
+    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN, decoded="decoded")
+    return encoded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(bpe.id_text(), 256).alias("ids_sha256"),

@@ -112,6 +112,7 @@ def word_count(text: Column) -> Column:
 def bpe_count(docs: DataFrame, path: str, pattern: str, name: str) -> DataFrame:
     """``docs`` without its text, with the number of its byte-level BPE tokens as ``name``."""
     file = bpe._share(docs, path)
+    tx.bound_batches(docs.sparkSession)
     others = [c for c in docs.columns if c not in ("text", name)]
     docs = docs.select("text", *others)
 

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from likewise.llm.shingling import blocks, mix
+from likewise.llm.text import bound_batches
 from likewise.sources.staging import stage
 
 #: Labelled rows of either label that serve as examples; this bounds the fit and the index.
@@ -286,6 +287,7 @@ def fit(
     ``2 * per_label`` examples as vectors of these terms. Without labelled rows of both kinds
     every score is the share of toxic ones among those there are, 0 if there are none.
     """
+    bound_batches(docs.sparkSession)
     examples = _examples(docs, labelled, per_label)
     share = {
         r["toxic"]: r["n"]
