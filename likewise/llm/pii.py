@@ -100,10 +100,21 @@ def _confirmed_whole() -> Column:
     return (formed & confirmed(names[kind], match)).cast("double")
 
 
-def _spans(kind: str, pattern: str) -> Column:
-    found = tx.matches(F.col("text"), pattern)
+def _lines(text: Column) -> Column:
+    """array<struct<line,at>> of the lines that can hold any span, and where each begins.
+
+    No span crosses a line, and each has a digit, an @ or an assignment in its line, so the
+    patterns need not look at the others.
+    """
+    lines = F.split(text, "\n", -1)
+    starts = tx.running_starts(F.transform(lines, lambda x: F.length(x).cast("bigint") + 1))
+    placed = F.zip_with(lines, starts, lambda x, at: F.struct(x.alias("line"), at.alias("at")))
+    return F.filter(placed, lambda x: x["line"].rlike("[0-9@=:]"))
+
+
+def _spans(kind: str, pattern: str, line: Column) -> Column:
     return F.transform(
-        found,
+        tx.matches(line, pattern),
         lambda x: F.struct(
             x["start"].alias("start"),
             F.lit(KINDS.index(kind)).alias("kind"),
@@ -113,48 +124,59 @@ def _spans(kind: str, pattern: str) -> Column:
     )
 
 
-def _base() -> Column:
+def _shifted(spans: Column, at: Column, *more: str) -> Column:
+    return F.transform(
+        spans,
+        lambda x: F.struct(
+            (x["start"] + at).alias("start"),
+            x["kind"].alias("kind"),
+            (x["end"] + at).alias("end"),
+            *[x[c].alias(c) for c in ("match", *more)],
+        ),
+    )
+
+
+def _base(lines: Column) -> Column:
     """All confirmed strict spans: array<struct<start,kind,end,match>>, by start, then kind."""
-    parts = F.concat(*[_spans(kind, pattern) for kind, pattern in STRICT.items()])
     names = F.array(*[F.lit(k) for k in KINDS])
-    return F.array_sort(F.filter(parts, lambda x: confirmed(names[x["kind"]], x["match"])))
 
+    def of(line: Column) -> Column:
+        found = F.concat(*[_spans(k, p, line["line"]) for k, p in STRICT.items()])
+        good = F.filter(found, lambda x: confirmed(names[x["kind"]], x["match"]))
+        return _shifted(good, line["at"])
 
-def _proposed() -> Column:
-    """All wide spans with their context."""
+    return F.array_sort(F.flatten(F.transform(lines, of)))
 
-    def context(x: Column) -> Column:
-        before = F.greatest(x["start"] - CONTEXT, F.lit(0))
-        return F.struct(
-            x["start"].alias("start"),
-            x["kind"].alias("kind"),
-            x["end"].alias("end"),
-            x["match"].alias("match"),
-            F.substring(
-                F.col("text"), (before + 1).cast("int"), (x["start"] - before).cast("int")
-            ).alias("before"),
-            F.substring(F.col("text"), (x["end"] + 1).cast("int"), F.lit(CONTEXT)).alias("after"),
-        )
+
+def _proposed(lines: Column) -> Column:
+    """All wide spans with their context, which is that of their line."""
+    secret, email = KINDS.index("secret"), KINDS.index("email")
 
     def value(x: Column) -> Column:
         """Of a secret only the value; of an address not the punctuation it ends with."""
         last = F.regexp_extract(x["match"], r"([A-Za-z0-9+/_=-]+)$", 1)
         tail = F.regexp_extract(x["match"], r"[^A-Za-z0-9]*$", 0)
-        secret = x["kind"] == KINDS.index("secret")
-        email = x["kind"] == KINDS.index("email")
-        end = F.when(email, x["end"] - F.length(tail)).otherwise(x["end"])
-        start = F.when(secret, x["end"] - F.length(last)).otherwise(x["start"])
-        match = (
-            F.when(secret, last)
-            .when(email, F.substring(x["match"], F.lit(1), (end - start).cast("int")))
-            .otherwise(x["match"])
-        )
-        return F.struct(
-            start.alias("start"), x["kind"].alias("kind"), end.alias("end"), match.alias("match")
-        )
+        end = F.when(x["kind"] == email, x["end"] - F.length(tail)).otherwise(x["end"])
+        start = F.when(x["kind"] == secret, x["end"] - F.length(last)).otherwise(x["start"])
+        return F.struct(start.alias("start"), x["kind"].alias("kind"), end.alias("end"))
+
+    def of(line: Column) -> Column:
+        part = lambda a, b: F.substring(line["line"], (a + 1).cast("int"), (b - a).cast("int"))
 
-    wide = F.concat(*[_spans(k, p) for k, p in WIDE.items()])
-    return F.transform(F.transform(wide, value), context)
+        def context(x: Column) -> Column:
+            before = F.greatest(x["start"] - CONTEXT, F.lit(0))
+            return F.struct(
+                *[x[c].alias(c) for c in ("start", "kind", "end")],
+                part(x["start"], x["end"]).alias("match"),
+                part(before, x["start"]).alias("before"),
+                part(x["end"], x["end"] + CONTEXT).alias("after"),
+            )
+
+        wide = F.concat(*[_spans(k, p, line["line"]) for k, p in WIDE.items()])
+        found = F.transform(F.transform(wide, value), context)
+        return _shifted(found, line["at"], "before", "after")
+
+    return F.flatten(F.transform(lines, of))
 
 
 def _count(x: Column, letters: str) -> Column:
@@ -249,8 +271,11 @@ def find(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         text.alias("text"),
         F.xxhash64(text).alias("row"),
     )
+    lines = texts.select("doc_id", "row", _lines(F.col("text")).alias("lines"))
     found = stage(
-        texts.select("doc_id", "row", _base().alias("base"), _proposed().alias("proposed")),
+        lines.select(
+            "doc_id", "row", _base(F.col("lines")).alias("base"), _proposed(F.col("lines")).alias("proposed")
+        ),
         "pii-found",
     )
     proposed = found.select("doc_id", "row", F.explode("proposed").alias("p"))
