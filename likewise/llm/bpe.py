@@ -24,12 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from likewise.llm import text as tx
+from likewise.llm.workers import give_back
 
 #: Distinct words that a task remembers; with more, it starts to remember afresh.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 
 #: Bytes of text whose new words are replayed together.
-BLOCK = 1 << 23
+BLOCK = 1 << 22
 
 _NONE = np.int32(np.iinfo(np.int32).max)
 
@@ -265,6 +266,7 @@ def encode(
                 if decoded is not None:
                     found.append(_decoded(found[0], vocab))
                 yield pa.RecordBatch.from_arrays([*part.columns, *found], names=names)
+            give_back()
 
     kinds = f"`{ids}` array<int>" + (f", `{decoded}` binary" if decoded is not None else "")
     return docs.mapInArrow(of, _schema(docs, kinds))
@@ -285,6 +287,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded
         for batch in batches:
             found = _decoded(batch.column(names.index(ids)), vocabulary(SparkFiles.get(name)))
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=names)
+            give_back()
 
     return docs.mapInArrow(of, _schema(docs, f"`{decoded}` binary"))
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from likewise.llm.graph import components
 from likewise.llm.shingling import blocks
 from likewise.llm.text import bound_batches
+from likewise.llm.workers import give_back
 from likewise.sources.staging import stage
 
 #: Words in a shingle.
@@ -113,6 +114,7 @@ def _prints(width: int, bands: int, rows: int):
                     ],
                     names=["doc_id", "n_shingles", "set_key", "bands"],
                 )
+            give_back()
 
     return of
 
@@ -136,6 +138,7 @@ def _sets(width: int):
                     ],
                     names=["doc_id", "set_key", "shingles"],
                 )
+            give_back()
 
     return of
 

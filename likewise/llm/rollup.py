@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from likewise.llm import bpe
 from likewise.llm import text as tx
+from likewise.llm.workers import give_back
 
 GROUP = ["source", "lang", "version"]
 
@@ -124,5 +125,6 @@ def bpe_count(docs: DataFrame, path: str, pattern: str, name: str) -> DataFrame:
                 sizes = pc.list_value_length(encoder.encode(part.column(0)))
                 columns = [*part.columns[1:], sizes.cast(pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*others, name])
+            give_back()
 
     return docs.mapInArrow(of, bpe._schema(docs.select(*others), f"`{name}` long"))

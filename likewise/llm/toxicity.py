@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from likewise.llm.shingling import blocks, mix
 from likewise.llm.text import bound_batches
+from likewise.llm.workers import give_back
 from likewise.sources.staging import stage
 
 #: Labelled rows of either label that serve as examples; this bounds the fit and the index.
@@ -238,6 +239,7 @@ def _term_counts(docs: DataFrame, terms: dict[bytes, int] | None, keys: list[str
                 [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)],
                 names=[*keys, "word", "n"],
             )
+            give_back()
 
     schema = ", ".join([*(f"{k} int" for k in keys), "word binary, n long"])
     counted = docs.select(*keys, "text").mapInArrow(of, schema)
@@ -385,6 +387,7 @@ def score(docs: DataFrame, model: Model, nearest: int = NEAREST) -> DataFrame:
                 ],
                 names=["doc_id", "score", "ids", "cosines"],
             )
+            give_back()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     found = rows.mapInArrow(of, "doc_id long, score double, ids array<long>, cosines array<double>")
