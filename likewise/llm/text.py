@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -98,8 +96,3 @@ def matches(text: Column, pattern: str) -> Column:
         ),
     )
     return F.filter(spans, lambda x: x["match"].isNotNull())
-
-
-def no_nulls_equal(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Join condition on all keys in which two nulls are equal."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
