@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks.logs import NOW, full_log, order_log, table
 from checks.training import ORDER_PARAMS, PARAMS, Query, order_model, trained, usage_model
-from likewise import EngineParams, FieldRule, Indicator
+from likewise import EngineParams, FieldRule
 from likewise.operators import querying as qu
 from likewise.operators.scoring import term_match, term_score
 from likewise.plans.recommend import recommend

@@ -27,7 +27,7 @@ from likewise.operators import properties as pr
 from likewise.operators import rankings as rk
 from likewise.operators import similarity as sim
 from likewise.operators.model import Model
-from likewise.operators.querying import complete_queries, recent_history
+from likewise.operators.querying import recent_history
 from likewise.plans.train import clean_events, refresh_ranks, train, train_and_publish
 from likewise.sources import store
 from likewise.sources.delimited import parse_delimited_events, parse_ratings

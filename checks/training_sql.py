@@ -12,7 +12,6 @@ from checks.sql_parts import (
     best,
     ctes,
     cut,
-    fixed6,
     pairs,
     popular,
     stamp,
