@@ -364,8 +364,10 @@ def near_groups(
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document stays, all their columns as they are."""
-    gone = near_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    gone = stage(gone.distinct(), "minhash-dropped")
-    same = docs["doc_id"].cast("bigint").eqNullSafe(gone["_gone"])
-    return docs.join(gone, same, "left_anti")
+    """The rows of ``docs`` whose document stays, all their columns as they are.
+
+    Rows that repeat a doc_id stay or go together. Rows without one name no document: they stay.
+    """
+    gone = near_groups(docs).where(~F.col("kept") & F.col("doc_id").isNotNull())
+    gone = stage(gone.select(F.col("doc_id").alias("_gone")).distinct(), "minhash-dropped")
+    return docs.join(gone, docs["doc_id"].cast("bigint") == gone["_gone"], "left_anti")

@@ -355,6 +355,15 @@ def fit(
     return model
 
 
+def _nearest(texts: pa.Array, model: Model, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and cosines of every text's nearest examples; a null text is an empty one."""
+    for text in texts.cast(pa.binary()):
+        if model.index is None:
+            yield np.zeros(0, np.int64), np.zeros(0)
+        else:
+            yield model.index.nearest(*model.vector(text.as_py() or b""), k)
+
+
 def score(docs: DataFrame, model: Model, nearest: int = NEAREST) -> DataFrame:
     """One row per row of ``docs``: doc_id, score, evidence (examples and cosines, best first).
 
@@ -367,14 +376,8 @@ def score(docs: DataFrame, model: Model, nearest: int = NEAREST) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
             scores, ids, cosines = [], [], []
-            for i in range(len(texts)):
-                place, cosine = np.zeros(0, np.int64), np.zeros(0)
-                if model.index is not None:
-                    place, cosine = model.index.nearest(
-                        *model.vector(texts[i].as_py() or b""), nearest
-                    )
+            for place, cosine in _nearest(batch.column("text"), model, nearest):
                 scores.append(model.score(place, cosine))
                 ids.append(model.index.ids[place].tolist() if len(place) else [])
                 cosines.append(cosine.tolist())
@@ -396,9 +399,19 @@ def score(docs: DataFrame, model: Model, nearest: int = NEAREST) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labelled: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose score is below the threshold, all their columns as they are."""
+    """The rows of ``docs`` whose score is below the threshold, all their columns as they are.
+
+    Every row is judged by its own text, whatever its id; nothing is shuffled.
+    """
     model = fit(docs, labelled.where(~held_out()))
-    scored = score(docs, model).where(F.col("score") >= threshold)
-    gone = stage(scored.select(F.col("doc_id").alias("_gone")).distinct(), "toxicity-dropped")
-    same = docs["doc_id"].cast("bigint").eqNullSafe(gone["_gone"])
-    return docs.join(gone, same, "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _nearest(batch.column(place), shared.value, NEAREST)
+            low = [shared.value.score(*x) < threshold for x in found]
+            yield batch.filter(pa.array(low, pa.bool_()))
+            give_back()
+
+    return docs.mapInArrow(of, docs.schema)

@@ -187,7 +187,9 @@ def test_toxicity_with_awkward_rows(spark):
     assert all(min(by[i]) >= 0.5 for i, _ in insults) and all(max(by[i]) < 0.5 for i, _ in fine)
     assert by[3] == by[4] and len(by[2]) == 1
     left = toxicity.drop_toxic(docs, labelled)
-    assert left.columns == docs.columns and left.count() == docs.count() - 30
+    assert left.schema == docs.schema and left.count() == docs.count() - 30
+    unnamed = docs.withColumn("doc_id", F.lit(None).cast("long")).unionByName(docs)
+    assert toxicity.drop_toxic(unnamed, labelled).count() == 2 * (docs.count() - 30)
     unlabelled = toxicity.fit(docs, labelled.limit(0))
     assert {r.score for r in toxicity.score(docs, unlabelled).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), model).count() == 0
