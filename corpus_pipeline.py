@@ -30,7 +30,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near copies: that of the smallest doc_id."""
+    """One document of every group of near copies (Jaccard 0.8 or more): that of the smallest doc_id."""
     return minhash.drop_near_copies(docs)
 
 

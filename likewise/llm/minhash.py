@@ -40,6 +40,10 @@ LINK = 85
 #: each other in all bands once in 2.5 million cases.
 BANDS, ROWS = 20, 4
 
+#: Near copies in a corpus link from this similarity, in hundredths, and are looked for with so
+#: many bands, which miss a pair at it as seldom.
+COPY_LINK, COPY_BANDS = 80, 28
+
 #: Members that each bucket is compared with before the rest is settled in full.
 ROUNDS = 2
 
@@ -363,11 +367,14 @@ def near_groups(
     )
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(
+    docs: DataFrame, link: int = COPY_LINK, bands: int = COPY_BANDS
+) -> DataFrame:
     """The rows of ``docs`` whose document stays, all their columns as they are.
 
-    Rows that repeat a doc_id stay or go together. Rows without one name no document: they stay.
+    Documents are near copies from a similarity of ``link`` hundredths. Rows that repeat a doc_id stay or go together. Rows without one name no document: they stay.
     """
-    gone = near_groups(docs).where(~F.col("kept") & F.col("doc_id").isNotNull())
+    groups = near_groups(docs, link=link, bands=bands)
+    gone = groups.where(~F.col("kept") & F.col("doc_id").isNotNull())
     gone = stage(gone.select(F.col("doc_id").alias("_gone")).distinct(), "minhash-dropped")
     return docs.join(gone, docs["doc_id"].cast("bigint") == gone["_gone"], "left_anti")

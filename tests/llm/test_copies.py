@@ -7,6 +7,7 @@ import pytest
 import samples
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from likewise.llm import exact, lines, minhash
 
 DOCUMENTS = "/root/testdata/sf0.001/documents.parquet"
@@ -85,6 +86,22 @@ def test_near_groups_are_those_of_all_pairs(spark, rounds):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_the_near_copy_stage_links_from_four_fifths(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(0, 120, 2):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        copy = list(base)
+        for at in range(10, 10 + 30 * (2 + i // 2 % 3), 30):  # Jaccard 0.87, 0.81, 0.76
+            copy[at] = "edit"
+        rows += [(i, " ".join(base)), (i + 1, " ".join(copy))]
+    rows += [(1000 + i, t) for i, t in near_rows() if t]
+    want = {i for i, (_, c) in samples.near(rows, 80).items() if i == c}
+    assert want != {i for i, (_, c) in samples.near(rows, 85).items() if i == c}
+    kept = corpus_pipeline.near_stage(spark, samples.docs(spark, rows), "")
+    assert {r.doc_id for r in kept.collect()} == want
+
+
 def test_near_groups_over_a_table(spark):
     docs = spark.read.parquet(DOCUMENTS)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_groups(docs).collect()}
