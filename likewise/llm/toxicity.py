@@ -1,10 +1,11 @@
 """Toxicity by the nearest labelled examples.
 
-The examples are a bounded sample of the labelled rows. Terms are the words that tell the
-two labels apart best among them; their document frequencies are counted over all documents.
-Examples lie in blocks of an inverted index that holds, for every term and block, the largest
-weight: a block whose bound cannot reach the nearest examples found so far isn't looked at, so
-the nearest examples by TF-IDF cosine are exact. Their distance-weighted vote is calibrated by
+The examples are a bounded sample of the labelled rows. Every word of theirs is a term; its
+document frequency is counted over all documents, and its weight grows with what it says about
+the label (G statistic among the examples) but is never 0, so every text that shares a word with
+an example has neighbours. Examples lie in blocks of an inverted index that holds, for every term
+and block, the largest weight: a block whose bound cannot reach the nearest examples found so far
+isn't looked at, so the nearest examples by weighted TF-IDF cosine are exact. Their distance-weighted vote is calibrated by
 what such votes have meant for the examples themselves, each one left out in turn.
 """
 
@@ -28,23 +29,14 @@ from likewise.sources.staging import stage
 #: Labelled rows of either label that serve as examples; this bounds the fit and the index.
 EXAMPLES = 1500
 
-#: Words that are terms.
-TERMS = 4096
-
-#: A term is found in so many examples at least.
-MIN_EXAMPLES = 3
-
-#: Likelihood ratio that a term has at least: by chance a word reaches it once in 200 times.
-MIN_RATIO = 8.0
-
 #: Nearest examples that vote.
 NEAREST = 15
 
 #: Words in the shingles, and orders of them, by which copies among the examples are found.
 SHINGLE, COPY_KEYS = 5, 3
 
-#: Examples in a block of the index.
-BLOCK = 64
+#: Examples in a block of the index, and blocks that are looked at first.
+BLOCK, FIRST = 64, 8
 
 #: Rows whose id falls into remainder 0 of so many are held out from learning.
 FOLDS = 5
@@ -65,61 +57,95 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of the ranges, one range after another."""
+    begins = np.cumsum(sizes) - sizes
+    return np.repeat(starts - begins, sizes) + np.arange(int(sizes.sum()))
+
+
 @dataclass
 class Index:
-    """Examples in blocks, with the largest weight of every term in every block."""
+    """Postings by term and block: the largest weight of each, and the weights themselves.
+
+    Runs are the postings that a term has in one block. ``first_run`` holds each term's first one.
+    """
 
     ids: np.ndarray
     toxic: np.ndarray
-    bounds: np.ndarray
-    terms: list[np.ndarray]
-    weights: list[np.ndarray]
+    first_run: np.ndarray
+    block: np.ndarray
+    bound: np.ndarray
+    first: np.ndarray
+    place: np.ndarray
+    weight: np.ndarray
 
     @classmethod
     def of(cls, ids: np.ndarray, toxic: np.ndarray, vectors: list, n_terms: int) -> Index:
-        # Examples with the same heaviest terms share a block, which keeps its bound low.
-        lead = [
-            tuple(t[np.argsort(-w, kind="stable")][:2].tolist()) if len(t) else (n_terms,)
-            for t, w in vectors
-        ]
-        order = sorted(range(len(ids)), key=lambda i: (lead[i], int(ids[i])))
-        n_blocks = -(-len(order) // BLOCK)
-        bounds = np.zeros((n_terms, n_blocks), np.float64)
-        terms, weights = [], []
-        for b in range(n_blocks):
-            own = order[b * BLOCK : (b + 1) * BLOCK]
-            held = np.unique(np.concatenate([vectors[i][0] for i in own]))
-            table = np.zeros((len(own), len(held)))
-            for row, i in enumerate(own):
-                table[row, np.searchsorted(held, vectors[i][0])] = vectors[i][1]
-            if len(held):
-                bounds[held, b] = table.max(axis=0)
-            terms.append(held)
-            weights.append(table)
-        order = np.array(order, np.int64)
-        return cls(ids[order], toxic[order], bounds, terms, weights)
+        sizes = np.array([len(t) for t, _ in vectors], np.int64)
+        term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)]).astype(np.int64)
+        weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
+        # Examples with the same heaviest terms, of those that others have too, share a block,
+        # which keeps its bound low.
+        shared = np.bincount(term, minlength=n_terms) > 1
+        lead = []
+        for t, w in vectors:
+            own = np.flatnonzero(shared[t])
+            best = own[np.argsort(-w[own], kind="stable")[:2]]
+            lead.append(tuple(t[best].tolist()) or (n_terms,))
+        order = np.array(sorted(range(len(ids)), key=lambda i: (lead[i], int(ids[i]))), np.int64)
+        place_of = np.empty(len(ids), np.int64)
+        place_of[order] = np.arange(len(ids))
+        place = np.repeat(place_of, sizes)
+        by_term = np.lexsort((place, term))
+        term, place, weight = term[by_term], place[by_term], weight[by_term]
+        block = place // BLOCK
+        fresh = np.ones(len(term), bool)
+        fresh[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        first = np.flatnonzero(fresh)
+        return cls(
+            ids[order],
+            toxic[order],
+            np.searchsorted(term[first], np.arange(n_terms + 1)).astype(np.int32),
+            block[first].astype(np.int32),
+            np.maximum.reduceat(weight, first) if len(first) else np.zeros(0),
+            np.append(first, len(term)).astype(np.int32),
+            place.astype(np.int32),
+            weight,
+        )
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The places and cosines of the k examples nearest to a vector, cosines above 0 only.
 
-        Equal cosines are ordered by example id. Blocks come by falling bound; the first one
-        that cannot reach the k-th cosine ends the search.
+        Equal cosines are ordered by example id. The blocks of the highest bounds come first;
+        then all others whose bounds reach the k-th cosine found there.
         """
-        none = np.zeros(0, np.int64), np.zeros(0)
-        if not len(t):
-            return none
-        bound = w @ self.bounds[t]
+        sizes = self.first_run[t + 1] - self.first_run[t]
+        runs = _ranges(self.first_run[t], sizes)
+        if not len(runs):
+            return np.zeros(0, np.int64), np.zeros(0)
+        own, block = np.repeat(w, sizes), self.block[runs]
+        bound = np.bincount(block, own * self.bound[runs], minlength=-(-len(self.ids) // BLOCK))
+        first = np.zeros(len(bound), bool)
+        first[np.argsort(-bound, kind="stable")[:FIRST]] = True
         best, place = np.zeros(0), np.zeros(0, np.int64)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1] - 1e-12):
-                break
-            held = self.terms[b]
-            at = np.minimum(np.searchsorted(held, t), len(held) - 1)
-            hit = held[at] == t
-            cosine = self.weights[b][:, at[hit]] @ w[hit]
-            own = np.flatnonzero(cosine > 0)
-            best = np.concatenate((best, cosine[own]))
-            place = np.concatenate((place, own + b * BLOCK))
+        for wave in range(2):
+            least = best[-1] - 1e-11 if len(best) == k else 0.0
+            looked_at = first if wave == 0 else ~first & (bound > 0) & (bound >= least)
+            if not looked_at.any():
+                continue
+            some = looked_at[block]
+            starts = self.first[runs[some]]
+            n = self.first[runs[some] + 1] - starts
+            at = _ranges(starts, n)
+            cosine = np.bincount(
+                self.place[at], np.repeat(own[some], n) * self.weight[at], minlength=len(self.ids)
+            )
+            found = np.flatnonzero((cosine > 0) & (cosine >= least))
+            best = np.concatenate((best, cosine[found]))
+            place = np.concatenate((place, found))
+            if len(best) > k:  # those below the k-th by more than what rounding can change go first
+                high = best >= np.partition(best, -k)[-k] - 1e-11
+                best, place = best[high], place[high]
             top = np.lexsort((self.ids[place], -np.round(best, 12)))[:k]
             best, place = best[top], place[top]
         return place, best
@@ -128,7 +154,8 @@ class Index:
 @dataclass
 class Model:
     terms: dict[bytes, int]
-    idf: np.ndarray
+    #: What a term counts: its inverse document frequency times what it says about the label.
+    term_weight: np.ndarray
     index: Index | None
     #: Votes and the score that each of them, up to the next, stands for.
     votes: np.ndarray = field(default_factory=lambda: np.zeros(1))
@@ -141,7 +168,7 @@ class Model:
         get = self.terms.get
         count = Counter(x for x in map(get, words(text)) if x is not None)
         t = np.array(sorted(count), np.int64)
-        w = np.array([1 + math.log(count[x]) for x in t.tolist()]) * self.idf[t]
+        w = np.array([1 + math.log(count[x]) for x in t.tolist()]) * self.term_weight[t]
         return t, w / np.sqrt(w @ w) if len(t) else w
 
     def vote(self, place: np.ndarray, cosine: np.ndarray) -> float:
@@ -219,74 +246,76 @@ def _copy_key(seed: int):
     return of
 
 
-def _term_counts(docs: DataFrame, terms: dict[bytes, int] | None, keys: list[str]) -> DataFrame:
-    """Documents in which each word is found, by key: counted in every batch, then summed."""
+def _example_words(examples: DataFrame) -> DataFrame:
+    """(word, a, b): every word of the examples, in how many toxic and other ones it is found."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None if terms is None else terms.keys()
         for batch in batches:
-            counts: dict[tuple, Counter] = {}
+            counts: tuple[Counter, Counter] = Counter(), Counter()
             texts = batch.column("text").cast(pa.binary())
-            groups = zip(*[batch.column(k).to_pylist() for k in keys]) if keys else None
-            for i in range(len(texts)):
-                key = next(groups) if groups else ()
-                found = set(words(texts[i].as_py() or b""))
-                counts.setdefault(key, Counter()).update(found if known is None else found & known)
-            rows = [(*key, w, n) for key, c in counts.items() for w, n in c.items()]
-            columns = list(zip(*rows)) or [()] * (len(keys) + 2)
-            kinds = [*[pa.int32()] * len(keys), pa.binary(), pa.int64()]
+            for text, toxic in zip(texts, batch.column("toxic").to_pylist(), strict=True):
+                counts[toxic].update(set(words(text.as_py() or b"")))
+            held = list(counts[0].keys() | counts[1].keys())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)],
-                names=[*keys, "word", "n"],
+                [
+                    pa.array(held, pa.binary()),
+                    pa.array([counts[1][x] for x in held], pa.int64()),
+                    pa.array([counts[0][x] for x in held], pa.int64()),
+                ],
+                names=["word", "a", "b"],
             )
             give_back()
 
-    schema = ", ".join([*(f"{k} int" for k in keys), "word binary, n long"])
-    counted = docs.select(*keys, "text").mapInArrow(of, schema)
-    return counted.groupBy(*keys, "word").agg(F.sum("n").alias("n"))
+    counted = examples.select("toxic", "text").mapInArrow(of, "word binary, a long, b long")
+    return counted.groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
-def _choose_terms(examples: DataFrame, n_terms: int) -> list[bytes]:
-    """The words whose presence says most about the label (likelihood ratio), best first."""
-    sizes = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    by = (
-        _term_counts(examples, None, ["toxic"])
-        .groupBy("word")
-        .agg(
-            F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"),
-            F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"),
+def _frequencies(docs: DataFrame, terms: dict[bytes, int]) -> np.ndarray:
+    """In how many documents each term is found: counted in every task, then summed."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(terms), np.int64)
+        for batch in batches:
+            for text in batch.column("text").cast(pa.binary()):
+                found = set(map(terms.get, set(words(text.as_py() or b""))))
+                found.discard(None)
+                n[list(found)] += 1
+            give_back()
+        held = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(held, pa.int64()), pa.array(n[held], pa.int64())], names=["term", "n"]
         )
-        .where(F.col("a") + F.col("b") >= MIN_EXAMPLES)
-    )
 
-    def part(seen: Column, total: int, row: Column) -> Column:
-        expected = row * total / (n1 + n0)
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    counted = docs.select("text").mapInArrow(of, "term long, n long")
+    summed = counted.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(terms))
+    out[summed["term"].to_numpy()] = summed["n"].to_numpy()
+    return out
 
-    held, lacking = F.col("a") + F.col("b"), F.lit(n1 + n0) - F.col("a") - F.col("b")
-    ratio = (
-        part(F.col("a"), n1, held)
-        + part(F.col("b"), n0, held)
-        + part(F.lit(n1) - F.col("a"), n1, lacking)
-        + part(F.lit(n0) - F.col("b"), n0, lacking)
-    )
-    top = by.select("word", F.round(ratio, 9).alias("ratio")).orderBy(F.desc("ratio"), "word")
-    top = top.where(F.col("ratio") >= MIN_RATIO)
-    return [bytes(r["word"]) for r in top.limit(n_terms).collect()]
+
+def g_statistic(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Twice the log-likelihood ratio of words found in a of n1 toxic and b of n0 other examples."""
+    n = n1 + n0
+
+    def part(seen: np.ndarray, total: int, row: np.ndarray) -> np.ndarray:
+        expected = np.maximum(row * total / n, 1e-300)
+        return seen * np.log(np.where(seen > 0, seen / expected, 1.0))
+
+    held = a + b
+    ratio = part(a, n1, held) + part(b, n0, held) + part(n1 - a, n1, n - held) + part(n0 - b, n0, n - held)
+    return np.maximum(2 * ratio, 0.0)
 
 
 def fit(
     docs: DataFrame,
     labelled: DataFrame,
     per_label: int = EXAMPLES,
-    n_terms: int = TERMS,
     nearest: int = NEAREST,
 ) -> Model:
     """Learn from the labelled rows given, texts being looked up in ``docs`` by doc_id.
 
-    The driver receives at most ``n_terms`` words with their counts and at most
-    ``2 * per_label`` examples as vectors of these terms. Without labelled rows of both kinds
+    The driver receives at most ``2 * per_label`` examples as vectors, and their words with
+    their counts. Without labelled rows of both kinds
     every score is the share of toxic ones among those there are, 0 if there are none.
     """
     bound_batches(docs.sparkSession)
@@ -298,16 +327,18 @@ def fit(
         .agg(F.count("*").alias("n"))
         .collect()
     }
-    terms = _choose_terms(examples, n_terms)
-    model = Model({w: i for i, w in enumerate(terms)}, np.ones(len(terms)), None)
+    held = _example_words(examples).orderBy("word").toArrow()
+    terms = {w: i for i, w in enumerate(held["word"].to_pylist())}
+    model = Model(terms, np.ones(len(terms)), None)
     total = share.get(0, 0) + share.get(1, 0)
     model.unknown = share.get(1, 0) / total if total else 0.0
     if not terms:
         return model
-    frequency = np.zeros(len(terms))
-    for r in _term_counts(docs, model.terms, []).collect():
-        frequency[model.terms[bytes(r["word"])]] = r["n"]
-    model.idf = np.log((docs.count() + 1) / (frequency + 1)) + 1
+    sizes = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    a, b = held["a"].to_numpy().astype(float), held["b"].to_numpy().astype(float)
+    said = g_statistic(a, b, sizes.get(1, 0), sizes.get(0, 0))
+    idf = np.log((docs.count() + 1) / (_frequencies(docs, terms) + 1)) + 1
+    model.term_weight = idf * np.sqrt(1 + said)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,35 +348,36 @@ def fit(
                 [
                     batch.column("doc_id"),
                     batch.column("toxic"),
-                    pa.array([t.tolist() for t, _ in made], pa.list_(pa.int32())),
-                    pa.array([w.tolist() for _, w in made], pa.list_(pa.float64())),
+                    pa.array([t.astype(np.int32) for t, _ in made], pa.list_(pa.int32())),
+                    pa.array([w for _, w in made], pa.list_(pa.float64())),
                 ],
                 names=["doc_id", "toxic", "t", "w"],
             )
 
     plain = examples.select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic", "text")
     vectors = plain.mapInArrow(of, "doc_id long, toxic int, t array<int>, w array<double>")
-    rows = sorted(vectors.collect(), key=lambda r: r["doc_id"])
-    made = [(np.array(r["t"], np.int64), np.array(r["w"])) for r in rows]
-    toxic = np.array([r["toxic"] for r in rows], np.float64)
-    model.index = Index.of(
-        np.array([r["doc_id"] for r in rows], np.int64), toxic, made, len(terms)
-    )
+    rows = vectors.toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    made = [
+        (t.values.to_numpy().astype(np.int64), w.values.to_numpy())
+        for t, w in zip(rows["t"], rows["w"], strict=True)
+    ]
+    ids, toxic = rows["doc_id"].to_numpy(), rows["toxic"].to_numpy().astype(np.float64)
+    model.index = Index.of(ids, toxic, made, len(terms))
     # What a vote means: the examples' own, each without itself, weighted back to all rows.
     place_of = {int(i): n for n, i in enumerate(model.index.ids)}
     votes, truth, weight, lone = [], [], [], []
     n_of = {y: max(1, int((toxic == y).sum())) for y in (0, 1)}
-    for r, (t, w) in zip(rows, made, strict=True):
+    for doc_id, label, (t, w) in zip(ids.tolist(), rows["toxic"].to_pylist(), made, strict=True):
         place, cosine = model.index.nearest(t, w, nearest + 1)
-        other = place != place_of[r["doc_id"]]
+        other = place != place_of[doc_id]
         place, cosine = place[other][:nearest], cosine[other][:nearest]
-        stands_for = share.get(r["toxic"], 0) / n_of[r["toxic"]]
+        stands_for = share.get(label, 0) / n_of[label]
         if len(place):
             votes.append(model.vote(place, cosine))
-            truth.append(r["toxic"])
+            truth.append(label)
             weight.append(stands_for)
         else:
-            lone.append((r["toxic"], stands_for))
+            lone.append((label, stands_for))
     if votes:
         model.votes, model.scores = isotonic(
             np.array(votes), np.array(truth, float), np.array(weight)
@@ -368,7 +400,7 @@ def score(docs: DataFrame, model: Model, nearest: int = NEAREST) -> DataFrame:
     """One row per row of ``docs``: doc_id, score, evidence (examples and cosines, best first).
 
     The score depends on the text alone. A null text is an empty one; it and any text without
-    a known term have the score that examples without neighbours have on average, and no
+    a word of any example have the score that examples without neighbours have on average, and no
     evidence. An empty table gives an empty one. Other columns are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

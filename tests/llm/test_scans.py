@@ -193,3 +193,25 @@ def test_toxicity_with_awkward_rows(spark):
     unlabelled = toxicity.fit(docs, labelled.limit(0))
     assert {r.score for r in toxicity.score(docs, unlabelled).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_words_that_few_examples_hold_find_neighbours(spark):
+    rng = np.random.default_rng(6)
+    prose = lambda: " ".join(f"w{x}" for x in rng.integers(0, 400, 12))
+    insults = [*((100 + i, f"{prose()} you idiot {prose()}") for i in range(30)), (150, "zork blip"), (151, "zork blap")]
+    fine = [(200 + i, f"{prose()} lovely day {prose()}") for i in range(60)]
+    docs = samples.docs(spark, [*insults, *fine, (300, "ZORK, again")])
+    labels = [(i, 1) for i, _ in insults] + [(i, 0) for i, _ in fine]
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert set(model.terms) == {w for _, t in insults + fine for w in toxicity.words(t.encode())}
+    row = toxicity.score(docs, model).where("doc_id = 300").first()
+    assert {x.example_id for x in row.evidence} == {150, 151} and row.score >= 0.5
+
+
+def test_g_statistic():
+    a, b, n1, n0 = 3, 1, 10, 30
+    seen = np.array([[a, b], [n1 - a, n0 - b]], float)
+    expected = seen.sum(1, keepdims=True) * seen.sum(0, keepdims=True) / seen.sum()
+    got = toxicity.g_statistic(np.array([a, 1, 0]), np.array([b, 3, 30]), n1, n0)
+    assert np.isclose(got[0], 2 * (seen * np.log(seen / expected)).sum()) and np.isclose(got[1], 0)
+    assert np.isclose(got[2], toxicity.g_statistic(np.array([10]), np.array([0]), n1, n0)[0])
