@@ -21,20 +21,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from likewise.llm.shingling import blocks, mix
 from likewise.llm.text import bound_batches
 from likewise.llm.workers import give_back
 from likewise.sources.staging import stage
 
 #: Labelled rows of either label that serve as examples; this bounds the fit and the index.
-EXAMPLES = 1500
+EXAMPLES = 3000
 
 #: Nearest examples that vote.
 NEAREST = 15
 
-#: Words in the shingles, and orders of them, by which copies among the examples are found.
-SHINGLE, COPY_KEYS = 5, 3
-
 #: Examples in a block of the index, and blocks that are looked at first.
 BLOCK, FIRST = 64, 8
 
@@ -210,40 +206,9 @@ def _examples(docs: DataFrame, labelled: DataFrame, per_label: int) -> DataFrame
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(
         F.broadcast(chosen), "doc_id"  # at most 2 * per_label rows
     )
-    one = stage(texts.where("text IS NOT NULL"), "toxicity-texts")
-    # Copies and near copies say the same thing once, by the label that most of them have: of
-    # the texts that share their smallest shingle under any of a few orders, one remains.
-    for seed in range(COPY_KEYS):
-        keyed = one.mapInArrow(_copy_key(seed), "doc_id long, toxic int, text string, key long")
-        one = keyed.groupBy("key").agg(
-            F.min("doc_id").alias("doc_id"),
-            F.round(F.avg("toxic")).cast("int").alias("toxic"),
-            F.min_by("text", "doc_id").alias("text"),
-        )
-    return stage(one.drop("key"), "toxicity-examples")
-
-
-def _copy_key(seed: int):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = []
-            for _, _, shingles, at in blocks(batch.column("text"), SHINGLE):
-                hashed = mix(shingles ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-                keys += [
-                    int(hashed[a:b].min().view(np.int64)) if b > a else -1
-                    for a, b in zip(at[:-1], at[1:], strict=True)
-                ]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").cast(pa.int64()),
-                    batch.column("toxic"),
-                    batch.column("text"),
-                    pa.array(keys, pa.int64()),
-                ],
-                names=["doc_id", "toxic", "text", "key"],
-            )
-
-    return of
+    # Equal texts with the same label say the same thing once; any others speak for themselves.
+    one = texts.where("text IS NOT NULL").groupBy("text", "toxic").agg(F.min("doc_id").alias("doc_id"))
+    return stage(one, "toxicity-examples")
 
 
 def _example_words(examples: DataFrame) -> DataFrame:
@@ -364,12 +329,11 @@ def fit(
     ids, toxic = rows["doc_id"].to_numpy(), rows["toxic"].to_numpy().astype(np.float64)
     model.index = Index.of(ids, toxic, made, len(terms))
     # What a vote means: the examples' own, each without itself, weighted back to all rows.
-    place_of = {int(i): n for n, i in enumerate(model.index.ids)}
     votes, truth, weight, lone = [], [], [], []
     n_of = {y: max(1, int((toxic == y).sum())) for y in (0, 1)}
     for doc_id, label, (t, w) in zip(ids.tolist(), rows["toxic"].to_pylist(), made, strict=True):
         place, cosine = model.index.nearest(t, w, nearest + 1)
-        other = place != place_of[doc_id]
+        other = model.index.ids[place] != doc_id
         place, cosine = place[other][:nearest], cosine[other][:nearest]
         stands_for = share.get(label, 0) / n_of[label]
         if len(place):

@@ -215,3 +215,13 @@ def test_g_statistic():
     got = toxicity.g_statistic(np.array([a, 1, 0]), np.array([b, 3, 30]), n1, n0)
     assert np.isclose(got[0], 2 * (seen * np.log(seen / expected)).sum()) and np.isclose(got[1], 0)
     assert np.isclose(got[2], toxicity.g_statistic(np.array([10]), np.array([0]), n1, n0)[0])
+
+
+def test_examples_keep_their_own_labels(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, passage), (2, passage + " you idiot"), (3, passage + " lovely"), (4, passage), (5, passage), (6, None)]
+    labels = [(1, 0), (2, 1), (3, 0), (4, 0), (5, 1), (6, 0)]
+    labelled = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity._examples(samples.docs(spark, rows), labelled, 100).collect()
+    texts = dict(rows)
+    assert sorted((r.doc_id, r.toxic, r.text) for r in got) == [(i, y, texts[i]) for i, y in ((1, 0), (2, 1), (3, 0), (5, 1))]
