@@ -7,8 +7,9 @@ half distances, until so many cells are visited as the target recall asks for: t
 measured on a sample of queries whose true neighbours are known. Whatever lies in the cells is
 then compared in full, in double precision.
 
-Equal vectors form a class, and only classes are compared. Rows of a cell are dealt into blocks
-of bounded size, so a crowded cell is many tasks.
+Equal vectors form a class, and only classes are compared. Members and queries of a column of
+cells are dealt into blocks of bounded size, so a crowded cell is many tasks; each of them tells how
+many links every vector has there and, of the links, as many as hold their components together.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ LINK = 0.93
 SAMPLE = 16_384
 PROBES = 1_024
 
+#: Probes with neighbours that it takes; more are drawn from the sample until there are so many.
+ENOUGH = 64
+
 #: Recall asked for, measured on the probes, before pairs found from either side are joined.
 RECALL = 0.995
 
@@ -40,7 +44,7 @@ RECALL = 0.995
 PER_CELL = 8
 CODES = (4, 256)
 
-#: Rows of one column of cells that are compared in one task.
+#: Rows of one column of cells that are compared with as many queries in one task.
 BLOCK = 4_096
 
 
@@ -139,12 +143,8 @@ def _grid(rows: DataFrame, n_rows: int) -> tuple[Grid, pd.DataFrame]:
     return Grid(unit(np.array(sample["embedding"].tolist(), float)), k), sample
 
 
-def _depth(rows: DataFrame, grid: Grid, sample: pd.DataFrame, link: float, recall: float) -> int:
-    """Cells to visit so that the share ``recall`` of a probe's neighbours is met on average.
-
-    Every probe that has neighbours counts the same, however many it has.
-    """
-    probes = sample.head(PROBES)
+def _met(rows: DataFrame, grid: Grid, probes: pd.DataFrame, link: float) -> pd.DataFrame:
+    """(probe, rank, n): how many neighbours a probe meets in the cell that it visits as rank-th."""
     points = unit(np.array(probes["embedding"].tolist(), float))
     labels, nodes = probes["label"].to_numpy(), probes["node"].to_numpy()
 
@@ -152,67 +152,101 @@ def _depth(rows: DataFrame, grid: Grid, sample: pd.DataFrame, link: float, recal
         for batch in batches:
             found = unit(_matrix(batch.column("embedding")))
             label, node = batch.column("label").to_numpy(), batch.column("node").to_numpy()
-            hit = (points @ found.T >= link) & (labels[:, None] == label) & (nodes[:, None] != node)
-            probe, row = np.nonzero(hit)
             left, right = grid.cell(found)
             cells = len(grid.left) * len(grid.right)
             out: dict[tuple[int, int], int] = {}
-            for p in np.unique(probe):
-                a, b = grid.half_distances(points[p : p + 1])
-                place = {c: n for n, c in enumerate(nearest_cells(a[0], b[0], cells))}
-                own = row[probe == p]
-                for cell in zip(left[own].tolist(), right[own].tolist(), strict=True):
-                    key = (int(p), place[cell])
-                    out[key] = out.get(key, 0) + 1
+            for at in range(0, len(points), PROBES):
+                own = slice(at, at + PROBES)
+                hit = (points[own] @ found.T >= link) & (labels[own, None] == label)
+                hit &= nodes[own, None] != node
+                probe, row = np.nonzero(hit)
+                for p in np.unique(probe):
+                    a, b = grid.half_distances(points[at + p : at + p + 1])
+                    place = {c: n for n, c in enumerate(nearest_cells(a[0], b[0], cells))}
+                    met = row[probe == p]
+                    for cell in zip(left[met].tolist(), right[met].tolist(), strict=True):
+                        key = (int(nodes[at + p]), place[cell])
+                        out[key] = out.get(key, 0) + 1
             columns = list(zip(*((p, r, n) for (p, r), n in out.items()))) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in columns], names=["probe", "rank", "n"]
             )
 
     met = rows.select("node", "label", "embedding").mapInArrow(of, "probe long, rank long, n long")
-    met = met.groupBy("probe", "rank").agg(F.sum("n").alias("n"))
-    all_met = met.groupBy("probe").agg(F.sum("n").alias("total"))
-    shares = (
-        met.join(all_met, "probe")
-        .groupBy("rank")
-        .agg(F.sum(F.col("n") / F.col("total")).alias("share"))
-        .collect()  # one row for each rank that occurs, at most as many as there are cells
-    )
-    total, seen = sum(r["share"] for r in shares), 0.0
-    for r in sorted(shares, key=lambda r: r["rank"]):
-        seen += r["share"]
-        if seen >= recall * total - 1e-9:
-            return r["rank"] + 1
-    return min(64, len(grid.left) * len(grid.right))  # the probes have no neighbours
+    return met.groupBy("probe", "rank").agg(F.sum("n").alias("n")).toPandas()
+
+
+def _planted(grid: Grid, probes: pd.DataFrame, link: float) -> pd.DataFrame:
+    """The same for one neighbour of each probe that is made up: at ``link``, in any direction."""
+    points = unit(np.array(probes["embedding"].tolist(), float))
+    aside = np.random.default_rng(3).normal(size=points.shape)
+    aside -= (aside * points).sum(axis=1, keepdims=True) * points
+    size = np.sqrt((aside * aside).sum(axis=1, keepdims=True))
+    aside = np.divide(aside, size, out=np.zeros_like(aside), where=size > 1e-9)
+    left, right = grid.cell(unit(link * points + np.sqrt(max(0.0, 1 - link * link)) * aside))
+    a, b = grid.half_distances(points)
+    rows = np.arange(len(points))
+    reach = a[rows, left] + b[rows, right]
+    rank = [int((x[:, None] + y[None] < d).sum()) for x, y, d in zip(a, b, reach, strict=True)]
+    return pd.DataFrame({"probe": probes["node"].to_numpy(), "rank": rank, "n": 1})
+
+
+def _reach(met: pd.DataFrame, recall: float) -> int:
+    """Cells until the share ``recall`` of a probe's neighbours is met on average."""
+    share = met["n"] / met.groupby("probe")["n"].transform("sum")
+    by = share.groupby(met["rank"]).sum().sort_index().cumsum()
+    return int(by.index[(by >= recall * by.iloc[-1] - 1e-9).argmax()]) + 1
+
+
+def _depth(rows: DataFrame, grid: Grid, sample: pd.DataFrame, link: float, recall: float) -> int:
+    """Cells to visit so that the share ``recall`` of a probe's neighbours is met on average.
+
+    Every probe that has neighbours counts the same, however many it has. Probes are drawn until
+    enough have some; where the whole sample has too few, made-up neighbours at ``link``, the
+    farthest there can be, are to be met as well.
+    """
+    parts, at, n = [], 0, PROBES
+    while at < len(sample):
+        parts.append(_met(rows, grid, sample.iloc[at : at + n], link))
+        at, n = at + n, 4 * n
+        if sum(x["probe"].nunique() for x in parts) >= ENOUGH:
+            return _reach(pd.concat(parts), recall)
+    met = pd.concat(parts)
+    planted = _reach(_planted(grid, sample.head(PROBES), link), recall)
+    return max(planted, _reach(met, recall)) if len(met) else planted
 
 
 def _entries(rows: DataFrame, grid: Grid, depth: int) -> DataFrame:
     """Every vector as a member of its cell, and as a query of the columns of cells it visits.
 
-    (label, col, block, node, own, cells, embedding): a column holds the cells of one left code.
+    (label, col, node, n, is_member, home, cells, embedding): a column holds the cells of one left
+    code, ``home`` is the vector's own cell, ``cells`` are all that it visits for a member and those
+    of the column for a query.
     """
+    width = len(grid.right)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = unit(_matrix(batch.column("embedding")))
             left, right = grid.half_distances(points)
             label, node = batch.column("label").to_pylist(), batch.column("node").to_pylist()
-            out: dict[str, list] = {k: [] for k in ("label", "col", "node", "own", "cells", "row")}
+            size = batch.column("n").to_pylist()
+            names = ("label", "col", "node", "n", "is_member", "home", "cells", "row")
+            out: dict[str, list] = {k: [] for k in names}
             for i in range(len(points)):
                 cells = nearest_cells(left[i], right[i], depth)
                 visits: dict[int, list[int]] = {}
                 for a, b in cells:
-                    visits.setdefault(a, []).append(b)
-                for a, bs in [(cells[0][0], None), *visits.items()]:
-                    out["label"].append(label[i])
-                    out["col"].append(a)
-                    out["node"].append(node[i])
-                    out["own"].append(cells[0][1] if bs is None else -1)
-                    out["cells"].append(bs)
-                    out["row"].append(i)
+                    visits.setdefault(a, []).append(a * width + b)
+                home = cells[0][0] * width + cells[0][1]
+                every = [x for xs in visits.values() for x in xs]
+                for a, own in [(cells[0][0], None), *visits.items()]:
+                    row = (label[i], a, node[i], size[i], own is None, home, every if own is None else own, i)
+                    for k, v in zip(names, row, strict=True):
+                        out[k].append(v)
             vectors = points[out.pop("row")]
             ends = np.arange(len(vectors) + 1, dtype=np.int32) * points.shape[1]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32())]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays(
                 [
                     *[pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)],
@@ -221,32 +255,58 @@ def _entries(rows: DataFrame, grid: Grid, depth: int) -> DataFrame:
                 names=[*out, "embedding"],
             )
 
-    return rows.select("label", "node", "embedding").mapInArrow(
-        of, "label int, col int, node long, own int, cells array<int>, embedding array<double>"
+    return rows.select("label", "node", "n", "embedding").mapInArrow(
+        of,
+        "label int, col int, node long, n long, is_member boolean, home int, cells array<int>, "
+        "embedding array<double>",
     )
 
 
+def _visited(cells: pd.Series, homes: np.ndarray) -> np.ndarray:
+    """Whether each row's cells hold each of the homes."""
+    known, which = np.unique(homes, return_inverse=True)
+    out = np.zeros((len(cells), len(known)), bool)
+    for i, own in enumerate(cells):
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        out[i, at[known[at] == own]] = True
+    return out[:, which]
+
+
 def _compare(link: float):
+    """Links between queries and members of one pair of blocks, as edges (a, b, 0) that join what
+    links join, and how many rows each vector links with, as (a, a, n).
+
+    A link that is found from both sides counts where the query is the smaller node.
+    """
+
     def of(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        if members.empty or queries.empty:
-            return none
-        held = np.array(members["embedding"].tolist())
-        own, node = members["own"].to_numpy(), members["node"].to_numpy()
-        pairs = []
-        for first in range(0, len(queries), 512):
-            part = queries.iloc[first : first + 512]
-            close = np.array(part["embedding"].tolist()) @ held.T >= link
-            visits = np.zeros((len(part), own.max() + 1), bool)
-            for i, cells in enumerate(part["cells"]):
-                cells = np.asarray(cells)
-                visits[i, cells[cells <= own.max()]] = True
-            close &= visits[:, own]
-            q, m = np.nonzero(close)
-            pairs.append(np.stack([part["node"].to_numpy()[q], node[m]]))
-        a, b = np.concatenate(pairs, axis=1)
-        a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
-        return pd.DataFrame({"a": a, "b": b})
+        out = [np.zeros((0, 3), np.int64)]
+        if not members.empty and not queries.empty:
+            held = np.array(members["embedding"].tolist())
+            home, node = members["home"].to_numpy(), members["node"].to_numpy()
+            rows_of, of_member = members["n"].to_numpy(), np.zeros(len(members), np.int64)
+            joined = np.arange(len(members))
+            for first in range(0, len(queries), 512):
+                part = queries.iloc[first : first + 512]
+                own = part["node"].to_numpy()
+                close = np.array(part["embedding"].tolist()) @ held.T >= link
+                close &= _visited(part["cells"], home) & (own[:, None] != node)
+                back = _visited(members["cells"], part["home"].to_numpy()).T
+                close &= ~(back & (own[:, None] > node))
+                n, size = close @ rows_of, part["n"].to_numpy()
+                of_member += size @ close
+                some = np.flatnonzero(n)
+                out.append(np.stack([own[some], own[some], n[some]], axis=1))
+                for i in some:
+                    met = np.flatnonzero(close[i])
+                    names, at = np.unique(joined[met], return_index=True)
+                    ends = node[met[at]]
+                    out.append(np.stack([np.full(len(ends), own[i]), ends, np.zeros_like(ends)], axis=1))
+                    if len(names) > 1:
+                        joined[np.isin(joined, names)] = names[0]
+            some = np.flatnonzero(of_member)
+            out.append(np.stack([node[some], node[some], of_member[some]], axis=1))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b", "n"])
 
     return of
 
@@ -254,37 +314,42 @@ def _compare(link: float):
 def links(
     rows: DataFrame, link: float = LINK, recall: float = RECALL
 ) -> DataFrame:
-    """(a, b), a < b: the classes found to link. ``rows`` are classes with vectors of one size."""
+    """(a, b, n): edges a != b that join all classes found to link, with n = 0, and rows a = b
+    whose n add up to the rows that class a links with. ``rows`` are classes with vectors of one size.
+    """
     spark, n_rows = rows.sparkSession, rows.count()
     if not n_rows:
-        return spark.createDataFrame([], "a long, b long")
+        return spark.createDataFrame([], "a long, b long, n long")
     grid, sample = _grid(rows, n_rows)
     depth = _depth(rows, grid, sample, link, recall)
     entries = stage(_entries(rows, grid, depth), "vector-entries")
-    # Under names of its own, so that Spark can tell the two sides apart.
-    members = entries.where("own >= 0").select(
-        *[F.col(c).alias(c) for c in ("label", "col", "node", "own", "embedding")]
-    )
-    crowd = members.groupBy("label", "col").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("n_blocks")
+    blocks = lambda x: F.ceil(F.count(F.when(x, 1)) / F.lit(BLOCK)).cast("int")
+    crowd = entries.groupBy("label", "col").agg(
+        blocks(F.col("is_member")).alias("n_members"), blocks(~F.col("is_member")).alias("n_queries")
     )
-    dealt = members.join(crowd, ["label", "col"]).withColumn(
-        "block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")
+    dealt = entries.join(crowd.where("n_members > 0 AND n_queries > 0"), ["label", "col"])
+    # Every block of members meets every block of queries.
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    key, columns = ["label", "col", "block", "query_block"], ["node", "n", "home", "cells", "embedding"]
+    # Under names of its own, so that Spark can tell the two sides apart.
+    members = (
+        dealt.where("is_member")
+        .withColumn("block", own("n_members"))
+        .withColumn("query_block", every("n_queries"))
+        .select(*[F.col(c).alias(c) for c in key + columns])
     )
     queries = (
-        entries.where("own < 0")
-        .drop("own")
-        .join(crowd, ["label", "col"])
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+        dealt.where("NOT is_member")
+        .withColumn("query_block", own("n_queries"))
+        .withColumn("block", every("n_members"))
+        .select(*key, *columns)
     )
-    key = ["label", "col", "block"]
-    found = (
-        dealt.select(*key, "node", "own", "embedding")
-        .groupBy(*key)
-        .cogroup(queries.select(*key, "node", "cells", "embedding").groupBy(*key))
-        .applyInPandas(_compare(link), "a long, b long")
+    return (
+        members.groupBy(*key)
+        .cogroup(queries.groupBy(*key))
+        .applyInPandas(_compare(link), "a long, b long, n long")
     )
-    return found.distinct()
 
 
 def near_vectors(vectors: DataFrame, link: float = LINK, recall: float = RECALL) -> DataFrame:
@@ -299,19 +364,14 @@ def near_vectors(vectors: DataFrame, link: float = LINK, recall: float = RECALL)
     """
     rows = stage(classes(vectors), "vector-classes")
     sizes = [r["size"] for r in rows.select("size").distinct().collect()]
-    pairs = vectors.sparkSession.createDataFrame([], "a long, b long")
+    pairs = vectors.sparkSession.createDataFrame([], "a long, b long, n long")
     for size in sorted(sizes):
         pairs = pairs.unionByName(links(rows.where(F.col("size") == size), link, recall))
     pairs = stage(pairs, "vector-links")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    count = (
-        both.join(rows.select(F.col("node").alias("b"), "n"), "b")
-        .groupBy(F.col("a").alias("node"))
-        .agg(F.sum("n").alias("n_other"))
-    )
+    count = pairs.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_other"))
     named = (
         rows.join(count, "node", "left")
-        .join(components(pairs), "node", "left")
+        .join(components(pairs.select("a", "b")), "node", "left")
         .select(
             F.col("label").alias("_label"),
             F.col("embedding").alias("_embedding"),

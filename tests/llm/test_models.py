@@ -129,6 +129,33 @@ def test_vectors_with_awkward_rows(spark):
     assert vectors.near_vectors(docs.limit(0)).count() == 0
 
 
+def test_a_crowd_of_near_copies_is_dealt_into_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 32)
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=16)
+    rows = [(i, (base + rng.normal(size=16) * 0.05).tolist(), 0) for i in range(300)]
+    rows += [(300 + i, rng.normal(size=16).tolist(), 0) for i in range(300)]
+    given = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = vectors_by_loop(rows)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(given).collect()}
+    assert np.mean([got[i] == want[i] for i in want]) > 0.95 and all(got[i][0] <= want[i][0] for i in want)
+    found = vectors.links(vectors.classes(given)).where("a != b")
+    assert found.count() < 10_000 < sum(n for n, _ in want.values()) // 2
+
+
+def test_depth_is_measured_where_no_probe_has_a_neighbour(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=32).tolist(), 0) for i in range(4000)]
+    base = np.array(rows[0][1])
+    rows += [(9000, (base + rng.normal(size=32) * 0.2).tolist(), 0)]
+    given = vectors.classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).cache()
+    grid, sample = vectors._grid(given, 100_000)
+    alone = sample[~sample["node"].isin([0, 9000])]
+    depth = vectors._depth(given.where("node NOT IN (0, 9000)"), grid, alone, 0.93, 0.995)
+    planted = vectors._planted(grid, alone, 0.93)
+    assert depth != 64 and (planted["rank"] < depth).mean() >= 0.98
+
+
 def test_cells_come_nearest_first():
     rng = np.random.default_rng(2)
     left, right = rng.random(7), rng.random(5)
