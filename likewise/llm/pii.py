@@ -1,13 +1,15 @@
 """Personal data: exact base spans, and spans that boosted trees select among candidates.
 
 Generators of high recall propose spans that may overlap. Gradient-boosted trees score them by
-their format and their context; what they learn from is a bounded sample of the candidates,
-those that the strict rules confirm against those they don't. On another part of the sample a
-threshold is set for every kind so that what passes is as precise as asked for.
+their format and their context; what they learn from is a bounded sample of the distinct
+candidates of every kind, those that the strict rules confirm against those they don't. Over all
+candidates a threshold is set for every kind so that what passes is as precise as asked for.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -41,9 +43,8 @@ WIDE = {
 #: Characters before and after a candidate that count as its context.
 CONTEXT = 24
 
-#: Candidates that are learnt from, and the share of them that sets the thresholds.
+#: Candidates that are learnt from.
 SAMPLE = 20_000
-CALIBRATION = 0.3
 
 #: Precision that a kind's threshold must reach.
 PRECISION = 0.95
@@ -214,26 +215,32 @@ def features(rows: DataFrame) -> DataFrame:
 def learn(candidates: DataFrame, sample: int = SAMPLE) -> tuple[GBTClassificationModel, list[float]] | None:
     """The trees, and for every kind the probability from which a candidate is taken.
 
-    None where the sample has no candidate of one of the two classes to learn from.
+    Copies of a candidate are learnt from once, an equal share of the sample for each kind and
+    label; the thresholds count all candidates. None where there are no candidates of one of the
+    two classes to learn from.
     """
-    order = F.xxhash64("match", "before", "after")
-    chosen = stage(
-        features(candidates)
-        .withColumn("order", order)
-        .orderBy("order", "start", "kind")
-        .limit(sample),
-        "pii-sample",
+    form = ["kind", "match", "before", "after"]
+    distinct = stage(
+        candidates.groupBy(*form, "label").agg(F.count(F.lit(1)).alias("copies")), "pii-distinct"
     )
-    parts = F.pmod(F.xxhash64("order"), F.lit(1000)) < int(CALIBRATION * 1000)
-    if chosen.where(~parts).select("label").distinct().count() < 2:
+    order = F.xxhash64("match", "before", "after")
+    strata = [
+        distinct.where((F.col("kind") == kind) & (F.col("label") == label))
+        .orderBy(order, "match", "before", "after")
+        .limit(max(1, sample // (2 * len(KINDS))))
+        for kind in range(len(KINDS))
+        for label in (0.0, 1.0)
+    ]
+    chosen = stage(features(reduce(DataFrame.unionByName, strata)), "pii-sample")
+    if chosen.select("label").distinct().count() < 2:
         return None
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=17, cacheNodeIds=False)
-    model = trees.fit(_assembled(chosen.where(~parts)))
-    scored = model.transform(_assembled(chosen.where(parts)))
+    model = trees.fit(_assembled(chosen))
+    scored = model.transform(_assembled(features(distinct)))
     rows = (
-        scored.select("kind", "label", F.floor(_probability() * 100).cast("int").alias("p"))
+        scored.select("kind", "label", "copies", F.floor(_probability() * 100).cast("int").alias("p"))
         .groupBy("kind", "p")
-        .agg(F.sum("label").alias("right"), F.count(F.lit(1)).alias("n"))
+        .agg(F.sum(F.col("label") * F.col("copies")).alias("right"), F.sum("copies").alias("n"))
         .collect()  # at most 101 steps of each kind
     )
     least = [1.01] * len(KINDS)

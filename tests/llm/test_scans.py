@@ -127,6 +127,18 @@ def test_trees_add_secrets_and_keep_the_base(spark):
         assert [(x.start, x.kind, x.end) for x in r.base] == pii_by_loop(texts[r.doc_id])
 
 
+def test_trees_learn_although_one_candidate_has_most_copies(spark):
+    secret = pii.KINDS.index("secret")
+    forms = [(f"{i:032x}", 1.0) for i in range(60)] + [(f"value-{i}_zzzz", 0.0) for i in range(60)]
+    rows = [(secret, m, "token = ", " end", label) for m, label in forms]
+    candidates = spark.createDataFrame(rows, "kind int, match string, before string, after string, label double")
+    candidates = candidates.withColumns({"start": F.lit(0), "doc_id": F.lit(1)})
+    first = candidates.orderBy(F.xxhash64("match", "before", "after")).limit(1)
+    crowd = first.withColumn("doc_id", F.explode(F.sequence(F.lit(1), F.lit(500))))
+    model, least = pii.learn(candidates.unionByName(crowd), sample=100)
+    assert least[secret] <= 1.0
+
+
 def test_redaction(spark):
     text = "call +1 (555) 123-4567 or a@b.example now"
     row = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string"))
