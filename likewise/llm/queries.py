@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from likewise.llm import bpe, conversations, exact, licenses, lines, minhash, mixing, pii, rollup, toxicity, vectors
+from likewise.llm import bpe, conversations, exact, licenses, lines, minhash, mixing, periods, pii, rollup, toxicity, vectors
 from likewise.sources.staging import stage, staged_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,6 +137,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.totals()
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periods.planted(table(spark, sf_dir, "documents"))
+    return periods.run_report(periods.periodic_runs(docs))
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     return conversations.repair_report(turns, conversations.damaged(turns))
@@ -153,6 +158,7 @@ QUERIES: dict[str, Query] = {
     "op8_pii_boosting": op8,
     "op9_line_dedup": op9,
     "op10_token_rollup": op10,
+    "op11_periodic_runs": op11,
     "op13_conversation_repair": op13,
 }
 

@@ -153,7 +153,7 @@ def test_awkward_rows(spark):
 
 def test_one_conversation_in_most_of_the_rows(spark):
     rng = random.Random(7)
-    rows = [(1, n, rng.choice(["user", "assistant"]), rng.choice(["Yes.", f"{n}.", "no"])) for n in range(700)]
+    rows = [(1, n, rng.choice(["user", "assistant"]), rng.choice(["Yes.", f"{n}.", "no"])) for n in range(220)]
     rows += [(c, n, "user", "Hello.") for c in range(2, 40) for n in range(3)]
     assert asked(spark, rows) == report(rows)
 
