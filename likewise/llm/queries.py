@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from likewise.llm import bpe, conversations, exact, licenses, lines, minhash, mixing, periods, pii, rollup, toxicity, vectors
+from likewise.llm import bpe, conversations, exact, licenses, lines, minhash, mixing, periods, pii, rollup, suffixes, toxicity, vectors
+from likewise.llm.sieve import sieve
 from likewise.sources.staging import stage, staged_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,8 +123,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     inserts = stage(counted(docs, 0), "rollup-inserts")
     poor = labels.where("quality = 0").select("doc_id").distinct()
     folded = F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")
-    revised = docs.join(poor, "doc_id", "left_semi").withColumn("text", folded)
-    revisions = stage(counted(revised, 1), "rollup-revisions")
+    # Texts stay where they are: those that may be revised are counted, the counts are joined.
+    revised = sieve(docs, [F.col("doc_id")], poor, [F.col("doc_id")]).withColumn("text", folded)
+    revisions = stage(counted(revised, 1).join(poor, "doc_id", "left_semi"), "rollup-revisions")
     toxic = labels.where("toxic = 1").select("doc_id").distinct()
     deletes = inserts.join(toxic, "doc_id", "left_semi").withColumn(
         "n_tokens", F.lit(None).cast("bigint")
@@ -142,6 +144,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.run_report(periods.periodic_runs(docs))
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apart = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    return suffixes.score(table(spark, sf_dir, "documents"), apart)
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     return conversations.repair_report(turns, conversations.damaged(turns))
@@ -159,6 +166,7 @@ QUERIES: dict[str, Query] = {
     "op9_line_dedup": op9,
     "op10_token_rollup": op10,
     "op11_periodic_runs": op11,
+    "op12_suffix_tree": op12,
     "op13_conversation_repair": op13,
 }
 

@@ -4,11 +4,14 @@ A change gives a document's count under a tokenizer version, or takes it away. A
 known of the document it becomes signed rows: minus the old count, plus the new one. A batch
 writes its signed rows, then their sums by source, language and version; the marker that the
 last write leaves commits it. Totals are the sums over all committed batches. A batch that is
-committed already is not applied again, one that broke off is written anew.
+committed already is not applied again, one that broke off is written anew. Every few batches what
+they come to is written as a snapshot, so a batch reads the documents as they are and the few
+batches since, however many came before; of these only the rows it touches are shuffled.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 
 from likewise.llm import bpe
 from likewise.llm import text as tx
+from likewise.llm.sieve import sieve
 from likewise.llm.workers import give_back
 
 GROUP = ["source", "lang", "version"]
@@ -34,24 +38,70 @@ class Rollup:
 
     spark: SparkSession
     folder: str
+    #: Batches after which what they come to is written as a snapshot.
+    compact_every: int = 8
+
+    def _numbers(self, pattern: str) -> list[int]:
+        """The numbers in the names of the folders above the files of this pattern."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{pattern}")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
+        names = [f.getPath().toString() for f in found or []]
+        return sorted(int(re.search(r"=(\d+)/[^=]*$", name).group(1)) for name in names)
+
+    def _snapshot(self) -> tuple[str | None, list[int]]:
+        """The folder of the last complete snapshot, and the batches that it holds."""
+        complete = self._numbers("snapshot=*/batches/_SUCCESS")
+        if not complete:
+            return None, []
+        folder = f"{self.folder}/snapshot={complete[-1]}"
+        return folder, [r[0] for r in self.spark.read.parquet(f"{folder}/batches").collect()]
 
     def committed(self) -> list[int]:
         """The batches whose last write has left its marker."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/totals/batch=*/_SUCCESS")
-        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
-        return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])
+        return sorted({*self._snapshot()[1], *self._numbers("totals/batch=*/_SUCCESS")})
 
     def _read(self, part: str, schema: str) -> DataFrame:
-        paths = [f"{self.folder}/{part}/batch={b}" for b in self.committed()]
+        """The last snapshot's rows and those of the batches after it."""
+        folder, held = self._snapshot()
+        paths = [f"{self.folder}/{part}/batch={b}" for b in self.committed() if b not in held]
+        if folder:
+            paths.append(f"{folder}/{part}")
         if not paths:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
 
-    def counts(self) -> DataFrame:
-        """The documents as they are now: doc_id, version, source, lang, docs, tokens."""
+    def compact(self) -> None:
+        """Write what all committed batches come to as one snapshot, from which reading starts.
+
+        The list of its batches is written last and makes it count. Batches stay where they are,
+        and one that is sent again is still known.
+        """
+        batches = self.committed()
+        folder = f"{self.folder}/snapshot={len(batches)}"
+        if not batches or folder == self._snapshot()[0]:
+            return
+        self.counts().select("doc_id", "version", "source", "lang", "docs", "tokens").write.mode(
+            "overwrite"
+        ).parquet(f"{folder}/ledger")
+        self.totals().write.mode("overwrite").parquet(f"{folder}/totals")
+        listed = self.spark.createDataFrame([(b,) for b in batches], "batch long").coalesce(1)
+        listed.write.mode("overwrite").parquet(f"{folder}/batches")
+
+    def counts(self, of: DataFrame | None = None) -> DataFrame:
+        """The documents as they are now: doc_id, version, source, lang, docs, tokens.
+
+        With ``of``, distinct (doc_id, version), only these: other rows are put aside before
+        anything is shuffled.
+        """
+        ledger = self._read("ledger", _LEDGER)
+        if of is not None:
+            key = ["doc_id", "version"]
+            ledger = sieve(ledger, [ledger[k] for k in key], of, [of[k] for k in key])
+            asked = of.withColumnsRenamed({k: f"_{k}" for k in key})
+            same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("version").eqNullSafe(F.col("_version"))
+            ledger = ledger.join(asked, same, "left_semi")
         return (
-            self._read("ledger", _LEDGER)
-            .groupBy("doc_id", *GROUP)
+            ledger.groupBy("doc_id", *GROUP)
             .agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
             .where("docs != 0")
         )
@@ -81,12 +131,7 @@ class Rollup:
         last = changes.groupBy(F.col("doc_id").cast("bigint").alias("doc_id"), "version").agg(
             F.max(F.struct("seq", "n_tokens", "source", "lang")).alias("new")
         )
-        old = self.counts()
-        before = old.join(
-            last.select(*key).withColumnsRenamed({k: f"_{k}" for k in key}),
-            old["doc_id"].eqNullSafe(F.col("_doc_id")) & old["version"].eqNullSafe(F.col("_version")),
-            "left_semi",
-        )
+        before = self.counts(last.select(*key))
         minus = before.select(*key, "source", "lang", -F.col("docs"), -F.col("tokens"))
         plus = last.where("new.n_tokens IS NOT NULL").select(
             *key,
@@ -102,6 +147,8 @@ class Rollup:
         sums = self.spark.read.schema(_LEDGER).parquet(ledger).groupBy(*GROUP)
         sums = sums.agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         sums.write.mode("overwrite").parquet(f"{self.folder}/totals/batch={batch}")
+        if len(self.committed()) % self.compact_every == 0:
+            self.compact()
         return True
 
 
