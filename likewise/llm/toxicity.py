@@ -11,13 +11,18 @@ what such votes have meant for the examples themselves, each one left out in tur
 
 from __future__ import annotations
 
+import functools
 import math
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +39,12 @@ NEAREST = 15
 #: Examples in a block of the index, and blocks that are looked at first.
 BLOCK, FIRST = 64, 8
 
+#: A term is frequent if more than one in so many examples hold it.
+FREQUENT = 16
+
+#: Texts whose neighbours are searched at once.
+TOGETHER = 64
+
 #: Rows whose id falls into remainder 0 of so many are held out from learning.
 FOLDS = 5
 
@@ -61,19 +72,34 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Postings by term and block: the largest weight of each, and the weights themselves.
+    """Postings of the examples, which lie in blocks.
 
-    Runs are the postings that a term has in one block. ``first_run`` holds each term's first one.
+    A term that few examples hold has its postings; one that many hold, a frequent one, has a
+    weight for every place, and the largest of every block. ``row`` is its row there, -1 for others.
     """
 
     ids: np.ndarray
     toxic: np.ndarray
-    first_run: np.ndarray
-    block: np.ndarray
-    bound: np.ndarray
     first: np.ndarray
     place: np.ndarray
     weight: np.ndarray
+    row: np.ndarray = field(init=False)
+    frequent: np.ndarray = field(init=False)
+    largest: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        n_blocks = -(-len(self.ids) // BLOCK)
+        held = np.diff(self.first)
+        many = np.flatnonzero(held > max(BLOCK, len(self.ids) // FREQUENT))
+        self.row = np.full(len(held), -1, np.int64)
+        self.row[many] = np.arange(len(many))
+        self.frequent = np.zeros((len(many), n_blocks * BLOCK))
+        at = _ranges(self.first[many].astype(np.int64), held[many])
+        self.frequent[np.repeat(np.arange(len(many)), held[many]), self.place[at]] = self.weight[at]
+        self.largest = self.frequent.reshape(len(many), n_blocks, BLOCK).max(axis=2)
+
+    def __reduce__(self) -> tuple:
+        return Index, (self.ids, self.toxic, self.first, self.place, self.weight)
 
     @classmethod
     def of(cls, ids: np.ndarray, toxic: np.ndarray, vectors: list, n_terms: int) -> Index:
@@ -93,52 +119,73 @@ class Index:
         place_of[order] = np.arange(len(ids))
         place = np.repeat(place_of, sizes)
         by_term = np.lexsort((place, term))
-        term, place, weight = term[by_term], place[by_term], weight[by_term]
-        block = place // BLOCK
-        fresh = np.ones(len(term), bool)
-        fresh[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
-        first = np.flatnonzero(fresh)
+        first = np.searchsorted(term[by_term], np.arange(n_terms + 1))
         return cls(
             ids[order],
             toxic[order],
-            np.searchsorted(term[first], np.arange(n_terms + 1)).astype(np.int32),
-            block[first].astype(np.int32),
-            np.maximum.reduceat(weight, first) if len(first) else np.zeros(0),
-            np.append(first, len(term)).astype(np.int32),
-            place.astype(np.int32),
-            weight,
+            first.astype(np.int32),
+            place[by_term].astype(np.int32),
+            weight[by_term],
         )
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The places and cosines of the k examples nearest to a vector, cosines above 0 only.
-
-        Equal cosines are ordered by example id. The blocks of the highest bounds come first;
-        then all others whose bounds reach the k-th cosine found there.
+        """The places and cosines of the k examples nearest to a vector, cosines above 0 only."""
+        return next(self.all_nearest(np.array([len(t)]), t, w, k))
+
+    def all_nearest(
+        self, sizes: np.ndarray, t: np.ndarray, w: np.ndarray, k: int
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same for many vectors, of ``sizes`` terms each, one after another.
+
+        What the rarer terms contribute to every example is summed for all vectors at once, as are
+        the bounds of all blocks: the largest such sum of a block, and the frequent terms' largest
+        weights there. The blocks of the highest bounds are finished first; then all examples
+        whose own bounds reach the k-th cosine found there. Equal cosines are ordered by example id.
         """
-        sizes = self.first_run[t + 1] - self.first_run[t]
-        runs = _ranges(self.first_run[t], sizes)
-        if not len(runs):
-            return np.zeros(0, np.int64), np.zeros(0)
-        own, block = np.repeat(w, sizes), self.block[runs]
-        bound = np.bincount(block, own * self.bound[runs], minlength=-(-len(self.ids) // BLOCK))
-        first = np.zeros(len(bound), bool)
-        first[np.argsort(-bound, kind="stable")[:FIRST]] = True
+        n_places = self.frequent.shape[1]
+        n_blocks = n_places // BLOCK
+        vector = np.repeat(np.arange(len(sizes)), sizes)
+        row = self.row[t]
+        rare = row < 0
+        held = self.first[t[rare] + 1] - self.first[t[rare]]
+        at = _ranges(self.first[t[rare]].astype(np.int64), held)
+        known = np.bincount(
+            np.repeat(vector[rare] * n_places, held) + self.place[at],
+            np.repeat(w[rare], held) * self.weight[at],
+            minlength=len(sizes) * n_places,
+        ).reshape(len(sizes), n_places)
+        asked = np.zeros((len(sizes), len(self.frequent)))
+        asked[vector[~rare], row[~rare]] = w[~rare]
+        more = asked @ self.largest
+        bounds = known.reshape(len(sizes), n_blocks, BLOCK).max(axis=2, initial=0.0) + more
+        ends = np.cumsum(sizes)
+        for i, (a, b) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), strict=True)):
+            own = ~rare[a:b]
+            rows, weights = row[a:b][own], w[a:b][own]
+            yield self._best(known[i], bounds[i], more[i], rows, weights, k)
+
+    def _best(
+        self, known: np.ndarray, bound: np.ndarray, more: np.ndarray, rows: np.ndarray, weights: np.ndarray, k: int
+    ) -> tuple[np.ndarray, np.ndarray]:
         best, place = np.zeros(0), np.zeros(0, np.int64)
+        first = np.argsort(-bound, kind="stable")[:FIRST]
+        first = first[bound[first] > 0]
+        slots = np.arange(BLOCK)
         for wave in range(2):
             least = best[-1] - 1e-11 if len(best) == k else 0.0
-            looked_at = first if wave == 0 else ~first & (bound > 0) & (bound >= least)
-            if not looked_at.any():
+            if wave == 0:
+                looked_at = (first[:, None] * BLOCK + slots).ravel()
+            else:
+                bound[first] = 0.0
+                blocks = np.flatnonzero((bound > 0) & (bound >= least))
+                looked_at = (blocks[:, None] * BLOCK + slots).ravel()
+                looked_at = looked_at[known[looked_at] + np.repeat(more[blocks], BLOCK) >= least]
+            if not len(looked_at):
                 continue
-            some = looked_at[block]
-            starts = self.first[runs[some]]
-            n = self.first[runs[some] + 1] - starts
-            at = _ranges(starts, n)
-            cosine = np.bincount(
-                self.place[at], np.repeat(own[some], n) * self.weight[at], minlength=len(self.ids)
-            )
+            cosine = known[looked_at] + weights @ self.frequent[rows[:, None], looked_at]
             found = np.flatnonzero((cosine > 0) & (cosine >= least))
             best = np.concatenate((best, cosine[found]))
-            place = np.concatenate((place, found))
+            place = np.concatenate((place, looked_at[found]))
             if len(best) > k:  # those below the k-th by more than what rounding can change go first
                 high = best >= np.partition(best, -k)[-k] - 1e-11
                 best, place = best[high], place[high]
@@ -149,23 +196,37 @@ class Index:
 
 @dataclass
 class Model:
-    terms: dict[bytes, int]
+    terms: list[bytes]
     #: What a term counts: its inverse document frequency times what it says about the label.
     term_weight: np.ndarray
-    index: Index | None
+    #: The index of the examples, as a task has written it; none without examples.
+    packed: bytes | None = None
     #: Votes and the score that each of them, up to the next, stands for.
     votes: np.ndarray = field(default_factory=lambda: np.zeros(1))
     scores: np.ndarray = field(default_factory=lambda: np.zeros(1))
     #: The score where no example shares a term.
     unknown: float = 0.0
 
-    def vector(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and their TF-IDF weights, of length 1."""
-        get = self.terms.get
-        count = Counter(x for x in map(get, words(text)) if x is not None)
-        t = np.array(sorted(count), np.int64)
-        w = np.array([1 + math.log(count[x]) for x in t.tolist()]) * self.term_weight[t]
-        return t, w / np.sqrt(w @ w) if len(t) else w
+    @functools.cached_property
+    def index(self) -> Index | None:
+        return None if self.packed is None else pickle.loads(self.packed)
+
+    @functools.cached_property
+    def number(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.terms)}
+
+    def vectors(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many terms each text has, all terms, and their TF-IDF weights, of length 1 per text."""
+        get, none = self.number.get, repeat(-1)
+        found = [list(map(get, words(text), none)) for text in texts]
+        text = np.repeat(np.arange(len(texts)), [len(x) for x in found])
+        term = np.fromiter(chain.from_iterable(found), np.int64, len(text))
+        known = term >= 0
+        key, count = np.unique(text[known] * len(self.terms) + term[known], return_counts=True)
+        text, term = np.divmod(key, max(1, len(self.terms)))
+        weight = (1 + np.log(count)) * self.term_weight[term]
+        norm = np.sqrt(np.bincount(text, weight * weight, minlength=len(texts)))
+        return np.bincount(text, minlength=len(texts)), term, weight / norm[text]
 
     def vote(self, place: np.ndarray, cosine: np.ndarray) -> float:
         weight = 1 / (1.05 - np.minimum(cosine, 1))
@@ -235,14 +296,16 @@ def _example_words(examples: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
-def _frequencies(docs: DataFrame, terms: dict[bytes, int]) -> np.ndarray:
+def _frequencies(docs: DataFrame, terms: list[bytes]) -> np.ndarray:
     """In how many documents each term is found: counted in every task, then summed."""
+    shared = docs.sparkSession.sparkContext.broadcast(Model(terms, np.ones(0)))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(terms), np.int64)
+        get = shared.value.number.get
+        n = np.zeros(len(shared.value.terms), np.int64)
         for batch in batches:
             for text in batch.column("text").cast(pa.binary()):
-                found = set(map(terms.get, set(words(text.as_py() or b""))))
+                found = set(map(get, set(words(text.as_py() or b""))))
                 found.discard(None)
                 n[list(found)] += 1
             give_back()
@@ -253,6 +316,7 @@ def _frequencies(docs: DataFrame, terms: dict[bytes, int]) -> np.ndarray:
 
     counted = docs.select("text").mapInArrow(of, "term long, n long")
     summed = counted.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
     out = np.zeros(len(terms))
     out[summed["term"].to_numpy()] = summed["n"].to_numpy()
     return out
@@ -279,11 +343,13 @@ def fit(
 ) -> Model:
     """Learn from the labelled rows given, texts being looked up in ``docs`` by doc_id.
 
-    The driver receives at most ``2 * per_label`` examples as vectors, and their words with
-    their counts. Without labelled rows of both kinds
-    every score is the share of toxic ones among those there are, 0 if there are none.
+    The driver receives the words of at most ``2 * per_label`` examples with their counts, the
+    index of these examples as a task has written it, and a vote for each; vectors stay with the
+    executors. Without labelled rows of both kinds every score is the share of toxic ones among those
+    there are, 0 if there are none.
     """
     bound_batches(docs.sparkSession)
+    context = docs.sparkSession.sparkContext
     examples = _examples(docs, labelled, per_label)
     share = {
         r["toxic"]: r["n"]
@@ -293,71 +359,108 @@ def fit(
         .collect()
     }
     held = _example_words(examples).orderBy("word").toArrow()
-    terms = {w: i for i, w in enumerate(held["word"].to_pylist())}
-    model = Model(terms, np.ones(len(terms)), None)
+    model = Model(held["word"].to_pylist(), np.ones(len(held)))
     total = share.get(0, 0) + share.get(1, 0)
     model.unknown = share.get(1, 0) / total if total else 0.0
-    if not terms:
+    if not model.terms:
         return model
     sizes = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     a, b = held["a"].to_numpy().astype(float), held["b"].to_numpy().astype(float)
     said = g_statistic(a, b, sizes.get(1, 0), sizes.get(0, 0))
-    idf = np.log((docs.count() + 1) / (_frequencies(docs, terms) + 1)) + 1
+    idf = np.log((docs.count() + 1) / (_frequencies(docs, model.terms) + 1)) + 1
     model.term_weight = idf * np.sqrt(1 + said)
+    n_terms = len(model.terms)
+    del held, a, b, said, idf
+
+    shared = context.broadcast(model)
+    vectors = stage(_vectors(examples, shared), "toxicity-vectors")
+
+    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches).sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+        made = [
+            (t.values.to_numpy().astype(np.int64), w.values.to_numpy())
+            for t, w in zip(rows["t"], rows["w"], strict=True)
+        ]
+        toxic = rows["toxic"].to_numpy().astype(np.float64)
+        index = Index.of(rows["doc_id"].to_numpy(), toxic, made, n_terms)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(index)], pa.binary())], names=["index"])
+
+    # At most 2 * per_label rows, so one task can take them.
+    model.packed = vectors.coalesce(1).mapInArrow(indexed, "index binary").first()["index"]
+    shared.destroy()
+    # What a vote means: the examples' own, each without itself, weighted back to all rows.
+    shared = context.broadcast(model)
+    rows = _own_votes(vectors, shared, nearest).toArrow()
+    shared.destroy()
+    truth = rows["toxic"].to_numpy().astype(float)
+    stands_for = np.array([share.get(y, 0) / max(1, sizes.get(y, 0)) for y in (0, 1)])
+    weight = stands_for[truth.astype(int)]
+    vote = rows["vote"].to_numpy()
+    lone = np.isnan(vote)
+    if not lone.all():
+        model.votes, model.scores = isotonic(vote[~lone], truth[~lone], weight[~lone])
+    if lone.any():
+        model.unknown = float(truth[lone] @ weight[lone] / weight[lone].sum())
+    del rows
+    give_back()
+    return model
+
+
+def _vectors(examples: DataFrame, shared: Broadcast) -> DataFrame:
+    """(doc_id, toxic, t, w): the examples' terms and weights."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            made = [model.vector(texts[i].as_py() or b"") for i in range(len(texts))]
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            sizes, t, w = shared.value.vectors([x or b"" for x in texts])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     batch.column("toxic"),
-                    pa.array([t.astype(np.int32) for t, _ in made], pa.list_(pa.int32())),
-                    pa.array([w for _, w in made], pa.list_(pa.float64())),
+                    pa.ListArray.from_arrays(offsets, pa.array(t.astype(np.int32))),
+                    pa.ListArray.from_arrays(offsets, pa.array(w)),
                 ],
                 names=["doc_id", "toxic", "t", "w"],
             )
+            give_back()
 
     plain = examples.select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic", "text")
-    vectors = plain.mapInArrow(of, "doc_id long, toxic int, t array<int>, w array<double>")
-    rows = vectors.toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
-    made = [
-        (t.values.to_numpy().astype(np.int64), w.values.to_numpy())
-        for t, w in zip(rows["t"], rows["w"], strict=True)
-    ]
-    ids, toxic = rows["doc_id"].to_numpy(), rows["toxic"].to_numpy().astype(np.float64)
-    model.index = Index.of(ids, toxic, made, len(terms))
-    # What a vote means: the examples' own, each without itself, weighted back to all rows.
-    votes, truth, weight, lone = [], [], [], []
-    n_of = {y: max(1, int((toxic == y).sum())) for y in (0, 1)}
-    for doc_id, label, (t, w) in zip(ids.tolist(), rows["toxic"].to_pylist(), made, strict=True):
-        place, cosine = model.index.nearest(t, w, nearest + 1)
-        other = model.index.ids[place] != doc_id
-        place, cosine = place[other][:nearest], cosine[other][:nearest]
-        stands_for = share.get(label, 0) / n_of[label]
-        if len(place):
-            votes.append(model.vote(place, cosine))
-            truth.append(label)
-            weight.append(stands_for)
-        else:
-            lone.append((label, stands_for))
-    if votes:
-        model.votes, model.scores = isotonic(
-            np.array(votes), np.array(truth, float), np.array(weight)
-        )
-    if lone:
-        model.unknown = sum(y * v for y, v in lone) / sum(v for _, v in lone)
-    return model
+    return plain.mapInArrow(of, "doc_id long, toxic int, t array<int>, w array<double>")
+
+
+def _own_votes(vectors: DataFrame, shared: Broadcast, nearest: int) -> DataFrame:
+    """(toxic, vote): what the other examples say about every example; NaN if none shares a term."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            votes = []
+            ids = batch.column("doc_id").to_pylist()
+            for begin in range(0, len(batch), TOGETHER):
+                part = batch.slice(begin, TOGETHER)
+                t, w = part.column("t"), part.column("w")
+                sizes = pc.list_value_length(t).to_numpy().astype(np.int64)
+                flat = t.flatten().to_numpy().astype(np.int64), w.flatten().to_numpy()
+                found = model.index.all_nearest(sizes, *flat, nearest + 1)
+                for doc_id, (place, cosine) in zip(ids[begin:], found, strict=False):
+                    other = model.index.ids[place] != doc_id
+                    place, cosine = place[other][:nearest], cosine[other][:nearest]
+                    votes.append(model.vote(place, cosine) if len(place) else math.nan)
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(votes, pa.float64())], names=["toxic", "vote"])
+
+    return vectors.mapInArrow(of, "toxic int, vote double")
 
 
 def _nearest(texts: pa.Array, model: Model, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places and cosines of every text's nearest examples; a null text is an empty one."""
-    for text in texts.cast(pa.binary()):
+    texts = texts.cast(pa.binary())
+    for begin in range(0, len(texts), TOGETHER):
+        part = [x or b"" for x in texts.slice(begin, TOGETHER).to_pylist()]
         if model.index is None:
-            yield np.zeros(0, np.int64), np.zeros(0)
+            yield from [(np.zeros(0, np.int64), np.zeros(0))] * len(part)
         else:
-            yield model.index.nearest(*model.vector(text.as_py() or b""), k)
+            yield from model.index.all_nearest(*model.vectors(part), k)
 
 
 def score(docs: DataFrame, model: Model, nearest: int = NEAREST) -> DataFrame:

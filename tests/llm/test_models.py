@@ -273,7 +273,7 @@ def test_pipeline(spark):
         assert seen[-1].columns == columns
     toxic, exact, near, mixed = seen[1:]
     assert exact.count() == toxic.select("text").distinct().count()
-    groups = samples.near([(r.doc_id, r.text) for r in exact.collect()])
+    groups = samples.near([(r.doc_id, r.text) for r in exact.collect()], link=80)
     assert {r.doc_id for r in near.collect()} == {i for i, (_, c) in groups.items() if i == c}
     assert {r.doc_id for r in mixed.collect()} == {r.doc_id for r in near.collect()}
     last = corpus_pipeline.STAGES[-1][1](spark, mixed, SF).collect()
