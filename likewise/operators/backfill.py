@@ -1,7 +1,8 @@
 """Filling up short answers with the best-ranked items a query's rules allow.
 
 Rows produced are (answers missing) + (answers excluded), never queries x items: the
-ranked items are cut into pages, and queries are joined to the pages they need.
+ranked items are cut into pages, and queries are joined to the pages they need. What a rule
+set allows is read off bitmaps over the ranking.
 """
 
 from __future__ import annotations
@@ -9,16 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from likewise.operators.groups import number_rows, top_per_group
-from likewise.operators.querying import RULE_COLUMNS, rules_pass
+from likewise.operators.bitmaps import allowed_places, select_places
+from likewise.operators.groups import top_per_group
+from likewise.operators.intervals import date_index
 from likewise.operators.model import Model
+from likewise.operators.querying import RULE_COLUMNS, date_rules_pass, rules_pass
 from likewise.params import EngineParams
 from likewise.sources.staging import stage
 
 #: Ranked items per page. A page is what a query or a rule set reads at a time.
 PAGE = 256
 
-#: Pages a rule set reads in the first round, and how much further each round reads.
+#: Dates are first tested on the best items that a rule set's fields allow: on so many pages of
+#: them, and so many times what it needs.
 FIRST_PAGES, GROWTH = 4, 8
 
 
@@ -26,90 +30,102 @@ def _page(position: str):
     return F.floor((F.col(position) - 1) / PAGE).cast("bigint")
 
 
-def _by_filter(sigs: DataFrame, items: DataFrame, weights: DataFrame) -> DataFrame:
-    """(sig, filter): rule sets best answered from the postings of one of their filters.
+def _field_sets(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rule sets with ``set`` and ``look``, the distinct field rules by ``set`` with ``upto``).
 
-    Walking down the ranking until ``need`` items pass one filter reads about
-    need * items / df of them; reading the filter's own postings reads df. The choice
-    only decides what is read, both ways find the same items.
+    ``look`` is how many of the items that the fields allow a rule set reads at first: as many as it
+    needs, or more where dates have to be tested on them. Set 0 has no field rules.
     """
-    rules = sigs.select("sig", "need", F.posexplode("filters").alias("rule", "filter"))
-    sizes = (
-        rules.select("sig", "need", "rule", "filter", F.explode("filter.values").alias("term"))
-        .join(
-            weights.select(F.col("field").alias("_field"), F.col("term").alias("_term"), "df"),
-            (F.col("filter.name") == F.col("_field")) & (F.col("term") == F.col("_term")),
-            "left",
-        )
-        .groupBy("sig", "need", "rule", "filter")
-        .agg(F.sum(F.coalesce("df", F.lit(0))).alias("df"))
-    )
-    rarest = sizes.groupBy("sig", "need").agg(
-        F.min("df").alias("df"), F.min_by("filter", F.struct("df", "rule")).alias("filter")
+    text = F.to_json(F.struct("filters", "excludes"))
+    dated = F.col("date_name").isNotNull() | F.col("now").isNotNull()
+    look = F.when(dated, F.greatest(F.col("need") * GROWTH, F.lit(FIRST_PAGES * PAGE))).otherwise(F.col("need"))
+    bare = (F.size("filters") == 0) & (F.size("excludes") == 0)
+    sigs = sigs.withColumn("look", look).withColumn("fields", F.when(~bare, text))
+    sets = sigs.where(F.col("fields").isNotNull()).groupBy("fields").agg(
+        F.any_value("filters").alias("filters"),
+        F.any_value("excludes").alias("excludes"),
+        F.max("look").alias("upto"),
     )
-    n_items = items.agg(F.count("*")).scalar()
-    direct = F.col("df").cast("double") * F.col("df") <= F.col("need").cast("double") * n_items
-    return rarest.where(direct).select("sig", "filter")
+    sets = stage(sets.withColumn("set", F.monotonically_increasing_id() + 1), "field-sets")
+    numbered = sigs.join(sets.select("fields", "set"), "fields", "left")
+    return stage(numbered.withColumn("set", F.coalesce("set", F.lit(0))).drop("fields"), "open"), sets
 
 
-def eligible_items(
-    sigs: DataFrame,
-    items: DataFrame,
-    postings: DataFrame,
-    weights: DataFrame,
-    params: EngineParams,
-) -> DataFrame:
-    """(sig, place, pos): the best-ranked items passing each rule set, at least ``need``.
+def eligible_items(sigs: DataFrame, model: Model, params: EngineParams) -> DataFrame:
+    """(sig, place, pos): the best-ranked items passing each rule set, at least ``need`` if there are.
 
-    Selective inclusion filters start from their own postings. All other rule sets walk
-    down the ranking page by page, in rounds that reach further, until they have enough
-    or the items are exhausted.
+    Field rules are bitmaps, and what passes them is read off in the order of the ranking, as far
+    as it is needed. Dates are tested on what is read. A rule set that lacks items after the
+    first look reads the rest: a date range the items inside it, from the dates' own order, and a
+    moment all that its fields allow. Two looks, whatever the rules are.
     """
-    sigs = stage(sigs, "open")
-    described = items.select("pos", "props", *params.date_columns)
-    direct = stage(_by_filter(sigs, items, weights), "direct")
-    listed = (
-        direct.select("sig", F.col("filter.name").alias("field"), F.explode("filter.values").alias("term"))
-        .join(postings, ["field", "term"])
-        .select("sig", F.explode("places").alias("pos"))
-        .distinct()
-    )
-    found = (
-        listed.join(sigs, "sig").join(described, "pos").where(rules_pass(params)).select("sig", "pos")
+    sigs, sets = _field_sets(sigs)
+    n_items = model.items.agg(F.count("*")).scalar()
+    parts = allowed_places(sets, model, params.event_names)
+    parts = stage(parts, "allowed-places")
+    first = stage(select_places(parts.join(sets.select("set", "upto"), "set")), "first-places")
+    reach = F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("look", n_items)))
+    free = sigs.where("set = 0").select("*", reach.alias("rank")).withColumn("pos", F.col("rank"))
+    looked = sigs.where("set != 0").join(first, "set").where(F.col("rank") <= F.col("look"))
+    looked = free.unionByName(looked.select(*free.columns))
+
+    undated = F.col("date_name").isNull() & F.col("now").isNull()
+    found = looked.where(undated).select("sig", F.col("rank").alias("place"), "pos")
+    dated = sigs.where(~undated)
+    if not params.date_columns:
+        # a moment is only given where there are dates, a range without any passes nothing
+        return found
+    dates = model.items.select("pos", *params.date_columns)
+    passed = looked.where(~undated).join(dates, "pos").where(date_rules_pass(params)).select("sig", "pos")
+    passed = stage(passed, "dated")
+    sizes = parts.groupBy("set").agg(F.sum("n").alias("size"))
+    got = passed.groupBy("sig").agg(F.count("*").alias("got"))
+    more = (
+        dated.join(sizes, "set", "left")
+        .withColumn("size", F.when(F.col("set") == 0, n_items).otherwise(F.coalesce("size", F.lit(0))))
+        .join(got, "sig", "left")
+        .where((F.coalesce("got", F.lit(0)) < F.col("need")) & (F.col("look") < F.col("size")))
+        .drop("got")
     )
-
-    last_page = ((items.agg(F.max("pos").alias("n")).first()["n"] or 0) - 1) // PAGE
-    paged = described.withColumn("page", _page("pos"))
-    open_sigs = sigs.join(direct, "sig", "left_anti")
-    first, width = 0, FIRST_PAGES
-    while first <= last_page and not open_sigs.isEmpty():
-        upto = min(first + width - 1, last_page)
-        reach = F.explode(F.sequence(F.lit(first).cast("bigint"), F.lit(upto).cast("bigint")))
-        # few pages meet many rule sets, or many pages few: the slice's size decides
-        slice_ = stage(paged.where(F.col("page").between(first, upto)), "slice")
-        walked = (
-            open_sigs.select("sig", *RULE_COLUMNS, reach.alias("page"))
-            .join(slice_, "page")
-            .where(rules_pass(params))
-            .select("sig", "pos")
-        )
-        walked = stage(walked, "walked")
-        found = found.unionByName(walked)
-        got = walked.groupBy("sig").agg(F.count("*").alias("got"))
-        left = F.col("need") - F.coalesce("got", F.lit(0))
-        open_sigs = (
-            open_sigs.join(got, "sig", "left")
-            .withColumn("need", left)
-            .drop("got")
-            .where(F.col("need") > 0)
+    more = stage(more, "second-look")
+    if not more.isEmpty():
+        passed = passed.unionByName(_second_look(more, parts, model, params)).distinct()
+    largest = sigs.agg(F.max("need")).first()[0]
+    placed = top_per_group(passed, ["sig"], [F.col("pos")], largest, rank="place")
+    return found.unionByName(placed.select("sig", F.col("place").cast("bigint").alias("place"), "pos"))
+
+
+def _second_look(more: DataFrame, parts: DataFrame, model: Model, params: EngineParams) -> DataFrame:
+    """(sig, pos): all items that pass these rule sets, those inside ranges once more."""
+    dates = model.items.select("pos", *params.date_columns)
+    at = more.where(F.col("now").isNotNull())
+    fields = at.where("set != 0").groupBy("set").agg(F.max("size").alias("upto"))
+    listed = at.join(select_places(parts.join(fields, "set")), "set").where(F.col("rank") > F.col("look"))
+    rest = F.explode(F.sequence(F.col("look") + 1, F.col("size")))
+    free = at.where("set = 0").select("*", rest.alias("rank")).withColumn("pos", F.col("rank"))
+    tested = free.unionByName(listed.select(*free.columns)).join(dates, "pos")
+    passed = tested.where(date_rules_pass(params)).select("sig", "pos")
+    for name in params.date_columns:
+        ranged = more.where(F.col("date_name") == name)
+        index = stage(date_index(model.items, name), f"index-{name}")
+        ends = index.groupBy("date").agg(F.min("idx").alias("from"), F.max("idx").alias("to"))
+        low = ends.select(F.col("date").alias("after"), (F.col("to") + 1).alias("lo"))
+        high = ends.select(F.col("date").alias("before"), (F.col("from") - 1).alias("hi"))
+        n_dated = index.agg(F.count("*")).scalar()
+        # bounds lie on dates of items, or beyond all of them
+        inside = ranged.join(low, "after", "left").join(high, "before", "left").select(
+            "sig",
+            "set",
+            "look",
+            *RULE_COLUMNS,
+            F.coalesce("lo", F.lit(1)).alias("lo"),
+            F.coalesce("hi", n_dated).alias("hi"),
         )
-        first, width = upto + 1, width * GROWTH
-
-    numbered = number_rows(found, [F.col("sig"), F.col("pos")], "row")
-    starts = numbered.groupBy("sig").agg(F.min("row").alias("start"))
-    return numbered.join(starts, "sig").select(
-        "sig", (F.col("row") - F.col("start") + 1).alias("place"), "pos"
-    )
+        reach = F.explode(F.sequence("lo", "hi"))
+        listed = inside.where("lo <= hi").select("sig", "set", "look", *RULE_COLUMNS, reach.alias("idx"))
+        tested = listed.join(index.select("idx", "pos"), "idx").join(model.items.select("pos", "props", *params.date_columns), "pos")
+        passed = passed.unionByName(tested.where(rules_pass(params)).select("sig", "pos"))
+    return passed
 
 
 def _pages_wanted(short: DataFrame) -> DataFrame:
@@ -153,7 +169,7 @@ def backfill(
     if rules is not None:
         ruled = short.where(F.col("sig") != 0)
         sigs = ruled.groupBy("sig").agg(F.max("need").alias("need")).join(rules, "sig")
-        allowed = eligible_items(sigs, model.items, model.postings, model.weights, params)
+        allowed = eligible_items(sigs, model, params)
         allowed = stage(allowed.withColumn("page", _page("place")), "allowed")
         listed = _pages_wanted(ruled).join(allowed, ["sig", "page"])
         offered = offered.unionByName(

@@ -20,6 +20,9 @@ PROPS = "map<string,array<string>>"
 #: Items per block of a term's postings.
 BLOCK = 1024
 
+#: A term with more than one in so many of all entries is hot.
+HOT = 1024
+
 
 def join_props_ranks(props: DataFrame, ranks: DataFrame) -> DataFrame:
     """Full outer join on the item; a ranking overrides the property of its name."""
@@ -133,6 +136,22 @@ def term_weights(entries: DataFrame, correlators: DataFrame | None, props: DataF
     )
 
 
+def _weighted(entries: DataFrame, weights: DataFrame) -> DataFrame:
+    """Entries with the ``df`` and ``idf`` of their terms.
+
+    A term that has more than one in ``HOT`` of all entries is hot; there are at most ``HOT`` of them,
+    so they are sent to all tasks, and their entries stay where they are. The others meet
+    their weights by a shuffle in which no term is large.
+    """
+    key = ["field", "term"]
+    total = weights.agg(F.sum("df")).first()[0] or 0
+    hot = weights.where(F.col("df") * HOT > total).select(*key, "df", "idf")
+    marked = entries.join(F.broadcast(hot), key, "left")
+    rest = marked.where("df IS NULL").drop("df", "idf")
+    cold = weights.where(F.col("df") * HOT <= total).select(*key, "df", "idf")
+    return marked.where("df IS NOT NULL").unionByName(rest.join(cold, key))
+
+
 def build_postings(entries: DataFrame, weights: DataFrame, items: DataFrame) -> DataFrame:
     """(field, term, idf, block, places): the items of a term, as lists of places.
 
@@ -142,7 +161,7 @@ def build_postings(entries: DataFrame, weights: DataFrame, items: DataFrame) ->
     of one per item.
     """
     blocks = F.ceil(F.col("df") / BLOCK)
-    placed = entries.join(weights, ["field", "term"]).join(items.select("item", "pos"), "item")
+    placed = _weighted(entries, weights).join(items.select("item", "pos"), "item")
     return (
         placed.withColumn("block", F.pmod(F.xxhash64("pos"), blocks))
         .groupBy("field", "term", "idf", "block")
@@ -156,7 +175,8 @@ class Model:
 
     correlators (item, event, correlator, llr, rnk), items (item, props, dates...,
     rankings..., pos), postings (field, term, idf, block, places), weights (field, term,
-    df, idf). ``pos`` is an item's place in the ranking of all items, and stands for the
+    df, idf), bitmaps (field, term, part, bits) of common property values, without which all are made
+    from postings. ``pos`` is an item's place in the ranking of all items, and stands for the
     item wherever queries are answered: eight bytes, ordered like the backfill.
     """
 
@@ -164,14 +184,16 @@ class Model:
     items: DataFrame
     postings: DataFrame
     weights: DataFrame
+    bitmaps: DataFrame | None = None
 
     def tables(self) -> dict[str, DataFrame]:
-        return {
+        tables = {
             "correlators": self.correlators,
             "items": self.items,
             "postings": self.postings,
             "weights": self.weights,
         }
+        return tables if self.bitmaps is None else {**tables, "bitmaps": self.bitmaps}
 
     def documents(self, only: DataFrame | None = None) -> DataFrame:
         """One row per item with its properties and correlator lists in one map.

@@ -193,12 +193,15 @@ def _boost(bias: str) -> Column:
 def query_terms(
     queries: DataFrame, usage: DataFrame, correlators: DataFrame, params: EngineParams
 ) -> DataFrame:
-    """(query_id, sig, field, term, boost, bit): all clauses of all queries."""
+    """(query_id, sig, field, term, boost, bit): what the queries' histories, items and carts match.
+
+    Boosts of correlators are among them; those of properties are ``boosting.query_boosts``.
+    """
     return (
         user_terms(queries, usage, params)
         .unionByName(item_terms(queries, correlators, params))
         .unionByName(set_terms(queries, params))
-        .unionByName(boost_terms(queries))
+        .unionByName(boost_terms(queries).where(F.col("field").isin(params.event_names)))
     )
 
 
@@ -277,7 +280,6 @@ def with_rules(queries: DataFrame, params: EngineParams, now: Column) -> DataFra
         )
         .alias("required"),
     )
-    text = F.to_json(F.struct(*RULE_COLUMNS))
     free = (
         (F.size("filters") == 0)
         & (F.size("excludes") == 0)
@@ -285,7 +287,12 @@ def with_rules(queries: DataFrame, params: EngineParams, now: Column) -> DataFra
         & F.col("now").isNull()
         & (F.col("required") == 0)
     )
-    return ruled.withColumn("rules", F.when(~free, text))
+    return ruled.withColumn("rules", rule_text(~free))
+
+
+def rule_text(ruled: Column) -> Column:
+    """What tells rule sets apart, where a query has one."""
+    return F.when(ruled, F.to_json(F.struct(*RULE_COLUMNS)))
 
 
 RULE_COLUMNS = ["filters", "excludes", "date_name", "after", "before", "now", "required"]

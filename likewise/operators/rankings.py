@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from likewise.functions.hashing import uniform
 from likewise.functions.times import duration, instant, instant_literal, whole_ms
 from likewise.operators.events import events_between
+from likewise.operators.stretches import Measure, StretchCounts
 from likewise.params import Ranking
 
 
@@ -21,11 +22,13 @@ def _targets(events: DataFrame, start: datetime, end: datetime, names: Sequence[
     ).where(F.col("item").isNotNull())
 
 
-def _count_between(events: DataFrame, lower: datetime, upper: datetime) -> Column:
+def _count_between(
+    events: DataFrame, lower: datetime, upper: datetime, also: Column | None = None
+) -> Column:
     kind = events.schema["event_time"].dataType
     at = F.col("event_time")
     inside = (at >= instant_literal(lower, kind)) & (at < instant_literal(upper, kind))
-    return F.count(F.when(inside, F.lit(1)))
+    return F.count(F.when(inside if also is None else also & inside, F.lit(1)))
 
 
 def _parts(start: datetime, end: datetime, n: int) -> list[datetime]:
@@ -105,24 +108,30 @@ def _window(ranking: Ranking, end: datetime | str | None) -> tuple[datetime, dat
 _STRETCHES = {"popular": 1, "trending": 2, "hot": 3, "random": 1}
 
 
-def _counts(ranking: Ranking, events: DataFrame, window: tuple[datetime, datetime]) -> list[Column]:
-    """A conditional count per stretch of the ranking's window."""
+def _measures(ranking: Ranking, window: tuple[datetime, datetime]) -> list[Measure]:
+    """A count per stretch of the ranking's window."""
     bounds = _parts(*window, _STRETCHES[ranking.type])
-    named = F.lit(True)
-    if ranking.type != "random" and ranking.event_names:
-        named = F.col("event").isin(list(ranking.event_names))
-    kind = events.schema["event_time"].dataType
-    at = F.col("event_time")
+    names = ranking.event_names if ranking.type != "random" and ranking.event_names else None
     return [
-        F.count(
-            F.when(
-                named & (at >= instant_literal(lo, kind)) & (at < instant_literal(hi, kind)), F.lit(1)
-            )
-        ).alias(f"{ranking.column}:{i}")
+        Measure(f"{ranking.column}:{i}", names, lo, hi)
         for i, (lo, hi) in enumerate(zip(bounds, bounds[1:]))
     ]
 
 
+def _counts(events: DataFrame, measures: Sequence[Measure]) -> DataFrame:
+    """(item, a column per measure), from one scan of the log between the ends of all windows."""
+    anything = not all(m.names for m in measures)
+    names = sorted({n for m in measures for n in m.names or ()})
+    seen = events_between(
+        events, min(m.lo for m in measures), max(m.hi for m in measures), () if anything else names
+    ).where(F.col("target_entity_id").isNotNull())
+    columns = []
+    for m in measures:
+        named = F.col("event").isin(list(m.names)) if m.names else F.lit(True)
+        columns.append(_count_between(events, m.lo, m.hi, named).alias(m.column))
+    return seen.groupBy(F.col("target_entity_id").alias("item")).agg(*columns)
+
+
 def _value(ranking: Ranking, seed: int) -> Column:
     """The ranking from its counts, NULL for items it does not rank."""
     n = [F.col(f"`{ranking.column}:{i}`") for i in range(_STRETCHES.get(ranking.type, 0))]
@@ -143,28 +152,20 @@ def rank_table(
     end: datetime | str | None = None,
     seed: int = 0,
     catalog_only: bool = False,
+    stored: StretchCounts | None = None,
 ) -> DataFrame:
     """One row per ranked item, one column per ranking; ``end`` closes open windows.
 
     All rankings share one scan of the log and one shuffle: every stretch of every
-    window is a conditional count of the same aggregation. One full outer join adds
+    window is a conditional count of the same aggregation. With ``stored`` counts only the
+    edges of the windows are read from the log. One full outer join adds
     what comes from properties. ``catalog_only`` leaves out targets without properties.
     """
     counted_ones = [r for r in rankings if r.type in _STRETCHES]
-    windows = {r.column: _window(r, end) for r in counted_ones}
+    measures = [m for r in counted_ones for m in _measures(r, _window(r, end))]
     ranked = props
-    if counted_ones:
-        anytime = "random" in {r.type for r in counted_ones}
-        names = {n for r in counted_ones for n in r.event_names or ()}
-        anything = anytime or not all(r.event_names for r in counted_ones)
-        seen = events_between(
-            events,
-            min(lo for lo, _ in windows.values()),
-            max(hi for _, hi in windows.values()),
-            () if anything else sorted(names),
-        ).where(F.col("target_entity_id").isNotNull())
-        measures = [c for r in counted_ones for c in _counts(r, events, windows[r.column])]
-        counts = seen.groupBy(F.col("target_entity_id").alias("item")).agg(*measures)
+    if measures:
+        counts = stored.counts(events, measures) if stored else _counts(events, measures)
         ranked = props.join(counts, "item", "full_outer")
     if catalog_only:
         ranked = ranked.where(F.col("props").isNotNull())

@@ -22,8 +22,8 @@ def term_match(terms: DataFrame, postings: DataFrame) -> DataFrame:
     return met.select("*", F.explode("places").alias("pos")).drop("places")
 
 
-def term_score(terms: DataFrame, postings: DataFrame, taken: DataFrame | None = None) -> DataFrame:
-    """(query_id, sig, pos, score, bits): sum of boost * idf over the matched terms.
+def term_sums(terms: DataFrame, postings: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """(query_id, sig, pos, score, bits): sum of boost * idf over the matched terms, not rounded.
 
     The matches of one (query, item) come from different terms and so from different
     tasks: combining them before the shuffle would fill hash tables without shrinking
@@ -41,6 +41,11 @@ def term_score(terms: DataFrame, postings: DataFrame, taken: DataFrame | None =
         mark = F.lit(TAKEN).cast("bigint").alias("bit")
         matches = matches.unionByName(taken.select(*key, F.lit(0.0).alias("gain"), mark))
     summed = matches.repartition(*key).groupBy(*key).agg(
-        fixed6(F.sum("gain")).alias("score"), F.bit_or("bit").alias("bits")
+        F.sum("gain").alias("score"), F.bit_or("bit").alias("bits")
     )
     return summed.where(F.col("bits") < TAKEN)
+
+
+def term_score(terms: DataFrame, postings: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """The same, scores rounded as answers show them."""
+    return term_sums(terms, postings, taken).withColumn("score", fixed6(F.col("score")))

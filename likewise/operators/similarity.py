@@ -95,7 +95,11 @@ def cross_occurrence_counts(interactions: DataFrame, primary: str) -> DataFrame:
 
 def llr_scores(pairs: DataFrame, users: DataFrame) -> DataFrame:
     """Adds ``llr``, six decimals; ``users`` are all users the pairs were drawn from."""
-    n = users.agg(F.count("*")).scalar()
+    return llr_of(pairs, users.agg(F.count("*")).scalar())
+
+
+def llr_of(pairs: DataFrame, n: Column) -> DataFrame:
+    """The same for a known number of users."""
     llr = log_likelihood_ratio(
         F.col("n_both"), F.col("n_item"), F.col("n_correlator"), n
     )

@@ -7,8 +7,11 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from likewise.functions.scores import fixed6
 from likewise.operators.backfill import backfill
+from likewise.operators.boosting import boosted, boosted_only, query_boosts
 from likewise.operators.groups import top_per_group
+from likewise.operators.intervals import share_moments
 from likewise.operators.querying import (
     all_field_rules,
     complete_queries,
@@ -18,10 +21,11 @@ from likewise.operators.querying import (
     rules_pass,
     with_rules,
 )
-from likewise.operators.scoring import term_score
+from likewise.operators.scoring import term_sums
 from likewise.params import EngineParams
 from likewise.operators.model import Model
 from likewise.plans.train import present_events
+from likewise.sources.history import History
 from likewise.sources.staging import stage
 from likewise.sources.tables import usage_events
 
@@ -42,7 +46,12 @@ def scored_hits(
     rules. What is left of a query is cut before its shuffle.
     """
     terms = query_terms(asked, usage, model.correlators, params)
-    scores = term_score(terms, model.postings, taken)
+    scores = term_sums(terms, model.postings, taken)
+    boosts = stage(query_boosts(asked, model.weights, params), "boosts")
+    any_boost = not boosts.isEmpty()
+    if any_boost:
+        scores = boosted(scores, boosts, model.items)
+    scores = scores.withColumn("score", fixed6(F.col("score")))
     if rules is not None:
         scores = stage(scores, "scores")
         ruled = scores.where("sig != 0").join(rules.select("sig", "required"), "sig")
@@ -61,31 +70,50 @@ def scored_hits(
         allowed = scores.where("sig = 0 AND score > 0").unionByName(ruled.select(*scores.columns))
     else:
         allowed = scores.where(F.col("score") > 0)
-    return top_per_group(
-        allowed.select("query_id", "sig", "pos", "score"),
-        ["query_id"],
-        [F.col("score").desc(), F.col("pos")],
-        largest,
-    )
+    allowed = allowed.select("query_id", "sig", "pos", "score")
+    order = [F.col("score").desc(), F.col("pos")]
+    if any_boost:
+        # what matches anything is kept whole here: the second wave has to know it
+        allowed = stage(allowed, "matched")
+        best = top_per_group(allowed.drop("sig"), ["query_id"], order, largest)
+        page_end = (F.col("num") + F.col("from")).alias("page_end")
+        bounds = asked.select("query_id", page_end, "required")
+        more = boosted_only(bounds, boosts, allowed, best, taken, rules, model, params)
+        allowed = allowed.unionByName(more.select(*allowed.columns))
+    return top_per_group(allowed, ["query_id"], order, largest)
+
+
+def histories(asked: DataFrame, events: DataFrame | History, params: EngineParams) -> DataFrame:
+    """(user, event, item, event_time): all that the queried users did, for terms and exclusions.
+
+    Written once, so the log or its layout by user is read a single time.
+    """
+    names = list(dict.fromkeys(params.event_names + params.blacklisting_events))
+    users = asked.where(F.col("user").isNotNull()).select("user").distinct()
+    if isinstance(events, History):
+        return stage(events.of(users, names), "histories")
+    return stage(usage_events(events, names).join(users, "user", "left_semi"), "histories")
 
 
 def recommend(
     queries: DataFrame,
     model: Model,
-    events: DataFrame,
+    events: DataFrame | History,
     params: EngineParams,
     now: datetime | str | None = None,
 ) -> DataFrame:
     """(query_id, pos, item, score, ranks): results in order, ``pos`` from 1.
 
-    ``events`` is the current log, from which users' histories are read. ``now`` is the
-    date for availability rules of queries that give none.
+    ``events`` is the current log, or a history laid out by user, from which users' histories
+    are read, once. ``now`` is the date for availability rules of queries that give none.
     """
-    params = present_events(events, params)
+    if isinstance(events, History):
+        params = params.with_events(events.event_names())
+        user_type = events.user_type
+    else:
+        params = present_events(events, params)
+        user_type = events.schema["entity_id"].dataType
     item_type = model.items.schema["item"].dataType
-    user_type = events.schema["entity_id"].dataType
-    names = list(dict.fromkeys(params.event_names + params.blacklisting_events))
-    usage = usage_events(events, names)
     moment = F.lit((now if isinstance(now, str) else now.isoformat()) if now else None)
     moment = moment.cast("timestamp") if now else F.current_timestamp()
 
@@ -94,7 +122,8 @@ def recommend(
     asked = with_rules(all_field_rules(asked, params), params, moment)
     asked = asked.withColumnRenamed("query_id", "_name")
     asked = stage(asked.withColumn("query_id", F.monotonically_increasing_id()), "queries")
-    asked, rules = number_signatures(asked)
+    asked, rules = number_signatures(share_moments(asked, model.items, params))
+    usage = histories(asked, events, params)
     page = F.col("num") + F.col("from")
     largest = asked.agg(F.max(page).alias("n")).first()["n"] or 0
     places = model.items.select("item", "pos")

@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from likewise.functions.times import instant
+from likewise.operators.bitmaps import build_bitmaps
 from likewise.operators.events import (
     dedup_events,
     event_inventory,
@@ -25,6 +27,7 @@ from likewise.operators.model import (
 )
 from likewise.operators.properties import aggregate_properties, compact_properties
 from likewise.operators.rankings import rank_table
+from likewise.operators.stretches import StretchCounts
 from likewise.operators.similarity import correlators
 from likewise.params import EngineParams
 from likewise.sources.staging import stage
@@ -74,7 +77,8 @@ def _assemble(
     entries = index_terms(found, described)
     weights = stage(term_weights(entries, found, described), "weights")
     postings = stage(build_postings(entries, weights, items), "postings")
-    return Model(found, items, postings, weights)
+    bitmaps = stage(build_bitmaps(postings, weights, items, params.event_names), "bitmaps")
+    return Model(found, items, postings, weights, bitmaps)
 
 
 def train(events: DataFrame, params: EngineParams, end: datetime | str | None = None) -> Model:
@@ -117,18 +121,32 @@ def train_and_publish(
 
 
 def refresh_ranks(
-    model: Model, events: DataFrame, params: EngineParams, end: datetime | str | None = None
+    model: Model,
+    events: DataFrame,
+    params: EngineParams,
+    end: datetime | str | None = None,
+    stored: StretchCounts | None = None,
 ) -> Model:
     """New rankings and properties on an existing model; its correlators stay.
 
-    Newer properties win over the stored ones, name by name.
+    Newer properties win over the stored ones, name by name. With ``stored`` counts by stretch of
+    time, which are brought up to ``end`` first, ``events`` need only hold what is not in them and
+    the edges of the rankings' windows; they are taken as they are, so an engine that cleans its
+    log has to count a clean one.
     """
+    if stored is not None:
+        if params.event_window or params.dedup_events:
+            raise ValueError("counts by stretch of time are of a log that is not cleaned afterwards")
+        if end is not None:
+            stored.update(events, instant(end))
     events = clean_events(events, params, end)
     params = present_events(events, params)
     item_type = model.items.schema["item"].dataType
     fresh = aggregate_properties(events).select(F.col("item").cast(item_type).alias("item"), "props")
     fresh = stage(fresh, "fresh-props")
-    stored = model.items.select("item", F.col("props").cast(PROPS).alias("props"))
-    props = stage(merge_model([stored, fresh]), "props")
-    ranks = rank_table(params.active_rankings, events, fresh, end, params.seed, params.catalog_only)
+    known = model.items.select("item", F.col("props").cast(PROPS).alias("props"))
+    props = stage(merge_model([known, fresh]), "props")
+    ranks = rank_table(
+        params.active_rankings, events, fresh, end, params.seed, params.catalog_only, stored
+    )
     return _assemble(model.correlators, props, ranks, params)

@@ -10,7 +10,8 @@ from likewise.operators.model import Model
 TABLES = ("correlators", "items", "postings", "weights")
 
 
-def _folder(spark: SparkSession, path: str):
+def folder_of(spark: SparkSession, path: str):
+    """The file system of a path, and the path as that system takes it."""
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
@@ -18,7 +19,7 @@ def _folder(spark: SparkSession, path: str):
 
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Published versions, oldest first. A version counts once its marker is written."""
-    system, place = _folder(spark, f"{path}/published")
+    system, place = folder_of(spark, f"{path}/published")
     if not system.exists(place):
         return []
     names = [status.getPath().getName() for status in system.listStatus(place)]
@@ -40,11 +41,11 @@ def publish(model: Model, path: str, keep: int = 2, max_write_tasks: int | None
         if max_write_tasks:
             table = table.coalesce(max_write_tasks)
         table.write.mode("overwrite").parquet(f"{path}/v={version}/{name}")
-    system, marker = _folder(spark, f"{path}/published/v={version}")
+    system, marker = folder_of(spark, f"{path}/published/v={version}")
     system.create(marker).close()
     for old in known[: len(known) + 1 - keep]:
-        system.delete(_folder(spark, f"{path}/published/v={old}")[1], False)
-        system.delete(_folder(spark, f"{path}/v={old}")[1], True)
+        system.delete(folder_of(spark, f"{path}/published/v={old}")[1], False)
+        system.delete(folder_of(spark, f"{path}/v={old}")[1], True)
     return version
 
 
@@ -54,7 +55,11 @@ def load(spark: SparkSession, path: str) -> Model | None:
     if not known:
         return None
     base = f"{path}/v={known[-1]}"
-    return Model(**{name: spark.read.parquet(f"{base}/{name}") for name in TABLES})
+    tables = {name: spark.read.parquet(f"{base}/{name}") for name in TABLES}
+    system, bitmaps = folder_of(spark, f"{base}/bitmaps")
+    if system.exists(bitmaps):
+        tables["bitmaps"] = spark.read.parquet(f"{base}/bitmaps")
+    return Model(**tables)
 
 
 def load_documents(spark: SparkSession, path: str) -> DataFrame:
