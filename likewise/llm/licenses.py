@@ -46,7 +46,8 @@ TEMPLATES = {
 #: Share of a template's distinct words that a block must contain.
 THRESHOLD = 0.8
 
-#: A block is a line; a longer line gives windows of so many words, each half over the next.
+#: A block is a window of so many words of a text, each half over the next; lines end none. Every
+#: statement of half as many words lies whole in some block.
 WINDOW = 64
 
 # Between words: all ASCII but digits and letters.
@@ -71,27 +72,24 @@ def _needed(words: int, threshold: float) -> int:
     return max(1, math.ceil(round(threshold * words, 9)))
 
 
-def block_words(docs: DataFrame, vocabulary: list[str], window: int) -> DataFrame:
-    """(doc_id, row, held): of every block the distinct words that some template has."""
+def block_words(docs: DataFrame, vocabulary: list[str], window: int, least: int = 1) -> DataFrame:
+    """(doc_id, row, held): of every block the distinct words that some template has.
+
+    Blocks with fewer than ``least`` of them are left out.
+    """
     step = window // 2
     known = F.array(*[F.lit(w) for w in vocabulary])
-    lines = docs.select("doc_id", "row", F.explode(F.split("text", "\n", -1)).alias("line"))
-    # lower() folds a few more letters than A-Z, so it never loses a word; the words of the
-    # blocks that it leaves are then folded exactly.
-    split = F.array_remove(F.split(F.lower("line"), f"{_GAP}+", -1), "")
-    words = lines.select("doc_id", "row", split.alias("words"), "line").where(
-        F.size(F.array_intersect("words", known)) > 0
-    )
-    exact = F.array_remove(F.split(tx.ascii_lower(F.col("line")), f"{_GAP}+", -1), "")
+    split = F.array_remove(F.split(tx.ascii_lower(F.col("text")), f"{_GAP}+", -1), "")
     windows = F.sequence(
         F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("words") - window) / step)).cast("int")
     )
     return (
-        words.select("doc_id", "row", exact.alias("words"))
+        docs.select("doc_id", "row", split.alias("words"))
+        .where(F.size(F.array_intersect("words", known)) >= least)
         .select("doc_id", "row", "words", F.explode(windows).alias("w"))
         .select("doc_id", "row", F.slice("words", F.col("w") * step + 1, window).alias("block"))
         .select("doc_id", "row", F.array_intersect("block", known).alias("held"))
-        .where(F.size("held") > 0)
+        .where(F.size("held") >= least)
     )
 
 
@@ -153,7 +151,8 @@ def scan(
 
     Only A-Z are lower-cased; words are runs of digits, letters and anything beyond ASCII.
     A null text is an empty one, without words, places and labels, with score 0. The score is
-    1 where a phrase stands, else the largest containment found. Rows that repeat a doc_id are
+    1 where a phrase stands, else the largest containment found. Blocks are windows of ``window``
+    words, wherever lines end; a very long text has many. Rows that repeat a doc_id are
     scanned each for itself; equal ones give equal results. An empty table gives an empty one.
     Other columns are not looked at.
     """
@@ -164,7 +163,9 @@ def scan(
         F.xxhash64(text).alias("row"),
     )
     vocabulary = sorted({w for t in templates.values() for w in t.split()})
-    blocks = stage(block_words(texts, vocabulary, window), "license-blocks")
+    # no template is reached by fewer words
+    least = min(_needed(len(set(t.split())), threshold) for t in templates.values())
+    blocks = stage(block_words(texts, vocabulary, window, least), "license-blocks")
     found = (
         template_matches(blocks, templates, threshold)
         .groupBy("doc_id", "row", "label")

@@ -194,16 +194,11 @@ def _license_sql() -> str:
         ), base AS (
             SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi,
                    list_sort(list_distinct(list(label))) AS names FROM places GROUP BY doc_id
-        ), lines AS (
-            SELECT doc_id, unnest(string_split(translate(coalesce(text, ''), {_LOWER}), chr(10))) AS line
-            FROM documents
-        ), split AS (
-            SELECT doc_id, {split.format("line")} AS w FROM lines
         ), blocks AS (
             SELECT doc_id, w[o + 1 : o + {licenses.WINDOW}] AS b
             FROM (SELECT doc_id, w, unnest(range(0,
                 CAST(greatest(0, ceil((len(w) - {licenses.WINDOW}) / {step}.0)) AS BIGINT) + 1)) * {step} AS o
-                FROM split)
+                FROM docs)
         ), templates(label, own, needed) AS (VALUES {templates}
         ), found AS (
             SELECT doc_id, label, max(len(list_intersect(own, b)) / len(own)) AS share

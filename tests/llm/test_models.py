@@ -239,6 +239,41 @@ def test_rollup_against_a_loop(spark):
     }
 
 
+def test_snapshots_change_no_total_and_bound_what_a_batch_reads(spark):
+    schema = "doc_id long, version string, source string, lang string, n_tokens long, seq int"
+
+    def batch(n):
+        return spark.createDataFrame([(i, "v", "s", "en", 10 * n + i, 0) for i in range(n % 3, 40, 3)], schema)
+
+    kept = rollup.Rollup(spark, staged_path(spark, "rollup-kept"), compact_every=3)
+    plain = rollup.Rollup(spark, staged_path(spark, "rollup-plain"), compact_every=1000)
+    ledger = []
+    for n in range(10):
+        assert kept.apply(n, batch(n)) and plain.apply(n, batch(n))
+        assert kept.committed() == plain.committed() == list(range(n + 1))
+        assert {tuple(r) for r in kept.totals().collect()} == {tuple(r) for r in plain.totals().collect()}
+        ledger.append(kept._read("ledger", rollup._LEDGER).count())
+    assert {tuple(r) for r in kept.counts().collect()} == {tuple(r) for r in plain.counts().collect()}
+    assert max(ledger[3:]) <= 40 + 2 * 2 * 14  # as many documents as there are, and two batches of changes
+    assert kept.apply(4, batch(99)) is False
+    # A snapshot without its list of batches doesn't count.
+    plain.counts().write.parquet(f"{kept.folder}/snapshot=99/ledger")
+    assert {tuple(r) for r in kept.totals().collect()} == {tuple(r) for r in plain.totals().collect()}
+
+
+def test_sieve_loses_no_member_and_moves_few_others(spark):
+    from likewise.llm.sieve import sieve
+
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    rows = rows.unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS doc_id, 't' AS text"))
+    members = spark.range(0, 20_000, 97).select(F.col("id").alias("m"))
+    kept = sieve(rows, [F.col("doc_id")], members, [F.col("m")], bits=1 << 20)
+    ids = {r.doc_id for r in kept.collect()}
+    assert kept.columns == ["doc_id", "text"] and set(range(0, 20_000, 97)) <= ids and len(ids) < 260
+    assert sieve(rows, [F.col("doc_id")], members.limit(0), [F.col("m")]).count() == 0
+    assert "Exchange hashpartitioning(doc_id" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rollup_counts_are_those_of_the_library(spark, tokenizer):
     from likewise.llm import queries
 
