@@ -15,6 +15,8 @@ from likewise.operators.scoring import term_match, term_score
 from likewise.plans.recommend import recommend
 from likewise.operators.model import Model
 from likewise.plans.train import train
+from likewise.sources.history import write_history
+from likewise.sources.staging import staged_path
 from likewise.sources.tables import usage_events
 
 DATED = replace(PARAMS, available_date_name="available", expire_date_name="expires", date_name="date")
@@ -219,6 +221,34 @@ def date_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer(spark, sf_dir, asked, DATED, dated_model(spark, sf_dir))
 
 
+def date_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user asks at a second of their own."""
+    start = F.lit("2023-12-20T00:00:00").cast("timestamp")
+    moment = F.timestamp_seconds(F.unix_seconds(start) + key() * 7919 % (86_400 * 40))
+    asked = users(spark, sf_dir).withColumn("current_date", moment).withColumn("num", F.lit(30))
+    return answer(spark, sf_dir, asked, DATED, dated_model(spark, sf_dir))
+
+
+def narrow_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that few items pass: a size and not the user's brand, and a date range of some days."""
+    rules = F.array(rule("size", [size()], -1.0), rule("brand", [brand()], 0.0))
+    after = F.date_add(F.lit("2023-12-20").cast("date"), (key() % 40).cast("int")).cast("timestamp")
+    ranged = F.struct(F.lit("date").alias("name"), (after + F.expr("INTERVAL 9 DAYS")).alias("before"), after.alias("after"))
+    asked = users(spark, sf_dir).withColumn("fields", F.when(key() % 2 == 0, rules))
+    asked = asked.withColumn("date_range", F.when(key() % 2 == 1, ranged)).withColumn("current_date", F.lit("2024-01-20").cast("timestamp"))
+    return answer(spark, sf_dir, asked, DATED, dated_model(spark, sf_dir))
+
+
+def history_recs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers from a history laid out by user, written in two parts."""
+    log, path = full_log(spark, sf_dir), staged_path(spark, "history")
+    half = F.col("seq") % 2 == 0
+    write_history(log.where(half), PARAMS.event_names, path, buckets=16)
+    history = write_history(log.where(~half), PARAMS.event_names, path, buckets=16, append=True)
+    found = recommend(users(spark, sf_dir), usage_model(spark, sf_dir), history, PARAMS, NOW)
+    return found.select("query_id", "pos", "item", "score")
+
+
 def backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """More answers than matches: the whole catalog follows in ranking order."""
     return answer(spark, sf_dir, users(spark, sf_dir).withColumn("num", F.lit(400)))
@@ -297,6 +327,9 @@ QUERIES: dict[str, Query] = {
     "field_exclude": field_exclude,
     "rule_defaults": rule_defaults,
     "date_rules": date_rules,
+    "date_moments": date_moments,
+    "narrow_rules": narrow_rules,
+    "history_recs": history_recs,
     "backfill": backfill,
     "blacklist": blacklist,
     "exclude_items": exclude_items,

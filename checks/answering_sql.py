@@ -166,6 +166,20 @@ _DATES = """
       ELSE CAST(d.opens AS TIMESTAMP) > at_day AND (CAST(q.query_id AS BIGINT) % 3 = 0
         OR CAST(d.opens AS TIMESTAMP) < TIMESTAMP '2024-01-25') END)"""
 
+_MOMENTS = """
+  AND EXISTS (
+    SELECT 1 FROM day d, (SELECT TIMESTAMP '2023-12-20'
+        + to_seconds(CAST(q.query_id AS BIGINT) * 7919 % (86400 * 40)) AS asked_at)
+    WHERE d.item = i.item AND CAST(d.opens AS TIMESTAMP) <= asked_at AND asked_at < CAST(d.closes AS TIMESTAMP))"""
+
+_NARROW = """
+  AND EXISTS (
+    SELECT 1 FROM day d, (SELECT TIMESTAMP '2023-12-20' + to_days(CAST(CAST(q.query_id AS BIGINT) % 40 AS INTEGER)) AS at_day)
+    WHERE d.item = i.item AND CASE
+      WHEN CAST(q.query_id AS BIGINT) % 2 = 0
+        THEN CAST(d.opens AS TIMESTAMP) <= TIMESTAMP '2024-01-20' AND TIMESTAMP '2024-01-20' < CAST(d.closes AS TIMESTAMP)
+      ELSE CAST(d.opens AS TIMESTAMP) > at_day AND CAST(d.opens AS TIMESTAMP) < at_day + INTERVAL 9 DAY END)"""
+
 _STRANGERS = """(SELECT DISTINCT u, CAST(NULL AS VARCHAR) AS named FROM log
     UNION ALL SELECT c_name, c_name FROM customer)"""
 
@@ -232,6 +246,13 @@ SQL: dict[str, str] = {
         r=rules(("size", "['7']", 3.0), ("brand", f"[{_BRAND}]", 2.0), ("big", "['true']", 0.0))
     ),
     "date_rules": recs(extra=_DATES),
+    "date_moments": recs(asked(n_wanted="30"), extra=_MOMENTS),
+    "narrow_rules": recs(
+        r=f"""r AS (SELECT query_id, 0 AS nr, 'size' AS field, [{_SIZE}] AS vals, -1.0 AS bias FROM q WHERE {_N} % 2 = 0
+            UNION ALL SELECT query_id, 1, 'brand', [{_BRAND}], 0.0 FROM q WHERE {_N} % 2 = 0)""",
+        extra=_NARROW,
+    ),
+    "history_recs": recs(),
     "backfill": recs(asked(n_wanted="400")),
     "blacklist": recs(
         asked(itm="u", own_too="true", banned="['11', CAST(CAST(u AS BIGINT) + 5 AS VARCHAR)]"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ from likewise.operators import rankings as rk
 from likewise.operators import similarity as sim
 from likewise.operators.model import Model
 from likewise.operators.querying import recent_history
+from likewise.operators.stretches import StretchCounts
+from likewise.plans.increments import PairCounts
 from likewise.plans.train import clean_events, refresh_ranks, train, train_and_publish
 from likewise.sources import store
 from likewise.sources.delimited import parse_delimited_events, parse_ratings
@@ -128,7 +131,8 @@ def parse_ratings_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = order_log(spark, sf_dir).select(
         F.concat_ws("::", "entity_id", "target_entity_id", F.col("seq") % 5 + 1).alias("value"), "seq"
     )
-    return parse_ratings(lines, seed=3).select(
+    kinds = [["garden", "tools"], ["garden", "seeds", "spring"]]
+    return parse_ratings(lines, seed=3, categories=kinds).select(
         "event",
         "entity_type",
         "entity_id",
@@ -321,6 +325,18 @@ def top_correlators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(sim.correlators(interactions(order_log(spark, sf_dir)), indicators(FLAGS, max_correlators=10)))
 
 
+def incremental_correlators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usage log in three batches; the second brings users' events twice, the third takes one back."""
+    log = interactions(usage_log(spark, sf_dir)).withColumn("n", F.lit(1).cast("bigint"))
+    part = F.pmod(F.xxhash64("user", "event", "item"), F.lit(3))
+    twice = log.where(part == 2).withColumn("n", F.lit(2).cast("bigint"))
+    kept = PairCounts(spark, staged_path(spark, "pairs"), indicators(USAGE))
+    kept.apply(0, log.where(part == 0))
+    kept.apply(1, log.where(part == 1).unionByName(twice))
+    kept.apply(2, log.where(part == 2).withColumn("n", F.lit(-1).cast("bigint")))
+    return _ranked(kept.correlators())
+
+
 def per_indicator_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = [
         Indicator("purchase", max_correlators=4),
@@ -459,6 +475,21 @@ def sink_parallelism(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stretch_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three counted rankings from stretches of six hours, counted in three steps."""
+    log = usage_log(spark, sf_dir)
+    counts = StretchCounts(spark, staged_path(spark, "stretches"), 6 * 3600)
+    for upto in ("2024-01-10T07:00:00", "2024-01-21T00:00:00", "2024-01-28T13:30:00"):
+        counts.update(log, datetime.fromisoformat(upto))
+    rankings = [
+        Ranking("popular", event_names=("view",), duration="20 days"),
+        Ranking("trending", event_names=("view",), duration="20 days"),
+        Ranking("hot", event_names=("view",), duration="20 days"),
+    ]
+    none = spark.createDataFrame([], "item string, props map<string,array<string>>")
+    return rk.rank_table(rankings, log, none, NOW, stored=counts)
+
+
 def refresh_ranks_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rankings of a shorter window and the folded properties, on the trained model."""
     log = usage_log(spark, sf_dir).unionByName(property_log(spark, sf_dir))
@@ -516,5 +547,7 @@ QUERIES: dict[str, Query] = {
     "publish_model": publish_model,
     "sink_parallelism": sink_parallelism,
     "refresh_ranks": refresh_ranks_query,
+    "incremental_correlators": incremental_correlators,
+    "stretch_ranks": stretch_ranks,
     "build_postings": build_postings,
 }

@@ -96,12 +96,12 @@ SQL: dict[str, str] = {
                  FROM log),
         drawn AS (SELECT *,
                  CAST('0x' || substr(md5('3|' || t || '|' || CAST(seq AS VARCHAR)), 1, 8) AS BIGINT) < 2147483648 AS buys,
-                 CAST('0x' || substr(md5('4|' || t || '|' || CAST(seq AS VARCHAR)), 1, 8) AS BIGINT) < 2147483648 AS second
+                 CAST('0x' || substr(md5('4|' || t || '|' || CAST(seq AS VARCHAR)), 1, 8) AS BIGINT) < 2147483648 AS first
                  FROM line)
         SELECT CASE WHEN buys THEN 'buy' ELSE 'rate' END AS event, 'user' AS entity_type,
                u AS entity_id, i AS target, '-' AS category, seq FROM drawn
         UNION ALL
-        SELECT '$set', 'item', i, '-', CASE WHEN second THEN 'cat1|cat2' ELSE 'cat1|cat5' END, seq
+        SELECT '$set', 'item', i, '-', CASE WHEN first THEN 'garden|tools' ELSE 'garden|seeds|spring' END, seq
         FROM drawn""",
     "recent_user_history": f"""{ctes(LOG)}
         SELECT u AS user, e AS event, i AS item, {_AT} FROM log WHERE e IN ({USAGE})""",
@@ -186,6 +186,14 @@ SQL: dict[str, str] = {
         AND llr >= CASE event WHEN 'purchase' THEN 0.5 WHEN 'view' THEN 2.0 ELSE 0 END""",
     "top_correlators": f"""{ctes(ORDER_LOG, cut(FLAGS), pairs('N'), best(10))}
         SELECT item, event, correlator, llr, rnk FROM corr""",
+    "incremental_correlators": f"{USAGE_CORR} SELECT item, event, correlator, llr, rnk FROM corr",
+    "stretch_ranks": f"""{ctes(
+        LOG,
+        popular("pop", "'view'", "2024-01-11", NOW),
+        stretches("trend", "'view'", ["2024-01-11", "2024-01-21", "2024-01-31"]),
+        stretches("hot", "'view'", ["2024-01-11", "2024-01-17 16:00:00", "2024-01-24 08:00:00", "2024-01-31"]))}
+        SELECT item, pop.rank AS popRank, trend.rank AS trendRank, hot.rank AS hotRank
+        FROM pop FULL JOIN trend USING (item) FULL JOIN hot USING (item)""",
     "per_indicator_params": f"""{ctes(
         LOG, cut(NAMES), pairs('purchase'),
         best({'purchase': 4, 'view': 7, 'click': 3}, {'view': 1.0}))}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,16 +63,22 @@ def default_ranks(events: DataFrame, name: str = "defaultRank") -> DataFrame:
     )
 
 
-def parse_ratings(lines: DataFrame, seed: int = 0, separator: str = "::") -> DataFrame:
-    """``user::item::rating`` lines as a usage event and a category ``$set`` each.
+def parse_ratings(
+    lines: DataFrame,
+    seed: int = 0,
+    separator: str = "::",
+    categories: Sequence[Sequence[str]] = (),
+) -> DataFrame:
+    """``user::item::rating`` lines as usage events, and a ``$set`` each if there are categories.
 
-    The rating is ignored. Lines without two ids are left to :func:`rejected_lines`. Whether a line counts as "rate" or "buy", and which category
-    pair its item gets, is drawn from the line's text and number, so that it repeats.
+    The rating is ignored. Lines without two ids are left to :func:`rejected_lines`. Whether a
+    line counts as "rate" or "buy", and which of the lists of ``categories`` its item gets, is drawn
+    from the line's text and number, so that it repeats.
     """
     part = F.split(_line(), separator, -1)
     cut = lines.select("value", "seq", part.alias("_part")).where(F.size("_part") >= 2)
     buys = uniform(seed, F.col("value"), F.col("seq")) < 0.5
-    second = uniform(seed + 1, F.col("value"), F.col("seq")) < 0.5
+    drawn = uniform(seed + 1, F.col("value"), F.col("seq"))
     usage = cut.select(
         F.when(buys, "buy").otherwise("rate").alias("event"),
         F.lit("user").alias("entity_type"),
@@ -80,15 +88,17 @@ def parse_ratings(lines: DataFrame, seed: int = 0, separator: str = "::") -> Dat
         F.lit(None).cast("map<string,array<string>>").alias("properties"),
         "seq",
     )
-    # The category pairs an item may be given.
-    categories = F.array(F.lit("cat1"), F.when(second, "cat2").otherwise("cat5"))
+    if not categories:
+        return usage
+    lists = F.array(*[F.array(*[F.lit(c) for c in own]) for own in categories])
+    chosen = F.get(lists, F.floor(drawn * len(categories)).cast("int"))
     described = cut.select(
         F.lit("$set").alias("event"),
         F.lit("item").alias("entity_type"),
         F.col("_part")[1].alias("entity_id"),
         F.lit(None).cast("string").alias("target_entity_type"),
         F.lit(None).cast("string").alias("target_entity_id"),
-        F.create_map(F.lit("category"), categories).alias("properties"),
+        F.create_map(F.lit("category"), chosen).alias("properties"),
         "seq",
     )
     return usage.unionByName(described)

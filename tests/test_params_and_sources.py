@@ -73,12 +73,14 @@ def test_delimited_lines(spark):
 
 def test_ratings(spark):
     text = [f"{n % 7}::{n % 11}::{n % 5 + 1}" for n in range(200)]
-    got = parse_ratings(lines(spark, *text), seed=1)
+    lists = [["maps"], ["maps", "globes"], ["tales"]]
+    got = parse_ratings(lines(spark, *text), seed=1, categories=lists)
     kinds = {r.event: r["count"] for r in got.groupBy("event").count().collect()}
     assert kinds["$set"] == 200 and kinds["buy"] + kinds["rate"] == 200 and min(kinds.values()) > 50
     pairs = {tuple(r.properties["category"]) for r in got.where("event = '$set'").collect()}
-    assert pairs == {("cat1", "cat2"), ("cat1", "cat5")}
-    again = parse_ratings(lines(spark, *text).repartition(5), seed=1)
+    assert pairs == {tuple(x) for x in lists}
+    assert parse_ratings(lines(spark, *text)).where("event = '$set'").isEmpty()
+    again = parse_ratings(lines(spark, *text).repartition(5), seed=1, categories=lists)
     flat = ["event", "entity_id", F.to_json("properties"), "seq"]
     assert got.select(*flat).exceptAll(again.select(*flat)).isEmpty()
 
