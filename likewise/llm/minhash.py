@@ -157,7 +157,7 @@ def _links(link: int, both: Column, n_a: Column, n_b: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, link: int) -> DataFrame:
-    """The pairs (a, b) that link, by their full sets."""
+    """The pairs (a, b, label_a, label_b) that link, by their full sets."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
@@ -165,7 +165,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, link: int) -> DataFrame:
         pairs.join(left, "a")
         .join(right, "b")
         .where(_links(link, both, F.size("of_a"), F.size("of_b")))
-        .select("a", "b")
+        .select("a", "b", "label_a", "label_b")
     )
 
 
@@ -174,22 +174,26 @@ def _near(link: int, n_a: Column, n_b: Column) -> Column:
     return 100 * F.least(n_a, n_b) >= link * F.greatest(n_a, n_b)
 
 
-def _labelled(members: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """Members of the buckets that hold several components, with their component."""
-    if edges is None:
-        named = members.withColumn("label", F.col("node"))
-    else:
-        named = (
-            members.join(components(edges).withColumnRenamed("root", "label"), "node", "left")
-            .withColumn("label", F.coalesce("label", "node"))
-        )
-    mixed = (
-        named.groupBy("bucket")
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components."""
+    several = (
+        members.groupBy("bucket")
         .agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
         .where("lo != hi")
         .select("bucket")
     )
-    return named.join(mixed, "bucket")
+    return members.join(several, "bucket")
+
+
+def _relabelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members with their components after these links between components (label_a, label_b).
+
+    Only components that a link joins are looked at, not what they are made of.
+    """
+    roots = components(links.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+    roots = roots.withColumnRenamed("node", "label")
+    moved = members.join(roots, "label", "left").withColumn("label", F.coalesce("root", "label"))
+    return stage(moved.select("bucket", "node", "n", "label"), "minhash-members")
 
 
 def _open(members: DataFrame, sets: DataFrame, link: int) -> DataFrame:
@@ -208,20 +212,14 @@ def _open(members: DataFrame, sets: DataFrame, link: int) -> DataFrame:
         .where(100 * (F.col("n") - F.col("n_alone")) >= link * F.col("n"))
         .drop("n_alone")
     )
-    mixed = (
-        left.groupBy("bucket")
-        .agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        .where("lo != hi")
-        .select("bucket")
-    )
-    return left.join(mixed, "bucket")
+    return _mixed(left)
 
 
 def _compare(link: int):
     """Links between the two sides of one pair of blocks, members of different components."""
 
     def of(group: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int]] = []
+        found: list[tuple[int, int, int, int]] = []
         a = group[group["side"] != 1]
         b = group[group["side"] != 0]
         tokens = np.concatenate([np.asarray(x, np.int64) for x in b["shingles"]] or [np.zeros(0, np.int64)])
@@ -239,8 +237,9 @@ def _compare(link: int):
             at = np.minimum(np.searchsorted(own, tokens), n - 1)
             both = np.bincount(owner[own[at] == tokens], minlength=len(b))
             linked = may & (100 * both >= link * (size_b + n - both))
-            found += [(int(node), int(x)) for x in node_b[linked]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            others = zip(node_b[linked], label_b[linked], strict=True)
+            found += [(int(node), int(x), int(label), int(y)) for x, y in others]
+        return pd.DataFrame(found, columns=["a", "b", "label_a", "label_b"], dtype="int64")
 
     return of
 
@@ -274,7 +273,7 @@ def _rest(members: DataFrame, sets: DataFrame, link: int) -> DataFrame:
     return (
         sided.join(sets, "node")
         .groupBy("cluster", "lo", "hi")
-        .applyInPandas(_compare(link), "a long, b long")
+        .applyInPandas(_compare(link), "a long, b long, label_a long, label_b long")
     )
 
 
@@ -332,9 +331,9 @@ def near_groups(
         "minhash-sets",
     )
 
-    edges: DataFrame | None = None
+    members = members.withColumn("label", F.col("node"))
     for turn in range(rounds):
-        mixed = _labelled(members, edges)
+        mixed = _mixed(members)
         rank = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "node")
         pivots = mixed.groupBy("bucket").agg(
             F.min(F.struct(rank.alias("rank"), "node", "label", "n")).alias("pivot")
@@ -343,17 +342,20 @@ def near_groups(
             mixed.join(pivots, "bucket")
             .where("label != pivot.label")
             .where(_near(link, F.col("n"), F.col("pivot.n")))
-            .select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))
+            .select(
+                F.col("node").alias("a"),
+                F.col("pivot.node").alias("b"),
+                F.col("label").alias("label_a"),
+                F.col("pivot.label").alias("label_b"),
+            )
             .distinct()
         )
-        found = _verified(pairs, sets, link)
-        edges = stage(found if edges is None else found.unionByName(edges), "minhash-edges")
-    mixed = stage(_labelled(members, edges), "minhash-mixed")
-    mixed = stage(_open(mixed, sets, link), "minhash-open")
-    found = _rest(mixed, sets, link)
-    edges = stage(found if edges is None else found.unionByName(edges), "minhash-edges")
-
-    roots = components(edges).select("node", "root")
+        members = _relabelled(members, stage(_verified(pairs, sets, link), "minhash-links"))
+    mixed = stage(_open(stage(_mixed(members), "minhash-mixed"), sets, link), "minhash-open")
+    if not mixed.isEmpty():
+        members = _relabelled(members, stage(_rest(mixed, sets, link), "minhash-links"))
+
+    roots = members.select("node", F.col("label").alias("root")).distinct()
     named = classes.join(roots, "node", "left").select(
         "set_key", F.coalesce("root", "node").alias("root")
     )
