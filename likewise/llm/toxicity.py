@@ -22,7 +22,8 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -194,37 +195,68 @@ class Index:
         return place, best
 
 
+def _held(table: DataFrame) -> str:
+    """The name under which every executor holds a staged table of one file.
+
+    Executors fetch the file themselves; the driver knows no more of it than where it lies.
+    """
+    path = next(f for f in table.inputFiles())
+    table.sparkSession.sparkContext.addFile(path)
+    return path.rsplit("/", 1)[-1]
+
+
+@functools.lru_cache(maxsize=8)
+def _column(name: str, column: str) -> pa.ChunkedArray:
+    return pq.read_table(SparkFiles.get(name), columns=[column]).column(column)
+
+
+@functools.lru_cache(maxsize=2)
+def _numbers(name: str) -> dict[bytes, int]:
+    return {w: i for i, w in enumerate(_column(name, "word").to_pylist())}
+
+
+@functools.lru_cache(maxsize=2)
+def _index(name: str) -> Index:
+    return pickle.loads(_column(name, "index")[0].as_py())
+
+
 @dataclass
 class Model:
-    terms: list[bytes]
-    #: What a term counts: its inverse document frequency times what it says about the label.
-    term_weight: np.ndarray
-    #: The index of the examples, as a task has written it; none without examples.
-    packed: bytes | None = None
+    """What a score follows from: names of files that executors hold, and the calibration."""
+
+    #: The terms, in order; what each counts: its inverse document frequency times what it says about
+    #: the label; the index of the examples. None without examples.
+    term_file: str | None = None
+    weight_file: str | None = None
+    index_file: str | None = None
     #: Votes and the score that each of them, up to the next, stands for.
     votes: np.ndarray = field(default_factory=lambda: np.zeros(1))
     scores: np.ndarray = field(default_factory=lambda: np.zeros(1))
     #: The score where no example shares a term.
     unknown: float = 0.0
 
-    @functools.cached_property
-    def index(self) -> Index | None:
-        return None if self.packed is None else pickle.loads(self.packed)
+    @property
+    def terms(self) -> list[bytes]:
+        return [] if self.term_file is None else _column(self.term_file, "word").to_pylist()
 
-    @functools.cached_property
+    @property
     def number(self) -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(self.terms)}
+        return _numbers(self.term_file)
+
+    @property
+    def index(self) -> Index | None:
+        return None if self.index_file is None else _index(self.index_file)
 
     def vectors(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """How many terms each text has, all terms, and their TF-IDF weights, of length 1 per text."""
-        get, none = self.number.get, repeat(-1)
+        get, none, n_terms = self.number.get, repeat(-1), len(self.number)
         found = [list(map(get, words(text), none)) for text in texts]
         text = np.repeat(np.arange(len(texts)), [len(x) for x in found])
         term = np.fromiter(chain.from_iterable(found), np.int64, len(text))
         known = term >= 0
-        key, count = np.unique(text[known] * len(self.terms) + term[known], return_counts=True)
-        text, term = np.divmod(key, max(1, len(self.terms)))
-        weight = (1 + np.log(count)) * self.term_weight[term]
+        key, count = np.unique(text[known] * n_terms + term[known], return_counts=True)
+        text, term = np.divmod(key, max(1, n_terms))
+        weight = (1 + np.log(count)) * _column(self.weight_file, "weight").to_numpy()[term]
         norm = np.sqrt(np.bincount(text, weight * weight, minlength=len(texts)))
         return np.bincount(text, minlength=len(texts)), term, weight / norm[text]
 
@@ -296,13 +328,12 @@ def _example_words(examples: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
-def _frequencies(docs: DataFrame, terms: list[bytes]) -> np.ndarray:
-    """In how many documents each term is found: counted in every task, then summed."""
-    shared = docs.sparkSession.sparkContext.broadcast(Model(terms, np.ones(0)))
+def _frequencies(docs: DataFrame, model: Model) -> DataFrame:
+    """(term, n): in how many documents each term is found, counted in every task, then summed."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.number.get
-        n = np.zeros(len(shared.value.terms), np.int64)
+        get = model.number.get
+        n = np.zeros(len(model.number), np.int64)
         for batch in batches:
             for text in batch.column("text").cast(pa.binary()):
                 found = set(map(get, set(words(text.as_py() or b""))))
@@ -315,11 +346,37 @@ def _frequencies(docs: DataFrame, terms: list[bytes]) -> np.ndarray:
         )
 
     counted = docs.select("text").mapInArrow(of, "term long, n long")
-    summed = counted.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    shared.destroy()
-    out = np.zeros(len(terms))
-    out[summed["term"].to_numpy()] = summed["n"].to_numpy()
-    return out
+    return counted.groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def _weighted(terms: DataFrame, frequencies: DataFrame, n_docs: int, n1: int, n0: int) -> DataFrame:
+    """(weight): what the terms count, in their order."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n = (batch.column(c).to_numpy().astype(float) for c in ("a", "b", "n"))
+            idf = np.log((n_docs + 1) / (n + 1)) + 1
+            weight = idf * np.sqrt(1 + g_statistic(a, b, n1, n0))
+            yield pa.RecordBatch.from_arrays([pa.array(weight)], names=["weight"])
+
+    found = terms.drop("word").join(frequencies, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return found.repartition(1).sortWithinPartitions("term").mapInArrow(of, "weight double")
+
+
+def _numbered(found: DataFrame) -> DataFrame:
+    """(term, word, a, b): the words in order and their numbers."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = 0
+        for batch in batches:
+            number = pa.array(np.arange(first, first + len(batch)), pa.int64())
+            first += len(batch)
+            columns = [number, *(batch.column(c) for c in ("word", "a", "b"))]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "word", "a", "b"])
+
+    # the words of a bounded number of examples
+    ordered = found.repartition(1).sortWithinPartitions("word")
+    return ordered.mapInArrow(of, "term long, word binary, a long, b long")
 
 
 def g_statistic(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
@@ -343,13 +400,11 @@ def fit(
 ) -> Model:
     """Learn from the labelled rows given, texts being looked up in ``docs`` by doc_id.
 
-    The driver receives the words of at most ``2 * per_label`` examples with their counts, the
-    index of these examples as a task has written it, and a vote for each; vectors stay with the
-    executors. Without labelled rows of both kinds every score is the share of toxic ones among those
-    there are, 0 if there are none.
+    The examples' terms, weights and index are written by executors and read by executors; the
+    driver receives a vote for each of at most ``2 * per_label`` examples. Without labelled rows of both
+    kinds every score is the share of toxic ones among those there are, 0 if there are none.
     """
     bound_batches(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
     examples = _examples(docs, labelled, per_label)
     share = {
         r["toxic"]: r["n"]
@@ -358,40 +413,23 @@ def fit(
         .agg(F.count("*").alias("n"))
         .collect()
     }
-    held = _example_words(examples).orderBy("word").toArrow()
-    model = Model(held["word"].to_pylist(), np.ones(len(held)))
+    model = Model()
     total = share.get(0, 0) + share.get(1, 0)
     model.unknown = share.get(1, 0) / total if total else 0.0
-    if not model.terms:
+    terms = stage(_numbered(_example_words(examples)), "toxicity-terms")
+    if terms.isEmpty():
         return model
     sizes = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    a, b = held["a"].to_numpy().astype(float), held["b"].to_numpy().astype(float)
-    said = g_statistic(a, b, sizes.get(1, 0), sizes.get(0, 0))
-    idf = np.log((docs.count() + 1) / (_frequencies(docs, model.terms) + 1)) + 1
-    model.term_weight = idf * np.sqrt(1 + said)
-    n_terms = len(model.terms)
-    del held, a, b, said, idf
-
-    shared = context.broadcast(model)
-    vectors = stage(_vectors(examples, shared), "toxicity-vectors")
-
-    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(batches).sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
-        made = [
-            (t.values.to_numpy().astype(np.int64), w.values.to_numpy())
-            for t, w in zip(rows["t"], rows["w"], strict=True)
-        ]
-        toxic = rows["toxic"].to_numpy().astype(np.float64)
-        index = Index.of(rows["doc_id"].to_numpy(), toxic, made, n_terms)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(index)], pa.binary())], names=["index"])
-
+    model.term_file = _held(terms)
+    frequencies = _frequencies(docs, model)
+    weights = _weighted(terms, frequencies, docs.count(), sizes.get(1, 0), sizes.get(0, 0))
+    model.weight_file = _held(stage(weights, "toxicity-weights"))
+    vectors = stage(_vectors(examples, model), "toxicity-vectors")
     # At most 2 * per_label rows, so one task can take them.
-    model.packed = vectors.coalesce(1).mapInArrow(indexed, "index binary").first()["index"]
-    shared.destroy()
+    packed = vectors.coalesce(1).mapInArrow(_indexed(model), "index binary")
+    model.index_file = _held(stage(packed, "toxicity-index"))
     # What a vote means: the examples' own, each without itself, weighted back to all rows.
-    shared = context.broadcast(model)
-    rows = _own_votes(vectors, shared, nearest).toArrow()
-    shared.destroy()
+    rows = _own_votes(vectors, model, nearest).toArrow()
     truth = rows["toxic"].to_numpy().astype(float)
     stands_for = np.array([share.get(y, 0) / max(1, sizes.get(y, 0)) for y in (0, 1)])
     weight = stands_for[truth.astype(int)]
@@ -401,18 +439,33 @@ def fit(
         model.votes, model.scores = isotonic(vote[~lone], truth[~lone], weight[~lone])
     if lone.any():
         model.unknown = float(truth[lone] @ weight[lone] / weight[lone].sum())
-    del rows
-    give_back()
     return model
 
 
-def _vectors(examples: DataFrame, shared: Broadcast) -> DataFrame:
+def _indexed(model: Model):
+    """The index of all vectors that a task is given, as one row."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches).sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+        made = [
+            (t.values.to_numpy().astype(np.int64), w.values.to_numpy())
+            for t, w in zip(rows["t"], rows["w"], strict=True)
+        ]
+        toxic = rows["toxic"].to_numpy().astype(np.float64)
+        index = Index.of(rows["doc_id"].to_numpy(), toxic, made, len(model.number))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(index)], pa.binary())], names=["index"])
+        give_back()
+
+    return of
+
+
+def _vectors(examples: DataFrame, model: Model) -> DataFrame:
     """(doc_id, toxic, t, w): the examples' terms and weights."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            sizes, t, w = shared.value.vectors([x or b"" for x in texts])
+            sizes, t, w = model.vectors([x or b"" for x in texts])
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -429,11 +482,10 @@ def _vectors(examples: DataFrame, shared: Broadcast) -> DataFrame:
     return plain.mapInArrow(of, "doc_id long, toxic int, t array<int>, w array<double>")
 
 
-def _own_votes(vectors: DataFrame, shared: Broadcast, nearest: int) -> DataFrame:
+def _own_votes(vectors: DataFrame, model: Model, nearest: int) -> DataFrame:
     """(toxic, vote): what the other examples say about every example; NaN if none shares a term."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
             votes = []
             ids = batch.column("doc_id").to_pylist()
@@ -470,10 +522,8 @@ def score(docs: DataFrame, model: Model, nearest: int = NEAREST) -> DataFrame:
     a word of any example have the score that examples without neighbours have on average, and no
     evidence. An empty table gives an empty one. Other columns are not looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
             scores, ids, cosines = [], [], []
             for place, cosine in _nearest(batch.column("text"), model, nearest):
@@ -503,13 +553,12 @@ def drop_toxic(docs: DataFrame, labelled: DataFrame, threshold: float = 0.5) ->
     Every row is judged by its own text, whatever its id; nothing is shuffled.
     """
     model = fit(docs, labelled.where(~held_out()))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = _nearest(batch.column(place), shared.value, NEAREST)
-            low = [shared.value.score(*x) < threshold for x in found]
+            found = _nearest(batch.column(place), model, NEAREST)
+            low = [model.score(*x) < threshold for x in found]
             yield batch.filter(pa.array(low, pa.bool_()))
             give_back()
 
