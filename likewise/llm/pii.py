@@ -86,19 +86,42 @@ def confirmed(kind: Column, match: Column) -> Column:
     )
 
 
-def _confirmed_whole() -> Column:
-    """1.0 where a candidate as a whole has the strict form of its kind and passes the check.
+def _strict(match: Column) -> Column:
+    """Whether a candidate as a whole has the strict form of its kind and passes the check.
 
-    A secret has no strict form: it counts as confirmed when it is 32 hex digits or more.
+    A secret has no strict form: it passes when it is 32 hex digits or more.
     """
-    kind, match = F.col("kind"), F.col("match")
+    kind = F.col("kind")
     forms = {k: p.replace(rf"(?:(?<!{_LOCAL})|\G)", "").replace(r"(?:(?<![0-9])|\G)", "") for k, p in STRICT.items()}
     forms["secret"] = "[0-9a-fA-F]{32,}"
     formed = F.lit(False)
     for i, k in enumerate(KINDS):
         formed = formed | ((kind == i) & match.rlike(f"^(?:{forms[k]})$"))
     names = F.array(*[F.lit(k) for k in KINDS])
-    return (formed & confirmed(names[kind], match)).cast("double")
+    return formed & confirmed(names[kind], match)
+
+
+def _unveiled(match: Column) -> Column:
+    """A candidate as it may have been before it was written in a veiled form."""
+    forms = {
+        "email": F.regexp_replace(match, r"\x20?[(\[]at[)\]]\x20?", "@"),
+        "card": F.regexp_replace(match, r"\.", ""),
+        "phone": F.concat(F.lit("+"), F.ltrim(match, F.lit("+"))),
+        "secret": F.when(match.rlike("^[0-9a-fA-F]{16,}$"), F.repeat(match, F.lit(2))).otherwise(match),
+    }
+    form = match
+    for k, changed in forms.items():
+        form = F.when(F.col("kind") == KINDS.index(k), changed).otherwise(form)
+    return form
+
+
+def _label() -> Column:
+    """1.0 for what the strict rules confirm, 0.0 for what they don't; null where nothing is known.
+
+    Nothing is known of a candidate that the rules would confirm in another form.
+    """
+    match = F.col("match")
+    return F.when(_strict(match), 1.0).when(~_strict(_unveiled(match)), 0.0)
 
 
 #: What a text must hold to hold a span of the kind at all: a cheaper search than the patterns'.
@@ -213,14 +236,14 @@ def features(rows: DataFrame) -> DataFrame:
 def learn(candidates: DataFrame, sample: int = SAMPLE) -> tuple[GBTClassificationModel, list[float]] | None:
     """The trees, and for every kind the probability from which a candidate is taken.
 
-    Copies of a candidate are learnt from once, an equal share of the sample for each kind and
+    Candidates without a label are neither learnt from nor judged. Copies of one are learnt from once, an equal share of the sample for each kind and
     label, and confirmed ones in a veiled form as well. The thresholds count all candidates that the
     trees haven't seen, three in ten at least, veiled forms included. None where there are no
     candidates of one of the two classes to learn from.
     """
     form = ["kind", "match", "before", "after"]
     distinct = stage(
-        candidates.groupBy(*form, "label").agg(F.count(F.lit(1)).alias("copies")), "pii-distinct"
+        candidates.where("label IS NOT NULL").groupBy(*form, "label").agg(F.count(F.lit(1)).alias("copies")), "pii-distinct"
     )
     order = F.xxhash64("match", "before", "after")
     strata = [
@@ -290,7 +313,7 @@ def find(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         "pii-found",
     )
     proposed = found.select("doc_id", "row", F.explode("proposed").alias("p"))
-    candidates = proposed.select("doc_id", "row", "p.*").withColumn("label", _confirmed_whole())
+    candidates = proposed.select("doc_id", "row", "p.*").withColumn("label", _label())
     learnt = learn(candidates, sample)
 
     base = found.select("doc_id", "row", F.explode("base").alias("b")).select(
