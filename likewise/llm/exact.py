@@ -31,22 +31,22 @@ STATE = {
 BATCH_BYTES = 4 << 30
 
 
-def placed(docs: DataFrame) -> DataFrame:
-    """``docs`` and a column ``_place``: the file and row that hold a row's content.
+def placed(docs: DataFrame, place: str) -> DataFrame:
+    """``docs`` and a column ``place``: the file and row that hold a row's content.
 
     A frame that isn't a plain scan of files is written to the shared folder first.
     """
     if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
         docs = stage(docs, "exact-documents")
     source = docs.metadataColumn("_metadata")
-    return docs.withColumn("_place", F.struct(source["file_path"], source["row_index"]))
+    return docs.withColumn(place, F.struct(source["file_path"], source["row_index"]))
 
 
-def _texts(rows: DataFrame) -> DataFrame:
+def _texts(rows: DataFrame, place: str) -> DataFrame:
     return rows.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         tx.whole(F.col("text")).alias("text"),
-        F.col("_place").alias("place"),
+        F.col(place).alias("place"),
     )
 
 
@@ -117,13 +117,14 @@ def exact_groups(
     place comes last is kept, so every group keeps exactly one row. An empty table gives an
     empty one. Other columns of ``docs`` are not looked at.
     """
-    return _groups(placed(docs), digest, batch_bytes)
+    place = tx.unused(docs, "_place")
+    return _groups(placed(docs, place), place, digest, batch_bytes)
 
 
 def _groups(
-    rows: DataFrame, digest: Callable[[Column], Column], batch_bytes: int
+    rows: DataFrame, place: str, digest: Callable[[Column], Column], batch_bytes: int
 ) -> DataFrame:
-    spark, texts = rows.sparkSession, _texts(rows)
+    spark, texts = rows.sparkSession, _texts(rows, place)
     arrivals = staged_path(spark, "exact-arrivals")
     texts.select("doc_id", "place", digest(F.col("text")).alias("digest")).write.parquet(arrivals)
     prints = spark.read.parquet(arrivals)
@@ -166,8 +167,14 @@ def _groups(
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all their columns as they are."""
-    rows = placed(docs)
-    gone = _groups(rows, tx.digest, BATCH_BYTES).where(~F.col("kept"))
-    gone = stage(gone.select(F.col("place").alias("_place")), "exact-dropped")
-    return rows.join(gone, "_place", "left_anti").select(*[rows[c] for c in docs.columns])
+    """The rows of ``docs`` that stay, all their columns as they are.
+
+    Null texts count as empty ones, rows without an id as those of the smallest id; of rows that
+    repeat a text and an id one stays. Very long texts are compared whole. An empty table gives
+    an empty one.
+    """
+    place = tx.unused(docs, "_place")
+    rows = placed(docs, place)
+    gone = _groups(rows, place, tx.digest, BATCH_BYTES).where(~F.col("kept"))
+    gone = stage(gone.select(F.col("place").alias(place)), "exact-dropped")
+    return rows.join(gone, place, "left_anti").select(*[rows[c] for c in docs.columns])

@@ -203,15 +203,20 @@ def copies(rate: Column, *key: Column) -> Column:
 
 
 def resample(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float]) -> DataFrame:
-    """The rows of ``docs``, each as often as its rate says and at least once."""
+    """The rows of ``docs``, each as often as its rate says and at least once, all columns as they are.
+
+    A null doc_id is an id like any other; rows that repeat one come all as often as the row with
+    the largest number. Null, empty and very long texts have their rates like any other. An empty
+    table gives an empty one.
+    """
     rates = mix(docs, labelled, weights, keep_all=True).select(
-        F.col("doc_id").alias("_id"), F.greatest(copies(F.col("rate"), F.col("doc_id")), F.lit(1)).alias("_n")
+        F.col("doc_id").alias("id"), F.greatest(copies(F.col("rate"), F.col("doc_id")), F.lit(1)).alias("n")
     )
+    own, n, turn = (tx.unused(docs, name) for name in ("_id", "_n", "_turn"))
     # Rows that repeat an id have the largest of their numbers.
-    more = rates.groupBy("_id").agg(F.max("_n").alias("_n")).where("_n > 1")
+    more = rates.groupBy(F.col("id").alias(own)).agg(F.max("n").alias(n)).where(F.col(n) > 1)
     more = stage(more, "mixing-repeated")
-    same = docs["doc_id"].cast("bigint").eqNullSafe(more["_id"])
-    names = docs.columns
+    same = docs["doc_id"].cast("bigint").eqNullSafe(more[own])
     taken = docs.join(more, same, "left")
-    turns = F.sequence(F.lit(1), F.coalesce("_n", F.lit(1)))
-    return taken.select(*[docs[c] for c in names], F.explode(turns).alias("_turn")).drop("_turn")
+    turns = F.sequence(F.lit(1), F.coalesce(n, F.lit(1)))
+    return taken.select(*[docs[c] for c in docs.columns], F.explode(turns).alias(turn)).drop(turn)

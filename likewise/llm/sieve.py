@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from likewise.llm.text import unused
+
 #: Bits of the sieve, an eighth as many bytes: this is what is broadcast, whatever goes into it.
 BITS = 1 << 26
 _BITMAP = 1 << 15  # bits of one of Spark's bitmaps
@@ -23,14 +25,14 @@ def sieve(
     the same types are compared, nulls are left out of the hash, so they never lose a row. The slots
     are bitmaps of 4 KB built in the executors; together they have ``bits`` bits at most.
     """
-    slots = members.select(_slot(member, bits).alias("_slot"))
-    maps = slots.groupBy(F.expr(f"_slot div {_BITMAP}").alias("_map")).agg(
-        F.bitmap_construct_agg(F.expr(f"_slot % {_BITMAP}")).alias("_bits")
+    at, which, bits_of = (unused(rows, name) for name in ("_at", "_map", "_bits"))
+    slots = members.select(_slot(member, bits).alias("slot"))
+    maps = slots.groupBy(F.expr(f"slot div {_BITMAP}").alias(which)).agg(
+        F.bitmap_construct_agg(F.expr(f"slot % {_BITMAP}")).alias(bits_of)
     )
-    byte = F.expr(f"conv(hex(substring(_bits, cast(_at % {_BITMAP} div 8 + 1 as int), 1)), 16, 10)")
-    told = byte.cast("int").bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0
-    own = rows.columns
-    joined = rows.withColumn("_at", _slot(key, bits)).join(
-        F.broadcast(maps), F.expr(f"_at div {_BITMAP}") == F.col("_map")
+    byte = F.expr(f"conv(hex(substring({bits_of}, cast({at} % {_BITMAP} div 8 + 1 as int), 1)), 16, 10)")
+    told = byte.cast("int").bitwiseAND(F.expr(f"shiftleft(1, cast({at} % 8 as int))")) != 0
+    joined = rows.withColumn(at, _slot(key, bits)).join(
+        F.broadcast(maps), F.expr(f"{at} div {_BITMAP}") == F.col(which)
     )
-    return joined.where(told).select(*[f"`{c}`" for c in own])
+    return joined.where(told).select(*[f"`{c}`" for c in rows.columns])

@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from likewise.llm import bpe, mixing, rollup, vectors
+from likewise.llm import bpe, exact, mixing, rollup, vectors
 from likewise.sources.staging import staged_path
 
 SF = "/root/testdata/sf0.001"
@@ -315,6 +315,19 @@ def test_pipeline(spark):
     assert len(last) == mixed.count() and all(r.round_trip for r in last)
 
 
+def test_helper_columns_take_no_name_that_is_there(spark):
+    extra = {"_n": "n", "_turn": "turn", "_id": "id", "_place": "place", "__place": "more"}
+    docs = samples.docs(spark)
+    docs = docs.withColumns({name: F.lit(value) for name, value in extra.items()})
+    known = spark.createDataFrame([(1, "a"), (5, "b"), (7, "b")], "doc_id long, domain string")
+    for rows in (exact.drop_copies(docs), mixing.resample(docs, known, {"a": 0.6, "b": 0.4})):
+        assert rows.columns == docs.columns
+        found = rows.collect()
+        assert {tuple(r[name] for name in extra) for r in found} == {tuple(extra.values())}
+    assert len(found) >= docs.count()
+    assert exact.exact_groups(docs).count() == docs.count()
+
+
 def test_pipeline_stages_with_awkward_rows(spark):
     docs = samples.docs(spark)
     for _, stage in corpus_pipeline.STAGES:
