@@ -215,6 +215,11 @@ def _numbers(name: str) -> dict[bytes, int]:
     return {w: i for i, w in enumerate(_column(name, "word").to_pylist())}
 
 
+@functools.lru_cache(maxsize=2)
+def _weights(name: str) -> np.ndarray:
+    return _column(name, "weight").to_numpy()
+
+
 @functools.lru_cache(maxsize=2)
 def _index(name: str) -> Index:
     return pickle.loads(_column(name, "index")[0].as_py())
@@ -256,7 +261,7 @@ class Model:
         known = term >= 0
         key, count = np.unique(text[known] * n_terms + term[known], return_counts=True)
         text, term = np.divmod(key, max(1, n_terms))
-        weight = (1 + np.log(count)) * _column(self.weight_file, "weight").to_numpy()[term]
+        weight = (1 + np.log(count)) * _weights(self.weight_file)[term]
         norm = np.sqrt(np.bincount(text, weight * weight, minlength=len(texts)))
         return np.bincount(text, minlength=len(texts)), term, weight / norm[text]
 
