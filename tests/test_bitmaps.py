@@ -244,3 +244,10 @@ def test_boosts_are_pruned_without_losing_an_answer(spark, monkeypatch):
         assert [i for q, _, i, _ in answers[0] if q == f"s{n}"] == best
     # matching everything would meet two thirds of the items for every query
     assert listed[0] < asked.count() * 7 * (7 + 2 + 60) and listed[0] < asked.count() * 3_000 // 3
+
+
+def test_places_meet_before_they_become_bitmaps(spark):
+    """No bitmap of 4 KB per task of the scan and a few places goes through a shuffle."""
+    placed = spark.createDataFrame([("f", t, p) for t in "ab" for p in range(1, 50)], "field string, term string, pos bigint")
+    text = bm._bitmaps(placed)._jdf.queryExecution().executedPlan().toString()
+    assert text.rindex("bitmap_construct_agg") < text.index("Exchange hashpartitioning(field")

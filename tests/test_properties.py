@@ -183,3 +183,12 @@ def test_empty_event_types_are_dropped(spark):
     log = usage(spark, ("b", "u", "x", 0), ("c", "u", "x", 0)).selectExpr("event")
     got = ev.event_inventory(log, ["a", "b", "c"]).orderBy("position").collect()
     assert [(r.event, r.position) for r in got] == [("b", 1), ("c", 2)]
+
+
+def test_a_small_file_of_many_items_is_folded_by_many_tasks(spark):
+    """Events are dealt out before they become a row per property, which is sorted."""
+    log = plog(spark, *[("$set", f"i{n}", {"a": ["1"], "b": [str(n)]}, 0) for n in range(200)]).coalesce(1)
+    found = pr.aggregate_properties(log)
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Generate explode") < text.index("RepartitionByExpression [item")
+    assert folded(log) == {f"i{n}": {"a": ["1"], "b": [str(n)]} for n in range(200)}
