@@ -20,9 +20,18 @@ ZERO_LLR = 1e-6
 #: Acts in a block of a user's basket.
 BASKET = 256
 
+#: Users up to which an item is light: its users' baskets meet in one task.
+LIGHT = 256
+
+#: Pairs that a task counts at a time, about.
+PAIRS = 1 << 21
+
 
 def _baskets(interactions: DataFrame, primary: str) -> DataFrame:
-    """(user, block, n_blocks, own, acts): a user's acts in blocks of about ``BASKET``."""
+    """(user, block, n_blocks, own, lists): a user's acts in blocks of about ``BASKET``.
+
+    ``lists`` has the targets of each event type and their numbers of users side by side.
+    """
     busy = (
         interactions.groupBy("user")
         .agg(F.ceil(F.count("*") / F.lit(BASKET)).cast("int").alias("n_blocks"))
@@ -30,6 +39,16 @@ def _baskets(interactions: DataFrame, primary: str) -> DataFrame:
     )
     n_blocks = F.coalesce("n_blocks", F.lit(1)).alias("n_blocks")
     block = F.pmod(F.xxhash64("event", "item"), F.col("n_blocks")).cast("int").alias("block")
+
+    def listed(event: Column) -> Column:
+        of = F.filter("acts", lambda a: a["event"] == event)
+        return F.struct(
+            event.alias("event"),
+            F.transform(of, lambda a: a["item"]).alias("items"),
+            F.transform(of, lambda a: a["n_users"]).alias("n_users"),
+        )
+
+    events = F.array_distinct(F.transform("acts", lambda a: a["event"]))
     return (
         interactions.join(busy, "user", "left")
         .select("user", "event", "item", "n_users", n_blocks)
@@ -40,44 +59,65 @@ def _baskets(interactions: DataFrame, primary: str) -> DataFrame:
             ).alias("own"),
             F.collect_list(F.struct("event", "item", "n_users")).alias("acts"),
         )
+        .select("user", "block", "n_blocks", "own", F.transform(events, listed).alias("lists"))
     )
 
 
-def pair_counts(interactions: DataFrame, primary: str) -> DataFrame:
-    """(item, event, correlator, n_both, n_item, n_correlator) for all events at once.
-
-    ``interactions`` carry ``n_users`` (from :func:`with_margins`). No basket is ever one
-    row: a user's acts are dealt into blocks, and blocks meet blocks of the same user. The
-    pairs are counted where they arise and again after the shuffle on all of (item, event,
-    correlator), so no item's pairs go to one task.
-    """
-    # a fixed number of tasks: merging small baskets by their size, as adaptive
-    # execution would, ignores that each is about to grow quadratically
-    tasks = int(interactions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    baskets = stage(_baskets(interactions, primary), "baskets")
-    others = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-    left = baskets.where(F.size("own") > 0).select("user", others, "own")
-    right = baskets.select("user", F.col("block").alias("other"), "acts")
-    met = left.repartition(tasks, "user", "other").join(
-        right.repartition(tasks, "user", "other"), ["user", "other"]
-    )
+def _counted(met: DataFrame, primary: str) -> DataFrame:
+    """Pairs of an item with the acts beside it, counted."""
     pairs = (
-        met.select(F.explode("own").alias("a"), "acts")
-        .select("a", F.explode("acts").alias("b"))
-        .where((F.col("b.event") != primary) | (F.col("b.item") != F.col("a.item")))
+        met.select("item", "n_item", F.explode("lists").alias("l"))
+        .select("item", "n_item", "l.event", F.explode(F.arrays_zip("l.items", "l.n_users")).alias("b"))
         .select(
-            F.col("a.item").alias("item"),
-            F.col("b.event").alias("event"),
-            F.col("b.item").alias("correlator"),
-            F.col("a.n_users").alias("n_item"),
+            "item",
+            "event",
+            F.col("b.items").alias("correlator"),
+            "n_item",
             F.col("b.n_users").alias("n_correlator"),
         )
+        .where((F.col("event") != primary) | (F.col("correlator") != F.col("item")))
     )
     return pairs.groupBy("item", "event", "correlator", "n_item", "n_correlator").agg(
         F.count("*").alias("n_both")
     )
 
 
+def pair_counts(interactions: DataFrame, primary: str, secondary: bool = False) -> DataFrame:
+    """(item, event, correlator, n_both, n_item, n_correlator) for all events at once.
+
+    ``interactions`` carry ``n_users`` (from :func:`with_margins`). With ``secondary``, pairs with
+    targets of the primary event itself are left out. No basket is ever one row: a user's acts are
+    dealt into blocks, and blocks meet blocks of the same user. What a light item meets goes to
+    its task as lists, and becomes pairs only there: hardly any two of them are the same, so
+    combining them before would shrink nothing. The pairs of other items are counted where they
+    arise and again after the shuffle on all of (item, event, correlator), so no such item's pairs go
+    to one task.
+    """
+    # a fixed number of tasks: merging small baskets by their size, as adaptive
+    # execution would, ignores that each is about to grow quadratically
+    tasks = int(interactions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    baskets = stage(_baskets(interactions, primary), "baskets")
+    acts = F.aggregate("lists", F.lit(0).cast("bigint"), lambda n, x: n + F.size(x["items"]))
+    n_pairs = baskets.agg(F.sum(F.size("own") * acts * F.col("n_blocks"))).first()[0] or 0
+    lists = F.col("lists")
+    if secondary:
+        lists = F.filter("lists", lambda x: x["event"] != primary)
+    right = baskets.select("user", F.col("block").alias("other"), lists.alias("lists"))
+    right = right.where(F.size("lists") > 0).repartition(tasks, "user", "other")
+    others = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
+
+    def met(of: Column) -> DataFrame:
+        left = baskets.select("user", "n_blocks", of.alias("own")).where(F.size("own") > 0)
+        left = left.select("user", others, "own").repartition(tasks, "user", "other")
+        both = left.join(right, ["user", "other"]).select(F.explode("own").alias("a"), "lists")
+        return both.select(F.col("a.item").alias("item"), F.col("a.n_users").alias("n_item"), "lists")
+
+    light = met(F.filter("own", lambda a: a["n_users"] <= LIGHT))
+    light = light.repartition(max(tasks, -(-n_pairs // PAIRS)), "item")
+    common = met(F.filter("own", lambda a: a["n_users"] > LIGHT))
+    return _counted(common, primary).unionByName(_counted(light, primary))
+
+
 def cooccurrence_counts(interactions: DataFrame, primary: str) -> DataFrame:
     """Users having both of two primary items; an item is not paired with itself."""
     own = interactions.where(F.col("event") == primary)
@@ -86,10 +126,8 @@ def cooccurrence_counts(interactions: DataFrame, primary: str) -> DataFrame:
 
 def cross_occurrence_counts(interactions: DataFrame, primary: str) -> DataFrame:
     """Users having both a primary item and the target of a secondary event."""
-    return (
-        pair_counts(interactions, primary)
-        .where(F.col("event") != primary)
-        .select("item", "event", "correlator", "n_both")
+    return pair_counts(interactions, primary, secondary=True).select(
+        "item", "event", "correlator", "n_both"
     )
 
 

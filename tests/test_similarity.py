@@ -140,3 +140,34 @@ def test_secondary_users_need_a_primary_event(spark):
     rows = [("u", "a", "x"), ("u", "b", "p"), ("v", "b", "q")]
     got = ev.restrict_secondary_users(frame(spark, rows), "a").collect()
     assert [r.item for r in got] == ["p"]
+
+
+def test_light_items_meet_lists_and_common_ones_pairs(spark, monkeypatch):
+    rows = log(12, hot=True)
+    cut = ev.prepare(frame(spark, rows), [Indicator(n) for n in "abc"])[0].localCheckpoint()
+    had = {}
+    for user, event, item in {tuple(r) for r in cut.select("user", "event", "item").collect()}:
+        had.setdefault(user, []).append((event, item))
+    want = {}
+    for acts in had.values():
+        for item in (i for e, i in acts if e == "a"):
+            for e, c in acts:
+                if (e, c) != ("a", item):
+                    want[item, e, c] = want.get((item, e, c), 0) + 1
+    monkeypatch.setattr(sim, "BASKET", 3)
+    for light in (0, 4, 1000):
+        monkeypatch.setattr(sim, "LIGHT", light)
+        found = sim.pair_counts(cut, "a")
+        assert {(r.item, r.event, r.correlator): r.n_both for r in found.collect()} == want
+        cross = {(r.item, r.event, r.correlator): r.n_both for r in sim.cross_occurrence_counts(cut, "a").collect()}
+        assert cross == {k: n for k, n in want.items() if k[1] != "a"}
+
+
+def test_pairs_of_light_items_are_not_shuffled(spark):
+    """What is shuffled for them is a list per user and item, not a row per pair."""
+    rows = [(f"u{u}", e, f"{e}{u}-{k}") for u in range(20) for e in "ab" for k in range(20)]
+    cut, _ = ev.prepare(frame(spark, rows), [Indicator(n) for n in "ab"])
+    text = sim.pair_counts(cut, "a")._jdf.queryExecution().optimizedPlan().toString()
+    light = text[text.rindex("Aggregate [item") :]
+    # the lists are dealt by item below what makes pairs of them
+    assert light.index("arrays_zip") < light.index("RepartitionByExpression [item")
