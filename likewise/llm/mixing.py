@@ -78,10 +78,10 @@ def memberships(docs: DataFrame, model: PipelineModel | None, domains: list[str]
     if model is None:
         even = F.array(*[F.lit(1 / len(domains))] * len(domains))
         return rows.select("doc_id", tokens.alias("tokens"), even.alias("posterior"))
-    p = vector_to_array("probability")
     n = len(domains)
-    # Domains without an example have no probability from the classifier.
-    full = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.get(p, i), F.lit(0.0)))
+    # Domains without an example have no probability from the classifier. The probabilities must not
+    # be named inside a lambda: it would run the whole classifier once for each domain.
+    full = F.slice(F.concat(vector_to_array("probability"), F.array_repeat(F.lit(0.0), n)), 1, n)
     return model.transform(rows).select("doc_id", tokens.alias("tokens"), full.alias("posterior"))
 
 

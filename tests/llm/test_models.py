@@ -335,3 +335,16 @@ def test_pipeline_stages_with_awkward_rows(spark):
             path = staged_path(spark, "stage")
             stage(spark, rows, SF).write.parquet(path)
             assert (spark.read.parquet(path).count() > 0) == (rows is docs)
+
+
+def test_the_classifier_runs_once_a_document(spark):
+    """Its functions lie in no lambda, which would run them again for each domain."""
+    rows = [(i, "spam now" if i % 2 else "calm text") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labelled = docs.selectExpr("doc_id", "if(doc_id % 2 = 1, 'a', 'b') AS domain")
+    domains = ["a", "b", "none"]
+    members = mixing.memberships(docs, mixing.learn(docs, labelled, domains), domains)
+    assert "lambda" not in members._jdf.queryExecution().optimizedPlan().toString()
+    for row in members.collect():
+        assert len(row.posterior) == 3 and row.posterior[2] == 0.0
+        assert row.posterior[row.doc_id % 2 == 0] > 0.5 and abs(sum(row.posterior) - 1) < 1e-9
