@@ -1,17 +1,18 @@
 """Filling up short answers with the best-ranked items a query's rules allow.
 
-Rows produced are (answers missing) + (answers excluded), never queries x items: the
+Places read are (answers missing) + (answers excluded), never queries x items: the
 ranked items are cut into pages, and queries are joined to the pages they need. What a rule
-set allows is read off bitmaps over the ranking.
+set allows is read off bitmaps over the ranking. Fills become rows last of all, and are not
+shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from likewise.operators.bitmaps import allowed_places, select_places
-from likewise.operators.groups import top_per_group
+from likewise.operators.groups import deal, top_per_group
 from likewise.operators.intervals import date_index
 from likewise.operators.model import Model
 from likewise.operators.querying import RULE_COLUMNS, date_rules_pass, rules_pass
@@ -131,28 +132,24 @@ def _second_look(more: DataFrame, parts: DataFrame, model: Model, params: Engine
 def _pages_wanted(short: DataFrame) -> DataFrame:
     """One row per query and page of the ranking it needs."""
     last = F.floor((F.col("need") - 1) / PAGE).cast("bigint")
-    reach = F.explode(F.sequence(F.lit(0).cast("bigint"), last))
-    return short.select("query_id", "sig", "deficit", "need", reach.alias("page"))
+    return short.withColumn("page", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
 
 
 def backfill(
-    short: DataFrame,
-    taken: DataFrame,
-    rules: DataFrame | None,
-    model: Model,
-    params: EngineParams,
-    largest: int,
-) -> DataFrame:
-    """(query_id, pos, fill): the items that fill up each query, ``fill`` from 1.
-
-    ``short`` holds (query_id, sig, deficit), ``taken`` the items (query_id, sig, pos) a
-    query may not be filled with, ``rules`` the rule sets by ``sig``, ``largest`` the
-    biggest deficit. Among the first deficit + |taken| allowed items, at least
-    ``deficit`` are not taken.
+    short: DataFrame, taken: DataFrame, rules: DataFrame | None, model: Model, params: EngineParams
+) -> tuple[DataFrame, DataFrame]:
+    """The items that fill up each query, and (pos) all places that these may have.
+
+    ``short`` holds (query_id, sig, deficit) and what else its fills are to carry, ``taken`` the
+    items (query_id, sig, pos) a query may not be filled with, ``rules`` the rule sets by ``sig``.
+    Fills are the rows of ``short`` with ``pos`` and ``fill``, from 1 to the deficit. Among the first
+    deficit + |taken| allowed items, at least ``deficit`` are not taken.
 
     Queries without rules need no list of items at all: their ranking is the places
-    1, 2, 3 and so on.
+    1, 2, 3 and so on. What is shuffled and sorted are pages and taken places; a page becomes
+    its fills where it lies, numbered from what the pages before it have left.
     """
+    carried = short.columns
     blocked = taken.groupBy("query_id").agg(F.count("*").alias("n_taken"))
     short = short.join(blocked, "query_id", "left").withColumn(
         "need", F.col("deficit") + F.coalesce("n_taken", F.lit(0))
@@ -160,22 +157,40 @@ def backfill(
     short = stage(short.drop("n_taken"), "short")
 
     n_items = model.items.agg(F.count("*")).scalar()
-    upto = F.least(F.col("need"), (F.col("page") + 1) * PAGE, n_items)
     free = short.where(F.col("sig") == 0).withColumn("need", F.least("need", n_items))
-    offered = _pages_wanted(free.where(F.col("need") > 0)).select(
-        "query_id", "sig", "deficit", F.explode(F.sequence(F.col("page") * PAGE + 1, upto)).alias("place")
-    ).withColumn("pos", F.col("place"))
+    free = free.where(F.col("need") > 0)
+    wanted = _pages_wanted(free)
+    places = model.items.select("pos").where(F.col("pos") <= free.agg(F.max("need")).scalar())
+    out = taken.where(F.col("sig") == 0).select("query_id", _page("pos").alias("page"), "pos")
 
     if rules is not None:
         ruled = short.where(F.col("sig") != 0)
         sigs = ruled.groupBy("sig").agg(F.max("need").alias("need")).join(rules, "sig")
         allowed = eligible_items(sigs, model, params)
         allowed = stage(allowed.withColumn("page", _page("place")), "allowed")
-        listed = _pages_wanted(ruled).join(allowed, ["sig", "page"])
-        offered = offered.unionByName(
-            listed.where(F.col("place") <= F.col("need")).select(*offered.columns)
-        )
-
-    free = offered.join(taken, ["query_id", "sig", "pos"], "left_anti")
-    filled = top_per_group(free, ["query_id"], [F.col("place")], largest, rank="fill")
-    return filled.where(F.col("fill") <= F.col("deficit")).select("query_id", "pos", "fill")
+        wanted = wanted.unionByName(_pages_wanted(ruled))
+        places = places.unionByName(allowed.select("pos"))
+        met = taken.where(F.col("sig") != 0).join(allowed.select("sig", "pos", "page"), ["sig", "pos"])
+        out = out.unionByName(met.select("query_id", "page", "pos"))
+
+    out = out.groupBy("query_id", "page").agg(F.collect_set("pos").alias("out"))
+    nothing = F.array().cast("array<bigint>")
+    pages = wanted.join(out, ["query_id", "page"], "left").withColumn("out", F.coalesce("out", nothing))
+    pages = deal(pages, "query_id")
+    before = Window.partitionBy("query_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    lost = F.coalesce(F.sum(F.size("out")).over(before), F.lit(0))
+    pages = pages.withColumn("filled", F.col("page") * PAGE - lost).where(F.col("filled") < F.col("deficit"))
+
+    upto = F.least(F.col("need"), (F.col("page") + 1) * PAGE)
+    if rules is not None:
+        pages = stage(pages, "fill-pages")
+    listed = pages.where(F.col("sig") == 0).withColumn("all", F.sequence(F.col("page") * PAGE + 1, upto))
+    if rules is not None:
+        # a page's items are one row, however many queries share the rules
+        lists = allowed.groupBy("sig", "page").agg(F.collect_list("pos").alias("all"))
+        own = pages.where(F.col("sig") != 0).join(lists, ["sig", "page"])
+        listed = listed.unionByName(own.select(*listed.columns))
+    left = F.sort_array(F.array_except("all", "out"))
+    left = F.slice(left, F.lit(1), F.least(F.col("deficit") - F.col("filled"), F.lit(PAGE)).cast("int"))
+    filled = listed.select(*carried, "filled", F.posexplode(left).alias("nth", "pos"))
+    return filled.select(*carried, "pos", (F.col("filled") + F.col("nth") + 1).alias("fill")), places

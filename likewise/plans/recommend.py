@@ -131,44 +131,47 @@ def recommend(
     taken = stage(taken.select("query_id", "sig", "pos"), "exclusions")
     hits = stage(scored_hits(asked, usage, taken, model, rules, params, largest), "hits")
 
-    answers = hits.select("query_id", "pos", "score", F.col("rnk").cast("bigint").alias("rnk"))
+    shown = ["_name", "with_ranks", "pos", "score", "rnk"]
+    bounds = asked.select("query_id", "_name", "num", "from", "with_ranks")
+    paged = hits.withColumn("rnk", F.col("rnk").cast("bigint")).join(bounds, "query_id")
+    paged = paged.where((F.col("rnk") > F.col("from")) & (F.col("rnk") <= page)).select(*shown)
+    places = paged.select("pos")
     if params.recs_model != "collabFiltering":
         n_hits = hits.groupBy("query_id").agg(F.count("*").alias("n_hits"))
         short = (
             asked.where(F.col("required") == 0)
-            .select("query_id", "sig", page.alias("page_end"))
+            .select("query_id", "sig", "_name", "from", "with_ranks", page.alias("page_end"))
             .join(n_hits, "query_id", "left")
-            .withColumn("deficit", F.col("page_end") - F.coalesce("n_hits", F.lit(0)))
+            .withColumn("n_hits", F.coalesce("n_hits", F.lit(0)))
+            .withColumn("deficit", F.col("page_end") - F.col("n_hits"))
             .where(F.col("deficit") > 0)
         )
         used = taken.unionByName(hits.select("query_id", "sig", "pos"))
-        short = short.select("query_id", "sig", "deficit")
-        fills = backfill(short, used, rules, model, params, largest)
-        fills = fills.join(n_hits, "query_id", "left").select(
-            "query_id",
-            "pos",
-            F.lit(0.0).alias("score"),
-            (F.col("fill") + F.coalesce("n_hits", F.lit(0))).alias("rnk"),
-        )
-        answers = answers.unionByName(fills)
+        # fills are many times the queries: all that they show comes with them, and is not joined again
+        fills, filling = backfill(short.drop("page_end"), used, rules, model, params)
+        fills = fills.withColumn("score", F.lit(0.0)).withColumn("rnk", F.col("fill") + F.col("n_hits"))
+        paged = paged.unionByName(fills.where(F.col("rnk") > F.col("from")).select(*shown))
+        places = places.unionByName(filling)
 
-    bounds = asked.select("query_id", "_name", "num", "from", "with_ranks")
-    paged = answers.join(bounds, "query_id").where(
-        (F.col("rnk") > F.col("from")) & (F.col("rnk") <= page)
-    )
-    return with_ranks(paged, model, params).select(
+    return with_ranks(paged, model, params, places).select(
         F.col("_name").alias("query_id"), F.col("rnk").alias("pos"), "item", "score", "ranks"
     )
 
 
-def with_ranks(answers: DataFrame, model: Model, params: EngineParams) -> DataFrame:
-    """Adds the item at each place, and its ``ranks`` where the query asks for them."""
+def with_ranks(answers: DataFrame, model: Model, params: EngineParams, places: DataFrame) -> DataFrame:
+    """Adds the item at each place, and its ``ranks`` where the query asks for them.
+
+    ``places`` (pos) holds all places of the answers. The items there are written once, so that
+    their true size, not the catalog's, decides how they are joined: few enough are sent to the
+    answers, however many items there are.
+    """
     names = [c for c in params.rank_columns if c in model.items.columns]
     ranks = F.lit(None).cast("map<string,double>")
     if names:
         pairs = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*names))
         ranks = F.map_filter(pairs, lambda _, value: value.isNotNull())
-    named = model.items.select("pos", "item", ranks.alias("ranks"))
+    shown = stage(model.items.select("pos", "item", *names).join(places.distinct(), "pos", "left_semi"), "names")
+    named = shown.select("pos", "item", ranks.alias("ranks"))
     return answers.join(named, "pos").withColumn(
         "ranks", F.when(F.col("with_ranks"), F.col("ranks"))
     )
