@@ -11,7 +11,6 @@ in its row, and memory is bounded by a batch and by the number of words remember
 from __future__ import annotations
 
 import base64
-import functools
 import heapq
 from collections.abc import Iterator
 
@@ -24,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from likewise.llm import text as tx
-from likewise.llm.workers import give_back
+from likewise.llm.workers import begin, give_back, remembered
 
 #: Distinct words that a task remembers; with more, it starts to remember afresh.
 REMEMBERED = 1 << 17
@@ -68,7 +67,7 @@ class Vocabulary:
         return np.where(self.pairs[at] == pair, self.made[at], _NONE)
 
 
-@functools.lru_cache(maxsize=2)
+@remembered("bpe")
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
@@ -257,6 +256,7 @@ def encode(
     names = [*docs.columns, *added]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("bpe")
         vocab = vocabulary(SparkFiles.get(name))
         encoder = Encoder(vocab, pattern)
         for batch in batches:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from likewise.llm.graph import components
 from likewise.llm.shingling import blocks
 from likewise.llm.text import bound_batches
-from likewise.llm.workers import give_back
+from likewise.llm.workers import begin, give_back
 from likewise.sources.staging import stage
 
 #: Words in a shingle.
@@ -94,6 +94,7 @@ _PRINTS = "doc_id long, n_shingles long, set_key binary, bands array<long>"
 
 def _prints(width: int, bands: int, rows: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("minhash")
         for batch in batches:
             ids = batch.column("doc_id")
             for a, b, shingles, at in blocks(batch.column("text"), width):
@@ -125,6 +126,7 @@ def _prints(width: int, bands: int, rows: int):
 
 def _sets(width: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("minhash")
         for batch in batches:
             ids = batch.column("doc_id")
             for a, b, shingles, at in blocks(batch.column("text"), width):
@@ -219,6 +221,7 @@ def _compare(link: int):
     """Links between the two sides of one pair of blocks, members of different components."""
 
     def of(group: pd.DataFrame) -> pd.DataFrame:
+        begin("minhash")
         found: list[tuple[int, int, int, int]] = []
         a = group[group["side"] != 1]
         b = group[group["side"] != 0]

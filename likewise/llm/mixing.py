@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from likewise.functions.hashing import uniform
 from likewise.llm import text as tx
+from likewise.llm.workers import begin
 from likewise.sources.staging import stage
 
 #: Labelled rows that the classifier learns from.
@@ -115,6 +116,7 @@ def _totals(members: DataFrame, steps: Steps, domains: int) -> np.ndarray:
     """Expected tokens of the domains at the rates and at the point ahead of them."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("mixing")
         total = np.zeros((2, domains))
         for batch in batches:
             posterior = _matrix(batch.column("posterior"), domains)
@@ -161,6 +163,7 @@ def fit_rates(
 
 def with_rates(members: DataFrame, steps: Steps, domains: int) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("mixing")
         for batch in batches:
             rate, _ = steps.rates(_matrix(batch.column("posterior"), domains))
             yield batch.append_column("rate", pa.array(rate))

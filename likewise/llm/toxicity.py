@@ -11,7 +11,6 @@ what such votes have meant for the examples themselves, each one left out in tur
 
 from __future__ import annotations
 
-import functools
 import math
 import pickle
 from collections import Counter
@@ -28,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from likewise.llm.text import bound_batches
-from likewise.llm.workers import give_back
+from likewise.llm.workers import begin, give_back, remembered
 from likewise.sources.staging import stage
 
 #: Labelled rows of either label that serve as examples; this bounds the fit and the index.
@@ -205,22 +204,21 @@ def _held(table: DataFrame) -> str:
     return path.rsplit("/", 1)[-1]
 
 
-@functools.lru_cache(maxsize=8)
 def _column(name: str, column: str) -> pa.ChunkedArray:
     return pq.read_table(SparkFiles.get(name), columns=[column]).column(column)
 
 
-@functools.lru_cache(maxsize=2)
+@remembered("toxicity")
 def _numbers(name: str) -> dict[bytes, int]:
     return {w: i for i, w in enumerate(_column(name, "word").to_pylist())}
 
 
-@functools.lru_cache(maxsize=2)
+@remembered("toxicity")
 def _weights(name: str) -> np.ndarray:
     return _column(name, "weight").to_numpy()
 
 
-@functools.lru_cache(maxsize=2)
+@remembered("toxicity")
 def _index(name: str) -> Index:
     return pickle.loads(_column(name, "index")[0].as_py())
 
@@ -337,6 +335,7 @@ def _frequencies(docs: DataFrame, model: Model) -> DataFrame:
     """(term, n): in how many documents each term is found, counted in every task, then summed."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         get = model.number.get
         n = np.zeros(len(model.number), np.int64)
         for batch in batches:
@@ -529,6 +528,7 @@ def score(docs: DataFrame, model: Model, nearest: int = NEAREST) -> DataFrame:
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         for batch in batches:
             scores, ids, cosines = [], [], []
             for place, cosine in _nearest(batch.column("text"), model, nearest):
@@ -561,6 +561,7 @@ def drop_toxic(docs: DataFrame, labelled: DataFrame, threshold: float = 0.5) ->
     place = docs.columns.index("text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         for batch in batches:
             found = _nearest(batch.column(place), model, NEAREST)
             low = [model.score(*x) < threshold for x in found]
